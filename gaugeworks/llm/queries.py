@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import near_dedup_query, quality
+from gaugeworks.llm import decontamination, near_dedup_query, packing, quality, repeats, secrets
 
-QUERIES = {"op1_quality_rules": quality.op1_quality_rules, "op2_minhash_near_dedup": near_dedup_query.op2_minhash_near_dedup}
-ORACLE_SQL = {"op1_quality_rules": quality.SQL, "op2_minhash_near_dedup": near_dedup_query.SQL}
+QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op2_minhash_near_dedup": near_dedup_query.op2_minhash_near_dedup,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
+    "op7_suffix_array_dedup": repeats.op7_suffix_array_dedup,
+    "op10_secret_scans": secrets.op10_secret_scans,
+}
+ORACLE_SQL = {
+    "op1_quality_rules": quality.SQL,
+    "op2_minhash_near_dedup": near_dedup_query.SQL,
+    "op4_benchmark_decontamination": decontamination.SQL,
+    "op7_suffix_array_dedup": repeats.SQL,
+    "op10_secret_scans": secrets.SQL,
+}
