@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import decontamination, near_dedup_query, packing, quality, repeats, secrets
+from gaugeworks.llm import decontamination, html_text, near_dedup_query, packing, preferences, quality, repeats, secrets, shards
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_minhash_near_dedup": near_dedup_query.op2_minhash_near_dedup,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
+    "op5_html_extraction": html_text.op5_html_extraction,
+    "op6_sharding": shards.op6_sharding,
     "op7_suffix_array_dedup": repeats.op7_suffix_array_dedup,
+    "op9_chat_formatting": preferences.op9_chat_formatting,
     "op10_secret_scans": secrets.op10_secret_scans,
 }
 ORACLE_SQL = {
@@ -17,5 +20,6 @@ ORACLE_SQL = {
     "op2_minhash_near_dedup": near_dedup_query.SQL,
     "op4_benchmark_decontamination": decontamination.SQL,
     "op7_suffix_array_dedup": repeats.SQL,
+    "op9_chat_formatting": preferences.SQL,
     "op10_secret_scans": secrets.SQL,
 }
