@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import decontamination, html_text, near_dedup_query, packing, preferences, quality, repeats, secrets, shards
+from gaugeworks.llm import decontamination, html_text, language_model, near_dedup_query, packing, preferences, quality, repeats, secrets, shards
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_html_extraction": html_text.op5_html_extraction,
     "op6_sharding": shards.op6_sharding,
     "op7_suffix_array_dedup": repeats.op7_suffix_array_dedup,
+    "op8_lm_scoring": language_model.op8_lm_scoring,
     "op9_chat_formatting": preferences.op9_chat_formatting,
     "op10_secret_scans": secrets.op10_secret_scans,
 }
@@ -20,6 +21,7 @@ ORACLE_SQL = {
     "op2_minhash_near_dedup": near_dedup_query.SQL,
     "op4_benchmark_decontamination": decontamination.SQL,
     "op7_suffix_array_dedup": repeats.SQL,
+    "op8_lm_scoring": language_model.SQL,
     "op9_chat_formatting": preferences.SQL,
     "op10_secret_scans": secrets.SQL,
 }
