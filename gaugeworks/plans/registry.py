@@ -1,4 +1,6 @@
 """All registered queries of the metric engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from gaugeworks.plans import metric_queries
+
+QUERIES: dict = {**metric_queries.QUERIES}
+ORACLE_SQL: dict = {**metric_queries.SQL}
