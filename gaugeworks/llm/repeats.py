@@ -7,13 +7,16 @@ that length repeats. Passes go from the most significant digit down and drop wha
    have equal digits, and neighbouring suffixes mostly share theirs, so a run of them is one row, about one for
    each 80 bytes, instead of a row for each suffix.
 2. The second digit is the text that the whole run covers. Runs that are equal there are repeats outright.
-3. What is left, runs that share the first digit and differ in the second, is spelled out suffix by suffix
-   and grouped on the whole window (128 bits).
+3. What is left, runs that share the first digit and differ in the second, is cut into blocks of 32 neighbouring
+   suffixes, each with the bytes that all its suffixes share as digit, then into blocks of 8, then into single
+   suffixes: at each pass only groups with several members go on, so few suffixes are ever spelled out;
+   and blocks that are equal as a whole are repeats outright.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,8 @@ from gaugeworks.llm.common import stored
 WINDOW, GRAM = 200, 40
 #: Texts are hashed in parts of so many bytes; parts overlap by a window.
 PART = 1 << 20
+#: Neighbouring suffixes in a block of the third pass, and of the fourth.
+BLOCK, SMALL = 32, 8
 _PLACE = np.uint64((1 << 21) - 1)
 _BYTE = np.random.default_rng(7411).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(31)
@@ -83,7 +88,7 @@ def _parts(n: int, window: int) -> Iterator[tuple[int, int]]:
 
 
 def runs_of(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """First digit, second digit, first window and number of windows of each run of one part."""
+    """First digit, second digit, first window, number of windows and lead of the digit's string of each run of one part."""
     hashes = Hashes(data, window)
     grams = hashes.of(gram)
     keyed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
@@ -98,42 +103,61 @@ def runs_of(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     middle = (first + last) // 2
     assert int((last - first).max(initial=0)) <= 2 * size
     shape = ((anchor - first).astype(np.uint64) << np.uint64(20)) | count.astype(np.uint64)
-    return grams[anchor], _join(_join(h[first], h[middle]), _join(h[last], shape)), first, count
+    return grams[anchor], _join(_join(h[first], h[middle]), _join(h[last], shape)), first, count, anchor - first
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    return [zlib.decompress(x) if x is not None else b"" for x in column.to_pylist()]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are shuffled compressed."""
+    for batch in batches:
+        packed = [None if x is None else zlib.compress(x, 1) for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["key", "id", "z"])
 
 
 def _emit_runs(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = np.frombuffer(text or b"", np.uint8)
                 for at, end in _parts(len(data), window):
-                    digit, whole, first, count = runs_of(data[at:end], window, gram)
-                    for c, x in zip(columns, (np.full(len(digit), key), digit.view(np.int64), whole.view(np.int64), first + at, count), strict=True):
+                    digit, whole, first, count, lead = runs_of(data[at:end], window, gram)
+                    for c, x in zip(columns, (np.full(len(digit), key), digit.view(np.int64), whole.view(np.int64), first + at, count, lead), strict=True):
                         c.append(x)
             flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in flat[:4]] + [pa.array(flat[4].astype(np.int32))], ["key", "digit", "whole", "first", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in flat[:4]] + [pa.array(x.astype(np.int32)) for x in flat[4:]], ["key", "digit", "whole", "first", "n", "lead"])
 
     return run
 
 
-def _emit_windows(window: int):
+_BLOCKS = "key long, digit long, core long, place int, at long, lo int, hi int, before binary, after binary, c long"
+
+
+def _emit_blocks(window: int):
+    """The blocks of runs: the digit's place in the block, a hash of the bytes that all its windows share, and those that only some have."""
+    shared = window - BLOCK + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for key, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(text, np.uint8)
+            out: list[tuple] = []
+            for key, text, spans in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 for span in spans:
-                    part = data[span["first"] : span["first"] + span["n"] - 1 + window]
-                    h = Hashes(part, window)
-                    size = 1 << (window.bit_length() - 1)
-                    at = np.arange(span["n"])
-                    lo, hi = h.by[size][at], h.by[size][at + window - size]
-                    two = _join(hi ^ np.uint64(0x5851F42D4C957F2D), lo)
-                    for c, x in zip(out, (np.full(len(at), key), _join(lo, hi).view(np.int64), two.view(np.int64), at + span["first"], np.full(len(at), span["c"])), strict=True):
-                        c.append(x)
-            flat = [np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["key", "w1", "w2", "at", "c"])
+                    start, n = span["first"], span["n"]
+                    place, last = start + span["lead"], span["lead"] - n + 1
+                    part = np.frombuffer(text[start : start + n - 1 + window], np.uint8)
+                    hashes = Hashes(part, window)
+                    for block in range(last // BLOCK, span["lead"] // BLOCK + 1):
+                        near = block * BLOCK
+                        lo, hi = max(last - near, 0), min(span["lead"] - near, BLOCK - 1)
+                        at = place - near
+                        core = hashes.of(shared, np.array([at - start]))
+                        out.append((key, span["digit"], int(core.view(np.int64)[0]), near, at, lo, hi, text[at - hi : at], text[at + shared : at + shared + BLOCK - 1 - lo], span["c"]))
+            kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+            names = [x.split()[0] for x in _BLOCKS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * len(kinds), kinds, strict=True)], names)
 
     return run
 
@@ -153,8 +177,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, gone, count, digest, kept = [], [], [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            text, runs = text or b"", merged([(s["a"], s["b"]) for s in spans or ()])
+        for text, spans in zip(_unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            runs = merged([(s["a"], s["b"]) for s in spans or ()])
             rest = b"".join(text[x:y] for x, y in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(text)], strict=True))
             n.append(len(text))
             gone.append(len(text) - len(rest))
@@ -173,28 +197,48 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows are told apart by id and text; rows that repeat both count as so many places, so long ones go
     wholly. A null id is kept. An empty table gives no rows.
     """
+    kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).withColumn("key", F.xxhash64("id", "t"))
-    long = base.where(F.octet_length("t") >= window)
-    runs = stored(long.select("key", "t").mapInArrow(_emit_runs(window, gram), "key long, digit long, whole long, first long, n int"), "runs")
-    again = runs.groupBy("digit").agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("c > 1")
-    held = stored(runs.join(again.select("digit", (F.col("lo") == F.col("hi")).alias("same")), "digit"), "held")
+    packed = base.select("key", "id", "t").mapInArrow(_pack, f"key long, id {kind}, z binary")
+    long = base.where(F.octet_length("t") >= window).select("key", "t")
+    runs = stored(long.mapInArrow(_emit_runs(window, gram), "key long, digit long, whole long, first long, n int, lead int"), "runs")
     span = lambda first, n: F.struct(first.cast("long").alias("a"), (first + n - 1 + window).cast("long").alias("b"))
-    sure = held.where("same").select("key", span(F.col("first"), F.col("n")).alias("s"))
-    mixed = held.where("NOT same")
-    classes = stored(mixed.groupBy("digit", "whole").agg(F.count("*").alias("c"), F.min(F.struct("key", "first", "n")).alias("m")), "classes")
-    more = mixed.join(classes.where("c > 1").select("digit", "whole"), ["digit", "whole"], "left_semi").select("key", span(F.col("first"), F.col("n")).alias("s"))
-    spelled = classes.select(F.col("m.key").alias("key"), F.struct(F.col("m.first").alias("first"), F.col("m.n").alias("n"), "c").alias("s"))
-    spelled = spelled.groupBy("key").agg(F.collect_list("s").alias("spans"))
-    texts = long.select("key", "t").dropDuplicates(["key"])
-    windows = stored(texts.join(spelled, "key").mapInArrow(_emit_windows(window), "key long, w1 long, w2 long, at long, c long"), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("c").alias("c")).where("c > 1").select("w1", "w2")
-    rest = windows.where("c = 1").join(twice, ["w1", "w2"]).select("key", F.struct(F.col("at").alias("a"), (F.col("at") + window).alias("b")).alias("s"))
-    cover = sure.union(more).union(rest).groupBy("key").agg(F.collect_list("s").alias("spans"))
-    out = base.join(cover, "key", "left").select("id", "t", "spans")
-    kind = docs.schema[id_col].dataType.simpleString()
+    several = runs.groupBy("digit").agg(F.count("*").alias("c")).where("c > 1").select("digit")
+    held = stored(runs.join(several, "digit"), "held")
+    classes = stored(held.groupBy("digit", "whole").agg(F.count("*").alias("c"), F.min(F.struct("key", "first", "n", "lead")).alias("m")), "classes")
+    mixed = classes.groupBy("digit").agg(F.count("*").alias("k")).where("k > 1").select("digit")
+    sure = held.join(classes.where("c > 1").select("digit", "whole"), ["digit", "whole"], "left_semi").select("key", span(F.col("first"), F.col("n")).alias("s"))
+    spelled = classes.join(mixed, "digit").select("m.key", F.struct("m.first", "m.n", "m.lead", "digit", "c").alias("s")).groupBy("key").agg(F.collect_list("s").alias("spans"))
+    blocks = packed.join(spelled, "key").dropDuplicates(["key"]).select("key", "z", "spans").mapInArrow(_emit_blocks(window), _BLOCKS)
+    blocks = _several(stored(blocks, "blocks"), "digit", "core", "place")
+    near = (F.col("j") * SMALL).cast("int")
+    small = blocks.withColumn("j", F.explode(F.sequence(F.floor(F.col("lo") / SMALL), F.floor(F.col("hi") / SMALL))))
+    side = lambda back, ahead: F.xxhash64("core", "place", near, F.expr(f"substring(before, length(before) - {back} + 1, {back})"), F.expr(f"substring(after, 1, {ahead})"))
+    small = small.withColumn("core2", side(f"(int(j) * {SMALL})", f"({BLOCK - SMALL} - int(j) * {SMALL})"))
+    small = _several(small, "digit", "core2")
+    lo, hi = F.greatest(F.col("lo"), near), F.least(F.col("hi"), near + SMALL - 1)
+    small = small.select("key", "digit", "core2", "core", "place", "at", "before", "after", "c", lo.alias("lo"), hi.alias("hi"))
+    whole = F.xxhash64("lo", "hi", F.expr("substring(before, length(before) - hi + 1, hi)"), F.expr(f"substring(after, 1, {BLOCK - 1} - lo)"))
+    small = small.withColumn("whole", whole)
+    kinds = stored(small.groupBy("digit", "core2", "whole").agg(F.sum("c").alias("c"), F.min(F.struct("key", "at", "core", "place", "before", "after", "lo", "hi")).alias("m")), "kinds")
+    equal = small.where("c = 1").join(kinds.where("c > 1").select("digit", "core2", "whole"), ["digit", "core2", "whole"], "left_semi")
+    equal = equal.select("key", span(F.col("at") - F.col("hi"), F.col("hi") - F.col("lo") + 1).alias("s"))
+    unlike = kinds.groupBy("digit", "core2").agg(F.count("*").alias("k")).where("k > 1").select("digit", "core2")
+    each = kinds.join(unlike, ["digit", "core2"]).select("digit", "c", "m.*").withColumn("i", F.explode(F.sequence("lo", "hi")))
+    window_ = F.xxhash64("core", "place", "i", F.expr("substring(before, length(before) - i + 1, i)"), F.expr(f"substring(after, 1, {BLOCK - 1} - i)"))
+    each = _several(each.select("key", "digit", "c", (F.col("at") - F.col("i")).alias("first"), window_.alias("w")), "digit", "w")
+    rest = equal.union(each.where("c = 1").select("key", span(F.col("first"), F.lit(1)).alias("s")))
+    cover = sure.union(rest).groupBy("key").agg(F.collect_list("s").alias("spans"))
+    out = packed.join(cover, "key", "left").select("id", "z", "spans")
     return out.mapInArrow(_remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
 
 
+def _several(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose key stands for several places; one pass of the sort."""
+    held = rows.groupBy(*keys).agg(F.sum("c").alias("__c"), F.count("*").alias("__n")).where("__c > 1 AND __n > 1").select(*keys)
+    return stored(rows.join(held, list(keys)), "pass")
+
+
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
 
