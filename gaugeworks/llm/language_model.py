@@ -8,6 +8,8 @@ document sums its scores. An n-gram that is very frequent is one entry of each c
 
 from __future__ import annotations
 
+import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ from gaugeworks.llm.hashing import pair, word_hashes
 #: Longest n-gram, and the factor of each step back to a shorter one.
 ORDER, BACKOFF = 2, 0.4
 #: Bytes of text in a chunk and of hashes in a bucket, about; both bound what a task holds.
-CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 
 
 def _grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -32,68 +34,90 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def _wire(h: np.ndarray) -> bytes:
+    """Sorted hashes in fewer bytes: their three leading bytes change slowly and compress."""
+    planes = h.astype(">u8").view(np.uint8).reshape(-1, 8).T
+    lead = zlib.compress(planes[:3].tobytes(), 1)
+    return len(h).to_bytes(4, "little") + len(lead).to_bytes(4, "little") + lead + planes[3:].tobytes()
+
+
+def _unwire(raw: bytes) -> np.ndarray:
+    n, lead = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little")
+    planes = np.frombuffer(zlib.decompress(raw[8 : 8 + lead]) + raw[8 + lead :], np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of about CHUNK_BYTES as one row: a name, document ids, text lengths, and the compressed texts."""
+    ids: list[int] = []
+    texts: list[bytes] = []
+    held = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if ids:
+            doc, size, body = np.array(ids, np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), b"".join(texts)
+            name = f"{os.urandom(8).hex()}-{len(ids)}"
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([doc], pa.binary()), pa.array([size], pa.binary()), pa.array([zlib.compress(body, 1)], pa.binary())], ["chunk", "docs", "sizes", "z"])
+
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            text = text or b""
+            if held + len(text) > CHUNK_BYTES:
+                yield from flush()
+                ids, texts, held = [], [], 0
+            ids.append(doc)
+            texts.append(text)
+            held += len(text) + 1
+    yield from flush()
+
+
+def _open(docs: bytes, sizes: bytes, z: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document ids, words of each, and all words' hashes of a chunk."""
+    body, ends = zlib.decompress(z), np.cumsum(np.frombuffer(sizes, np.int64))
+    words = list(word_hashes([body[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]))
+    return np.frombuffer(docs, np.int64), np.array([len(w) for w in words], np.int64), np.concatenate(words)
+
+
+def _inside(count: np.ndarray, n: int) -> np.ndarray:
+    """Where an n-gram starts that lies within one document."""
+    at = np.arange(max(int(count.sum()) - n + 1, 0))
+    left = np.repeat(np.cumsum(count), count)[: len(at)] - at
+    return left >= n
+
+
 def _send(order: int, buckets: int):
-    """For each chunk: its documents' words as places in its sorted hashes; and for each order and bucket the hashes with their counts."""
+    """For each chunk, order and bucket the distinct hashes and how often the chunk has them."""
+    edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        sizes: list[int] = []
-        parts: list[np.ndarray] = []
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not ids:
-                return
-            chunk = int(np.random.default_rng(np.frombuffer(np.array([*ids, *sizes], np.int64).tobytes(), np.uint32)).integers(1 << 62))
-            rows = [(chunk, 0, -1, np.array(ids, np.int64).tobytes(), np.array(sizes, np.int64).tobytes())]
-            ends = np.cumsum(sizes)
-            words = np.concatenate(parts)
-            for n in range(1, order + 1):
-                grams = _grams(words, n)
-                inside = np.ones(len(grams), bool)
-                for k in range(1, n):  # not across documents
-                    cut = ends[:-1] - k
-                    inside[cut[(cut >= 0) & (cut < len(grams))]] = False
-                distinct, places, counts = np.unique(grams[inside], return_inverse=True, return_counts=True)
-                rows.append((chunk, n, -1, places.astype(np.uint32).tobytes(), inside.tobytes()))
-                edges = np.array([min((b << 64) // buckets, (1 << 64) - 1) for b in range(buckets)], np.uint64)
-                cuts = [*np.searchsorted(distinct, edges).tolist(), len(distinct)]
-                rows += [(chunk, n, b, distinct[x:y].tobytes(), counts[x:y].astype(np.uint32).tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
-            for at in range(0, len(rows), 64):
-                cols = list(zip(*rows[at : at + 64], strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["chunk", "n", "bucket", "a", "b"])
-
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for doc, text, words in zip(batch.column(0).to_pylist(), texts, word_hashes(texts), strict=True):
-                ids.append(doc)
-                sizes.append(len(words))
-                parts.append(words)
-                held += len(text) + 1
-                if held >= CHUNK_BYTES:
-                    yield from flush()
-                    ids, sizes, parts, held = [], [], [], 0
-        yield from flush()
+            for chunk, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, count, words = _open(*packed)
+                for n in range(1, order + 1):
+                    distinct, times = np.unique(_grams(words, n)[_inside(count, n)], return_counts=True)
+                    cuts = [*np.searchsorted(distinct, edges).tolist(), len(distinct)]
+                    rows = [(chunk, n, b, _wire(distinct[x:y]), zlib.compress(times[x:y].astype(np.uint32).tobytes(), 1)) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
+                    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], ["chunk", "n", "bucket", "a", "b"])
 
     return run
 
 
-_COUNTED = "chunk long, n int, bucket int, c binary, total long"
+_COUNTED = "chunk string, n int, bucket int, c binary, total long"
 
 
 def _count(table: pa.Table) -> pa.Table:
     """One bucket of one order: adds the chunks' counts and answers each chunk in its own order."""
-    hashes = [np.frombuffer(x, np.uint64) for x in table["a"].to_pylist()]
-    own = [np.frombuffer(x, np.uint32) for x in table["b"].to_pylist()]
+    hashes = [_unwire(x) for x in table["a"].to_pylist()]
+    own = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in table["b"].to_pylist()]).astype(np.int64)
     distinct, places = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, places, np.concatenate(own).astype(np.int64))
-    out, at = [], 0
-    for h in hashes:
-        out.append(total[places[at : at + len(h)]].astype(np.int64).tobytes())
-        at += len(h)
-    return pa.table({"chunk": table["chunk"], "n": table["n"], "bucket": table["bucket"], "c": pa.array(out, pa.binary()), "total": pa.array([int(total.sum())] + [0] * (len(out) - 1), pa.int64())})
+    np.add.at(total, places, own)
+    cuts = np.cumsum([0, *map(len, hashes)])
+    out = [zlib.compress(total[places[x:y]].tobytes(), 1) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    sums = np.zeros(len(out), np.int64)
+    sums[0] = total.sum()
+    return pa.table({"chunk": table["chunk"], "n": table["n"], "bucket": table["bucket"], "c": pa.array(out, pa.binary()), "total": pa.array(sums)})
 
 
 def _score(order: int, total: int, backoff: float):
@@ -101,20 +125,20 @@ def _score(order: int, total: int, backoff: float):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        counts = {n: np.concatenate([np.frombuffer(r["c"], np.int64) for r in sorted((r for r in rows if r["n"] == n and r["bucket"] >= 0), key=lambda r: r["bucket"])] or [np.empty(0, np.int64)]) for n in range(1, order + 1)}
-        fixed = {r["n"]: r for r in rows if r["bucket"] < 0}
-        ids, sizes = np.frombuffer(fixed[0]["a"], np.int64), np.frombuffer(fixed[0]["b"], np.int64)
+        fixed = next(r for r in rows if r["bucket"] < 0)
+        ids, sizes, words = _open(fixed["docs"], fixed["sizes"], fixed["z"])
         doc = np.repeat(np.arange(len(ids)), sizes)
         length = len(doc)
         seen, own = {}, {}
         for n in range(1, order + 1):
-            places, inside = np.frombuffer(fixed[n]["a"], np.uint32), np.frombuffer(fixed[n]["b"], bool)
-            at = np.flatnonzero(inside)
+            answers = sorted((r["bucket"], r["c"]) for r in rows if r["n"] == n and r["bucket"] >= 0)
+            counts = np.frombuffer(b"".join(zlib.decompress(c) for _, c in answers), np.int64)
+            at = np.flatnonzero(_inside(sizes, n))
+            _, places = np.unique(_grams(words, n)[at], return_inverse=True)
             # counts within the document, to leave them out
-            key = doc[at].astype(np.int64) * (len(counts[n]) + 1) + places
-            _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+            _, back, times = np.unique(doc[at] * (len(counts) + 1) + places, return_inverse=True, return_counts=True)
             seen[n], own[n] = np.zeros(length, np.int64), np.zeros(length, np.int64)
-            seen[n][at], own[n][at] = counts[n][places], times[back]
+            seen[n][at], own[n][at] = counts[places], times[back]
         rest = total - sizes[doc]
         score = np.full(length, 0.0)
         level = np.zeros(length, np.int64)
@@ -155,14 +179,16 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contexts are as long as there are words. Null text has no words. A null id is kept, and rows that repeat are
     documents of their own. An empty table gives no rows.
     """
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("t"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("binary").alias("t"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     buckets = max(4, -(-int(size * 1.3) // BUCKET_BYTES))
-    sent = stored(base.mapInArrow(_send(order, buckets), "chunk long, n int, bucket int, a binary, b binary"), "grams")
-    counted = stored(sent.where("bucket >= 0").groupBy("n", "bucket").applyInArrow(_count, _COUNTED), "counts")
+    chunks = stored(base.mapInArrow(_chunks, "chunk string, docs binary, sizes binary, z binary"), "chunks")
+    sent = chunks.mapInArrow(_send(order, buckets), "chunk string, n int, bucket int, a binary, b binary")
+    counted = stored(sent.groupBy("n", "bucket").applyInArrow(_count, _COUNTED), "counts")
     total = counted.where("n = 1").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    fixed = sent.where("bucket < 0").select("chunk", "n", "bucket", "a", "b", F.lit(None).cast("binary").alias("c"))
-    answers = counted.select("chunk", "n", "bucket", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), "c")
+    none = F.lit(None).cast("binary")
+    fixed = chunks.select("chunk", F.lit(0).alias("n"), F.lit(-1).alias("bucket"), "docs", "sizes", "z", none.alias("c"))
+    answers = counted.select("chunk", "n", "bucket", none.alias("docs"), none.alias("sizes"), none.alias("z"), "c")
     scored = fixed.union(answers).groupBy("chunk").applyInArrow(_score(order, int(total), backoff), "id long, n_words long, n_known long, log_score double")
     return scored.select(F.col("id").alias(id_col), "n_words", "n_known", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_score"))
 
