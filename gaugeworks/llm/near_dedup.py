@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import components, stored
@@ -15,8 +15,6 @@ from gaugeworks.llm.hashing import mix, pair, word_hashes
 
 #: Fixed: with r rows a band, two sets of similarity 0.8 miss all BANDS bands with (1 - 0.8**ROWS)**BANDS = 2e-9.
 ROWS, BANDS = 5, 51
-#: Star rounds before what is left is compared with the rest of its bucket.
-STAR_ROUNDS = 1
 _PROBES = 64
 
 
@@ -111,9 +109,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Steps: (1) each set gets a one-permutation MinHash with optimal densification; sets that are equal
     (128-bit digest) fold into their smallest id, so copies cost one row each from here. (2) Documents
     that share a band are in a bucket. Its smallest id is the centre of a star: only centre and member
-    are compared, on full sets. (3) Buckets that then hold several components get further stars with
-    other centres; at last, each member outside the bucket's main component is compared with the bucket's
-    other components, so that no pair that shares a band is left out.
+    are compared, on full sets. (3) Members of a bucket that are still in different components may yet be
+    linked. Each is held against a pivot, the set of shingles that most of the bucket's largest component
+    have: first with that component's member nearest to the pivot; then with any other only if the two
+    share a shingle that the pivot lacks, or if each shares enough with the pivot. No other two can be that
+    similar, so no pair that shares a band is lost, and a large group doesn't grow into all its pairs.
 
     Null or wordless text: set size 0, linked with nothing. A null id is returned with a null component
     and kept. Rows that repeat an id are one node. An empty table gives no rows.
@@ -128,39 +128,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = stored(banded.join(crowded, "key").distinct(), "buckets")
     sets = stored(base.join(buckets.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(shingle), "id long, s array<long>"), "sets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        both = left.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+        both = left.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").where("a <> b")
         shared = F.size(F.array_intersect("sa", "sb"))
-        total = F.size("sa") + F.size("sb") - shared
-        return both.where((F.col("a") != F.col("b")) & (100 * shared >= percent * total)).select("a", "b")
-
-    def near_size(x: str, y: str):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    edges, comp = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        if comp is None:
-            held = buckets.withColumn("c", F.col("id"))
-        else:
-            held = buckets.join(comp.select(F.col("a").alias("id"), F.col("b").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-            several = held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-            held = stored(held.join(several, "key"), "held")
-            if held.isEmpty():
-                break
-        if turn < STAR_ROUNDS:
-            pick = F.min(F.struct((F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))).alias("rank"), "id", "n", "c")).alias("m")
-            stars = held.groupBy("key").agg(pick).select("key", F.col("m.id").alias("a"), F.col("m.n").alias("an"), F.col("m.c").alias("ac"))
-            pairs = held.join(stars, "key").where((F.col("c") != F.col("ac")) & near_size("n", "an")).select("a", F.col("id").alias("b")).distinct()
-        else:
-            sizes = held.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
-            held = held.join(sizes, "key")
-            outside = held.where("c <> main").select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
-            pairs = held.select("key", F.col("id").alias("a"), F.col("n").alias("an"), "c").join(outside, "key")
-            pairs = pairs.where((F.col("c") != F.col("bc")) & near_size("an", "bn")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stored(confirmed(pairs), "links")
-        edges = found if edges is None else edges.union(found)
-        comp = components(edges)
+        return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """``c``: the component of each row's ``id``."""
+        return rows.join(components(links).select(F.col("a").alias("id"), F.col("b").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+
+    centre = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m")).select("key", F.col("m.id").alias("a"), F.col("m.n").alias("an"))
+    sized = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    links = stored(linked(buckets.join(centre, "key").where((F.col("id") != F.col("a")) & sized("n", "an")).select("a", F.col("id").alias("b")).distinct()), "links")
+
+    named = stored(labelled(sets.select("id"), links), "named")
+    size = named.groupBy("c").agg(F.count("*").alias("size"))
+    held = buckets.select("key", "id").join(named, "id").join(size, "c")
+    pivot = held.groupBy("key").agg(F.max(F.struct("size", (-F.col("c")).alias("minus"))).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", (-F.col("m.minus")).alias("p"))
+    attached = stored(held.join(pivot, "key").select("p", "id", F.col("c").alias("was")).distinct(), "attached")
+    bodies = named.join(attached.select(F.col("p").alias("c")).distinct(), "c", "left_semi").join(sets, "id")
+    common = bodies.select("c", F.explode("s").alias("s")).groupBy("c", "s").agg(F.count("*").alias("k")).join(size, "c").where("2 * k > size")
+    pivots = common.groupBy(F.col("c").alias("p")).agg(F.collect_list("s").alias("ps"))
+    around = attached.join(sets, "id").join(pivots, "p")
+    around = stored(around.select("p", "id", "was", F.size("s").alias("n"), F.size(F.array_intersect("s", "ps")).alias("o"), F.array_except("s", "ps").alias("extra")), "around")
+    nearest = around.where("was = p").groupBy("p").agg(F.max(F.struct("o", (-F.col("id")).alias("minus"))).alias("m")).select("p", (-F.col("m.minus")).alias("a"))
+    near = stored(linked(around.where("was <> p").join(nearest, "p").select("a", F.col("id").alias("b")).distinct()), "near")
+    joined = near.join(nearest, "a").select("p", F.col("b").alias("id"), F.lit(True).alias("joined"))
+    around = around.join(joined, ["p", "id"], "left").withColumn("c", F.when(F.col("joined"), F.col("p")).otherwise(F.col("was")))
+    x = around.select("p", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("o").alias("ox"), F.col("c").alias("cx"), "extra")
+    f = x.where("cx <> p").select("p", F.col("x").alias("f"), F.col("nx").alias("nf"), F.col("ox").alias("of"), F.col("cx").alias("cf"))
+    other = (F.col("cx") != F.col("cf")) & ((F.col("cx") == F.col("p")) | (F.col("f") < F.col("x"))) & sized("nf", "nx")
+    enough = lambda overlap: (100 + percent) * overlap >= percent * (F.col("nf") + F.col("nx"))
+    most = F.least("of", "ox") + F.least(F.col("nf") - F.col("of"), F.col("nx") - F.col("ox"))
+    # of a member's shingles beyond the pivot, a partner shares at least what the pivot leaves it short of; so
+    # one of the rarest few is shared, and only those are looked up
+    short = F.greatest(F.ceil(F.col("nx") * percent / 100) - F.col("ox"), F.lit(1))
+    beyond = x.select("p", "x", "nx", "ox", "cx", F.size("extra").alias("k"), F.explode("extra").alias("s"))
+    rank = F.row_number().over(Window.partitionBy("p", "x").orderBy("often", "s"))
+    beyond = beyond.join(beyond.groupBy("p", "s").agg(F.count("*").alias("often")), ["p", "s"]).withColumn("rank", rank)
+    beyond = stored(beyond.where((F.col("rank") <= F.col("k") - short + 1) & (F.col("often") > 1)).select("p", "s", "x", "nx", "ox", "cx"), "beyond")
+    mine = beyond.where("cx <> p").select("p", "s", F.col("x").alias("f"), F.col("nx").alias("nf"), F.col("ox").alias("of"), F.col("cx").alias("cf"))
+    by_extra = mine.join(beyond, ["p", "s"]).where(other & enough(most))
+    # both share at least the overlap that their sizes ask for with the pivot
+    room = F.floor(F.lit(100 + percent) * F.col("of") / percent - F.col("nf")).cast("int")
+    fits = f.select("p", "f", "nf", "of", "cf", F.ceil(F.col("nf") * percent / 100).cast("int").alias("lo"), F.least(room, F.ceil(F.col("nf") * 100 / percent).cast("int")).alias("hi")).where("lo <= hi")
+    by_pivot = fits.select("p", "f", "nf", "of", "cf", F.explode(F.sequence("lo", "hi")).alias("nx")).join(x.drop("extra"), ["p", "nx"])
+    by_pivot = by_pivot.where(other & enough(F.least("of", "ox")))
+    pairs = by_extra.select("f", "x").union(by_pivot.select("f", "x")).select(F.least("f", "x").alias("a"), F.greatest("f", "x").alias("b")).distinct()
+    comp = components(links.union(near).union(stored(linked(pairs), "links")))
     roots = comp.select(F.col("a").alias("rep"), F.col("b").alias("root"))
     out = member.join(roots, "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
