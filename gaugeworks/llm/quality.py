@@ -6,6 +6,8 @@ estimates how often each rule is right; the posterior probability of "good" repl
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,43 +80,77 @@ def measures(docs: DataFrame, text_col: str = "text", as_col: str = "m") -> Data
     return docs.withColumn(as_col, whole)
 
 
-def _qualified(rule: str, struct: str) -> str:
-    for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"):
-        rule = rule.replace(name, f"{struct}.{name}")
-    return rule
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
+
+
+def _of(text: str, struct: str) -> str:
+    return re.sub(rf"\b({'|'.join(MEASURES)})\b", rf"{struct}.\1", text)
 
 
-def votes(struct: str, rules=RULES) -> list[Column]:
+def _votes_sql(rules, struct: str) -> list[str]:
     """1 good, -1 bad, 0 abstain, for each rule."""
-    return [F.expr(f"CASE WHEN {_qualified(bad, struct)} THEN -1 WHEN {_qualified(good, struct)} THEN 1 ELSE 0 END") for _, good, bad in rules]
+    return [f"CASE WHEN {_of(bad, struct)} THEN -1 WHEN {_of(good, struct)} THEN 1 ELSE 0 END" for _, good, bad in rules]
+
+
+def votes(struct: str, rules=RULES) -> Column:
+    """A struct ``v0..`` of all votes. The measures are named once, so that they are worked out once wherever this moves to."""
+    fields = ", ".join(f"'v{j}', {v}" for j, v in enumerate(_votes_sql(rules, "m")))
+    return F.expr(f"transform(array({struct}), m -> named_struct({fields}))[0]")
+
 
+def verdict(struct: str, accuracy: list[float], prior: float, rules=RULES) -> Column:
+    """The measures with ``base_failed``, posterior ``p_good``, the votes and ``kept``; the measures are named once."""
+    fields = ", ".join(f"'v{j}', {v}" for j, v in enumerate(_votes_sql(rules, "m")))
+    side = lambda yes, no: " * ".join(f"CASE v.v{j} WHEN {yes} THEN {a!r}D WHEN {no} THEN 1D - {a!r}D ELSE 1D END" for j, a in enumerate(accuracy))
+    good, bad = f"{prior!r}D * {side(1, -1)}", f"(1D - {prior!r}D) * {side(-1, 1)}"
+    failed = "m.n_words < 50 OR 100 * m.n_repeat_words > 50 * m.n_words"
+    known = ", ".join(f"'{c}', m.{c}" for c in MEASURES)
+    named = ", ".join(f"'vote_{r[0]}', v.v{j}" for j, r in enumerate(rules))
+    odds = f"transform(array(named_struct('g', {good}, 'b', {bad})), o -> o.g / (o.g + o.b))[0]"
+    scored = f"transform(array(named_struct({fields})), v -> named_struct({known}, 'base_failed', {failed}, 'p_good', {odds}, {named}))[0]"
+    every = ", ".join(f"'{c}', r.{c}" for c in (*MEASURES, "base_failed", "p_good", *(f"vote_{r[0]}" for r in rules)))
+    return F.expr(f"transform(array({struct}), m -> transform(array({scored}), r -> named_struct({every}, 'kept', NOT r.base_failed AND r.p_good >= 0.5D))[0])[0]")
 
-def posterior(of: list[Column], accuracy: list[float], prior: float) -> Column:
-    """Probability of "good" given independent votes."""
-    good, bad = F.lit(float(prior)), F.lit(1.0 - prior)
-    for v, a in zip(of, accuracy, strict=True):
-        good = good * F.when(v == 1, F.lit(a)).when(v == -1, F.lit(1.0 - a)).otherwise(F.lit(1.0))
-        bad = bad * F.when(v == -1, F.lit(a)).when(v == 1, F.lit(1.0 - a)).otherwise(F.lit(1.0))
-    return good / (good + bad)
+
+def _likelihood(p: Column, accuracy: Column, of_good: bool) -> Column:
+    """Product over the rules of the chance of a pattern's votes."""
+    right, wrong = (1, -1) if of_good else (-1, 1)
+    part = lambda v, a: F.when(v == right, a).when(v == wrong, 1.0 - a).otherwise(F.lit(1.0))
+    return F.aggregate(F.zip_with(p["v"], accuracy, part), F.lit(1.0), lambda x, y: x * y)
 
 
 def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[list[float], float]:
     """Accuracies and prior by expectation-maximisation.
 
     ``patterns(v0.., n)`` counts each vote pattern, 3 to the power of the rules at most whatever the input's
-    size; each round is one small aggregate that sends one row to the driver.
+    size. All rounds are one expression over that bounded list; one row with the estimates goes to the driver.
     """
-    accuracy, prior = [START_ACCURACY] * n_rules, START_PRIOR
-    for _ in range(rounds):
-        p = posterior([F.col(f"v{j}") for j in range(n_rules)], accuracy, prior)
-        right = [F.sum(F.when(F.col(f"v{j}") == 1, F.col("p") * F.col("n")).when(F.col(f"v{j}") == -1, (1 - F.col("p")) * F.col("n"))).alias(f"r{j}") for j in range(n_rules)]
-        cast = [F.sum(F.when(F.col(f"v{j}") != 0, F.col("n"))).alias(f"c{j}") for j in range(n_rules)]
-        row = patterns.withColumn("p", p).agg(*right, *cast, F.sum(F.col("p") * F.col("n")).alias("good"), F.sum("n").alias("all")).first()
-        if not row["all"]:
-            break
-        accuracy = [min(max(row[f"r{j}"] / row[f"c{j}"], ACCURACY[0]), ACCURACY[1]) if row[f"c{j}"] else accuracy[j] for j in range(n_rules)]
-        prior = min(max(row["good"] / row["all"], 0.05), 0.95)
-    return accuracy, prior
+    low, high = (F.lit(x) for x in ACCURACY)
+    row = F.struct(F.array(*[F.col(f"v{j}") for j in range(n_rules)]).alias("v"), F.col("n").cast("double").alias("n"))
+    listed = patterns.agg(F.sort_array(F.collect_list(row)).alias("ps"))
+    state = lambda a, prior: F.struct(a.alias("a"), prior.alias("prior"))
+
+    def round_(now: Column, ps: Column) -> Column:
+        def share(p: Column) -> Column:
+            good, bad = now["prior"] * _likelihood(p, now["a"], True), (1.0 - now["prior"]) * _likelihood(p, now["a"], False)
+            return F.struct(p["v"].alias("v"), p["n"].alias("n"), (good / (good + bad)).alias("g"))
+
+        def improve(qs: Column) -> Column:
+            def accuracy(a: Column, j: Column) -> Column:
+                cast = F.aggregate(qs, F.lit(0.0), lambda x, q: x + F.when(q["v"][j] != 0, q["n"]).otherwise(F.lit(0.0)))
+                right = F.aggregate(qs, F.lit(0.0), lambda x, q: x + F.when(q["v"][j] == 1, q["g"] * q["n"]).when(q["v"][j] == -1, (1.0 - q["g"]) * q["n"]).otherwise(F.lit(0.0)))
+                return F.when(cast > 0, F.least(F.greatest(right / F.nullif(cast, F.lit(0.0)), low), high)).otherwise(a)
+
+            good = F.aggregate(qs, F.lit(0.0), lambda x, q: x + q["g"] * q["n"])
+            total = F.aggregate(qs, F.lit(0.0), lambda x, q: x + q["n"])
+            return state(F.transform(now["a"], accuracy), F.least(F.greatest(good / total, F.lit(0.05)), F.lit(0.95)))
+
+        return bind(F.transform(ps, share), improve)
+
+    start = state(F.array(*[F.lit(START_ACCURACY)] * n_rules), F.lit(START_PRIOR))
+    steps = F.when(F.size("ps") > 0, F.sequence(F.lit(1), F.lit(rounds))).otherwise(F.array().cast("array<int>"))
+    found = listed.select(F.aggregate(steps, start, lambda now, _: round_(now, F.col("ps"))).alias("s")).first()["s"]
+    return list(found["a"]), found["prior"]
 
 
 def judged(docs: DataFrame, text_col: str = "text", rules=RULES, rounds: int = ROUNDS) -> tuple[DataFrame, str]:
@@ -124,14 +160,10 @@ def judged(docs: DataFrame, text_col: str = "text", rules=RULES, rounds: int = R
     Null or empty text fails the base rule. An empty table gives no rows. Equal texts get equal verdicts.
     """
     name = free_name(docs, "quality")
-    of = votes(name, rules)
     measured = measures(docs, text_col, name)
-    patterns = measured.groupBy(*[v.alias(f"v{j}") for j, v in enumerate(of)]).agg(F.count("*").alias("n"))
-    accuracy, prior = fit(stored(patterns, "votes"), len(rules), rounds)
-    failed = F.expr(f"{name}.n_words < 50 OR 100 * {name}.n_repeat_words > 50 * {name}.n_words")
-    verdict = F.struct(f"{name}.*", failed.alias("base_failed"), posterior(of, accuracy, prior).alias("p_good"), *[v.alias(f"vote_{r[0]}") for v, r in zip(of, rules, strict=True)])
-    full = measured.withColumn(name, verdict)
-    return full.withColumn(name, F.struct(f"{name}.*", (~F.col(f"{name}.base_failed") & (F.col(f"{name}.p_good") >= 0.5)).alias("kept"))), name
+    counted = measured.select(votes(name, rules).alias("v")).groupBy(*[f"v.v{j}" for j in range(len(rules))]).agg(F.count("*").alias("n"))
+    accuracy, prior = fit(stored(counted, "votes"), len(rules), rounds)
+    return measured.withColumn(name, verdict(name, accuracy, prior, rules)), name
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
