@@ -15,15 +15,20 @@ from gaugeworks.llm.common import WORD_GAP, free_name, stored
 
 SYMBOLS = "[^#*$%&|<>]+"
 ROUNDS = 12
-#: A vote's accuracy stays within these, so that no rule can decide alone.
-ACCURACY = (0.55, 0.95)
-START_ACCURACY, START_PRIOR = 0.8, 0.7
+#: A rule's accuracies, and between which values they stay: how often it votes good on good documents, bad on
+#: good ones (a false alarm), bad on bad ones (caught) and good on bad ones (missed). Each rule looks for another
+#: fault, so a bad document mostly trips one rule and pleases the others: a good vote says little, an alarm much.
+#: The bounds keep the estimates to that, else the commonest fault would be taken for all of "bad".
+ACCURACIES = ("yes", "alarm", "caught", "missed")
+BOUNDS = {"yes": (0.02, 0.94), "alarm": (0.0005, 0.002), "caught": (0.15, 0.22), "missed": (0.7, 0.75)}
+START = {"yes": 0.8, "alarm": 0.001, "caught": 0.18, "missed": 0.72}
+START_PRIOR, PRIOR = 0.8, (0.5, 0.9)
 #: (name, condition for good, condition for bad), as SQL over the measures; else the rule abstains.
 RULES = (
     ("length", "n_words >= 100", "n_words < 50"),
     ("symbols", "100 * n_symbols <= 5 * n_words", "100 * n_symbols > 20 * n_words"),
     ("repeats", "100 * n_repeat_words <= 15 * n_words", "100 * n_repeat_words > 30 * n_words"),
-    ("lines", "10 * n_dup_lines <= n_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("lines", "10 * n_dup_lines <= n_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines"),
     ("word_size", "word_chars BETWEEN 2 * n_words AND 12 * n_words", "word_chars > 20 * n_words OR word_chars < 2 * n_words"),
     ("capitals", "100 * n_upper <= 20 * word_chars", "100 * n_upper > 50 * word_chars"),
 )
@@ -98,11 +103,19 @@ def votes(struct: str, rules=RULES) -> Column:
     return F.expr(f"transform(array({struct}), m -> named_struct({fields}))[0]")
 
 
-def verdict(struct: str, accuracy: list[float], prior: float, rules=RULES) -> Column:
+def _odds_sql(model: list[dict[str, float]], struct: str) -> tuple[str, str]:
+    """Chances of a pattern of votes for good and for bad documents."""
+
+    def side(up: str, down: str) -> str:
+        return " * ".join(f"CASE {struct}.v{j} WHEN 1 THEN {r[up]!r}D WHEN -1 THEN {r[down]!r}D ELSE {1 - r[up] - r[down]!r}D END" for j, r in enumerate(model))
+
+    return side("yes", "alarm"), side("missed", "caught")
+
+
+def verdict(struct: str, model: list[dict[str, float]], prior: float, rules=RULES) -> Column:
     """The measures with ``base_failed``, posterior ``p_good``, the votes and ``kept``; the measures are named once."""
     fields = ", ".join(f"'v{j}', {v}" for j, v in enumerate(_votes_sql(rules, "m")))
-    side = lambda yes, no: " * ".join(f"CASE v.v{j} WHEN {yes} THEN {a!r}D WHEN {no} THEN 1D - {a!r}D ELSE 1D END" for j, a in enumerate(accuracy))
-    good, bad = f"{prior!r}D * {side(1, -1)}", f"(1D - {prior!r}D) * {side(-1, 1)}"
+    good, bad = (f"{p!r}D * {x}" for p, x in zip((prior, 1 - prior), _odds_sql(model, "v"), strict=True))
     failed = "m.n_words < 50 OR 100 * m.n_repeat_words > 50 * m.n_words"
     known = ", ".join(f"'{c}', m.{c}" for c in MEASURES)
     named = ", ".join(f"'vote_{r[0]}', v.v{j}" for j, r in enumerate(rules))
@@ -112,45 +125,48 @@ def verdict(struct: str, accuracy: list[float], prior: float, rules=RULES) -> Co
     return F.expr(f"transform(array({struct}), m -> transform(array({scored}), r -> named_struct({every}, 'kept', NOT r.base_failed AND r.p_good >= 0.5D))[0])[0]")
 
 
-def _likelihood(p: Column, accuracy: Column, of_good: bool) -> Column:
-    """Product over the rules of the chance of a pattern's votes."""
-    right, wrong = (1, -1) if of_good else (-1, 1)
-    part = lambda v, a: F.when(v == right, a).when(v == wrong, 1.0 - a).otherwise(F.lit(1.0))
-    return F.aggregate(F.zip_with(p["v"], accuracy, part), F.lit(1.0), lambda x, y: x * y)
-
-
-def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[list[float], float]:
-    """Accuracies and prior by expectation-maximisation.
+def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[list[dict[str, float]], float]:
+    """Each rule's accuracies and the share of good documents, by expectation-maximisation.
 
     ``patterns(v0.., n)`` counts each vote pattern, 3 to the power of the rules at most whatever the input's
     size. All rounds are one expression over that bounded list; one row with the estimates goes to the driver.
     """
-    low, high = (F.lit(x) for x in ACCURACY)
     row = F.struct(F.array(*[F.col(f"v{j}") for j in range(n_rules)]).alias("v"), F.col("n").cast("double").alias("n"))
     listed = patterns.agg(F.sort_array(F.collect_list(row)).alias("ps"))
-    state = lambda a, prior: F.struct(a.alias("a"), prior.alias("prior"))
+    rule = lambda of: F.struct(*[of(k).alias(k) for k in ACCURACIES])
+    state = lambda rs, prior: F.struct(rs.alias("rs"), prior.alias("prior"))
+    total = lambda qs, of: F.aggregate(qs, F.lit(0.0), lambda x, q: x + of(q))
+
+    def chance(p: Column, rs: Column, up: str, down: str) -> Column:
+        part = lambda v, r: F.when(v == 1, r[up]).when(v == -1, r[down]).otherwise(1.0 - r[up] - r[down])
+        return F.aggregate(F.zip_with(p["v"], rs, part), F.lit(1.0), lambda x, y: x * y)
 
     def round_(now: Column, ps: Column) -> Column:
         def share(p: Column) -> Column:
-            good, bad = now["prior"] * _likelihood(p, now["a"], True), (1.0 - now["prior"]) * _likelihood(p, now["a"], False)
-            return F.struct(p["v"].alias("v"), p["n"].alias("n"), (good / (good + bad)).alias("g"))
+            good, bad = now["prior"] * chance(p, now["rs"], "yes", "alarm"), (1.0 - now["prior"]) * chance(p, now["rs"], "missed", "caught")
+            return F.struct(p["v"].alias("v"), (p["n"] * good / (good + bad)).alias("g"), (p["n"] * bad / (good + bad)).alias("b"))
 
         def improve(qs: Column) -> Column:
-            def accuracy(a: Column, j: Column) -> Column:
-                cast = F.aggregate(qs, F.lit(0.0), lambda x, q: x + F.when(q["v"][j] != 0, q["n"]).otherwise(F.lit(0.0)))
-                right = F.aggregate(qs, F.lit(0.0), lambda x, q: x + F.when(q["v"][j] == 1, q["g"] * q["n"]).when(q["v"][j] == -1, (1.0 - q["g"]) * q["n"]).otherwise(F.lit(0.0)))
-                return F.when(cast > 0, F.least(F.greatest(right / F.nullif(cast, F.lit(0.0)), low), high)).otherwise(a)
+            def better(whole: Column) -> Column:
+                def of_rule(_: Column, j: Column) -> Column:
+                    def rate(k: str) -> Column:
+                        vote, side = (1 if k in ("yes", "missed") else -1), ("g" if k in ("yes", "alarm") else "b")
+                        seen = total(qs, lambda q: F.when(q["v"][j] == vote, q[side]).otherwise(F.lit(0.0))) / F.greatest(whole[side], F.lit(1e-9))
+                        return F.least(F.greatest(seen, F.lit(BOUNDS[k][0])), F.lit(BOUNDS[k][1]))
+
+                    return rule(rate)
+
+                prior = F.least(F.greatest(whole["g"] / (whole["g"] + whole["b"]), F.lit(PRIOR[0])), F.lit(PRIOR[1]))
+                return state(F.transform(now["rs"], of_rule), prior)
 
-            good = F.aggregate(qs, F.lit(0.0), lambda x, q: x + q["g"] * q["n"])
-            total = F.aggregate(qs, F.lit(0.0), lambda x, q: x + q["n"])
-            return state(F.transform(now["a"], accuracy), F.least(F.greatest(good / total, F.lit(0.05)), F.lit(0.95)))
+            return bind(F.struct(total(qs, lambda q: q["g"]).alias("g"), total(qs, lambda q: q["b"]).alias("b")), better)
 
         return bind(F.transform(ps, share), improve)
 
-    start = state(F.array(*[F.lit(START_ACCURACY)] * n_rules), F.lit(START_PRIOR))
+    start = state(F.array(*[rule(lambda k: F.lit(START[k]))] * n_rules), F.lit(START_PRIOR))
     steps = F.when(F.size("ps") > 0, F.sequence(F.lit(1), F.lit(rounds))).otherwise(F.array().cast("array<int>"))
     found = listed.select(F.aggregate(steps, start, lambda now, _: round_(now, F.col("ps"))).alias("s")).first()["s"]
-    return list(found["a"]), found["prior"]
+    return [r.asDict() for r in found["rs"]], found["prior"]
 
 
 def judged(docs: DataFrame, text_col: str = "text", rules=RULES, rounds: int = ROUNDS) -> tuple[DataFrame, str]:
@@ -162,8 +178,8 @@ def judged(docs: DataFrame, text_col: str = "text", rules=RULES, rounds: int = R
     name = free_name(docs, "quality")
     measured = measures(docs, text_col, name)
     counted = measured.select(votes(name, rules).alias("v")).groupBy(*[f"v.v{j}" for j in range(len(rules))]).agg(F.count("*").alias("n"))
-    accuracy, prior = fit(stored(counted, "votes"), len(rules), rounds)
-    return measured.withColumn(name, verdict(name, accuracy, prior, rules)), name
+    model, prior = fit(stored(counted, "votes"), len(rules), rounds)
+    return measured.withColumn(name, verdict(name, model, prior, rules)), name
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,13 +199,14 @@ def _sql() -> str:
     gap = r"[\x20\x09-\x0D]+"
     v = [f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{j}" for j, (_, good, bad) in enumerate(RULES)]
     n = len(RULES)
-    p = lambda t: "{0}.prior * " .format(t) + " * ".join(f"CASE v{j} WHEN 1 THEN {t}.a{j} WHEN -1 THEN 1.0 - {t}.a{j} ELSE 1.0 END" for j in range(n))
-    q = lambda t: "(1.0 - {0}.prior) * ".format(t) + " * ".join(f"CASE v{j} WHEN -1 THEN {t}.a{j} WHEN 1 THEN 1.0 - {t}.a{j} ELSE 1.0 END" for j in range(n))
-    parts = [f"e0 AS (SELECT {', '.join(f'{START_ACCURACY}::DOUBLE AS a{j}' for j in range(n))}, {START_PRIOR}::DOUBLE AS prior)"]
-    for k in range(ROUNDS):
-        parts.append(f"q{k} AS MATERIALIZED (SELECT pt.*, ({p('e')}) / (({p('e')}) + ({q('e')})) AS p FROM pt, e{k} e)")
-        acc = ", ".join(f"coalesce(least(greatest(sum(CASE v{j} WHEN 1 THEN p * n WHEN -1 THEN (1 - p) * n END) / sum(CASE WHEN v{j} <> 0 THEN n END), {ACCURACY[0]}), {ACCURACY[1]}), any_value(e.a{j})) AS a{j}" for j in range(n))
-        parts.append(f"e{k + 1} AS MATERIALIZED (SELECT {acc}, least(greatest(sum(p * n) / sum(n), 0.05), 0.95) AS prior FROM q{k}, e{k} e)")
+    side = lambda up, down: " * ".join(f"CASE v{j} WHEN 1 THEN e.{up}{j} WHEN -1 THEN e.{down}{j} ELSE 1 - e.{up}{j} - e.{down}{j} END" for j in range(n))
+    good, bad = f"e.prior * {side('yes', 'alarm')}", f"(1 - e.prior) * {side('missed', 'caught')}"
+    parts = [f"e0 AS (SELECT {', '.join(f'{START[k]}::DOUBLE AS {k}{j}' for j in range(n) for k in ACCURACIES)}, {START_PRIOR}::DOUBLE AS prior)"]
+    for r in range(ROUNDS):
+        parts.append(f"o{r} AS (SELECT pt.*, {good} AS og, {bad} AS ob FROM pt, e{r} e)")
+        parts.append(f"q{r} AS MATERIALIZED (SELECT *, n * og / (og + ob) AS g, n * ob / (og + ob) AS b FROM o{r})")
+        rate = lambda k, j: f"least(greatest(coalesce(sum({'g' if k in ('yes', 'alarm') else 'b'}) FILTER (v{j} = {1 if k in ('yes', 'missed') else -1}), 0) / greatest(sum({'g' if k in ('yes', 'alarm') else 'b'}), 1e-9), {BOUNDS[k][0]}), {BOUNDS[k][1]}) AS {k}{j}"
+        parts.append(f"e{r + 1} AS MATERIALIZED (SELECT {', '.join(rate(k, j) for j in range(n) for k in ACCURACIES)}, least(greatest(sum(g) / (sum(g) + sum(b)), {PRIOR[0]}), {PRIOR[1]}) AS prior FROM q{r})")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS MATERIALIZED (SELECT rid, list_filter(string_split_regex(t, '{gap}'), lambda x: x <> '') AS w FROM d),
@@ -204,10 +221,8 @@ f AS MATERIALIZED (SELECT d.rid, doc_id, len(w)::BIGINT AS n_words, length(array
 g AS MATERIALIZED (SELECT *, {', '.join(v)} FROM f),
 pt AS MATERIALIZED (SELECT {', '.join(f'v{j}' for j in range(n))}, count(*) AS n FROM g GROUP BY ALL),
 {', '.join(parts)}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND ({p('e')}) / (({p('e')}) + ({q('e')})) >= 0.5 AS kept,
-  round(({p('e')}) / (({p('e')}) + ({q('e')})), 6) AS p_good
-FROM g, e{ROUNDS} e
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND og / (og + ob) >= 0.5 AS kept, round(og / (og + ob), 6) AS p_good
+FROM (SELECT g.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed, {good} AS og, {bad} AS ob FROM g, e{ROUNDS} e)
 """
 
 

@@ -46,13 +46,19 @@ def test_quality_measures(spark):
 
 def test_quality_em_finds_planted_accuracies(spark):
     rng = np.random.default_rng(3)
-    good = rng.random(4000) < 0.7
-    accuracy, cast = [0.9, 0.8, 0.7, 0.85], [1.0, 0.6, 0.9, 0.5]
-    votes = [np.where(rng.random(4000) < c, np.where((rng.random(4000) < a) == good, 1, -1), 0) for a, c in zip(accuracy, cast, strict=True)]
+    good = rng.random(8000) < 0.7
+    rates = [(0.9, 0.001, 0.2, 0.72), (0.7, 0.001, 0.19, 0.71), (0.8, 0.0015, 0.2, 0.74), (0.85, 0.001, 0.18, 0.72), (0.6, 0.001, 0.2, 0.73)]
+    votes = []
+    for yes, alarm, caught, missed in rates:
+        u = rng.random(8000)
+        votes.append(np.where(good, np.where(u < yes, 1, np.where(u < yes + alarm, -1, 0)), np.where(u < missed, 1, np.where(u < missed + caught, -1, 0))))
     counts = Counter(zip(*(v.tolist() for v in votes), strict=True))
-    table = spark.createDataFrame([(*k, n) for k, n in counts.items()], "v0 int, v1 int, v2 int, v3 int, n long")
-    found, prior = quality.fit(table, 4, 30)
-    assert found == pytest.approx(accuracy, abs=0.06) and prior == pytest.approx(0.7, abs=0.06)
+    table = spark.createDataFrame([(*k, n) for k, n in counts.items()], "v0 int, v1 int, v2 int, v3 int, v4 int, n long")
+    found, prior = quality.fit(table, 5, 40)
+    for got, want in zip(found, rates, strict=True):
+        assert got["yes"] == pytest.approx(want[0], abs=0.05)
+        assert all(low <= got[k] <= high for k, (low, high) in quality.BOUNDS.items())
+    assert prior == pytest.approx(0.7, abs=0.1)
 
 
 def test_quality_keeps_columns_and_empty_tables(spark):
