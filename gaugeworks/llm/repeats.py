@@ -203,7 +203,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long = base.where(F.octet_length("t") >= window).select("key", "t")
     runs = stored(long.mapInArrow(_emit_runs(window, gram), "key long, digit long, whole long, first long, n int, lead int"), "runs")
     span = lambda first, n: F.struct(first.cast("long").alias("a"), (first + n - 1 + window).cast("long").alias("b"))
-    several = runs.groupBy("digit").agg(F.count("*").alias("c")).where("c > 1").select("digit")
+    # stored apart, so that adaptive execution can split the join on a digit that very many runs have
+    several = stored(runs.groupBy("digit").agg(F.count("*").alias("c")).where("c > 1").select("digit"), "several")
     held = stored(runs.join(several, "digit"), "held")
     classes = stored(held.groupBy("digit", "whole").agg(F.count("*").alias("c"), F.min(F.struct("key", "first", "n", "lead")).alias("m")), "classes")
     mixed = classes.groupBy("digit").agg(F.count("*").alias("k")).where("k > 1").select("digit")
