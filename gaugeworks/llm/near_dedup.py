@@ -150,7 +150,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bodies = named.join(attached.select(F.col("p").alias("c")).distinct(), "c", "left_semi").join(sets, "id")
     common = bodies.select("c", F.explode("s").alias("s")).groupBy("c", "s").agg(F.count("*").alias("k")).join(size, "c").where("2 * k > size")
     pivots = common.groupBy(F.col("c").alias("p")).agg(F.collect_list("s").alias("ps"))
-    around = attached.join(sets, "id").join(pivots, "p")
+    # a component that drifts may have no shingle in common: its pivot is empty, and all its shingles are extra
+    around = attached.join(sets, "id").join(pivots, "p", "left").withColumn("ps", F.coalesce("ps", F.array().cast("array<long>")))
     around = stored(around.select("p", "id", "was", F.size("s").alias("n"), F.size(F.array_intersect("s", "ps")).alias("o"), F.array_except("s", "ps").alias("extra")), "around")
     nearest = around.where("was = p").groupBy("p").agg(F.max(F.struct("o", (-F.col("id")).alias("minus"))).alias("m")).select("p", (-F.col("m.minus")).alias("a"))
     near = stored(linked(around.where("was <> p").join(nearest, "p").select("a", F.col("id").alias("b")).distinct()), "near")
