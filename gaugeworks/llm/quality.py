@@ -1,7 +1,8 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
 Rules vote good, bad or abstain on a document; expectation-maximisation over the counts of vote patterns
-estimates how often each rule is right; the posterior probability of "good" replaces all-must-pass filtering.
+estimates how often each rule is right, within narrow bounds set by hand (README): one bad vote against five
+good ones always rejects. A document is kept by its posterior probability of "good".
 """
 
 from __future__ import annotations
