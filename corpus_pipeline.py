@@ -13,8 +13,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id."""
-    return near_dedup.keep_one(docs)
+    """One document of each near-duplicate group by five-word shingles, that with the smallest id."""
+    return near_dedup.keep_one(docs, shingle=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
