@@ -24,6 +24,11 @@ ENDS = {
 }
 ENDS["tbody"] = ENDS["tfoot"] = ENDS["thead"]
 CELL_WALL = frozenset({"table", "td", "th", "caption", "html", "body"})
+#: Parts of a table, and in which of them each may stand; a row around loose cells is implied.
+_SECTIONS = frozenset({"table", "thead", "tbody", "tfoot"})
+PLACES = {"tr": _SECTIONS, "td": _SECTIONS | {"tr"}, "th": _SECTIONS | {"tr"}, "col": frozenset({"table", "colgroup"})} | dict.fromkeys(("thead", "tbody", "tfoot", "caption", "colgroup"), frozenset({"table"}))
+#: Where only parts of a table may stand: anything else moves out, to before the table.
+STRICT = _SECTIONS | {"tr"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
@@ -54,9 +59,20 @@ def tree(page: str) -> Node:
             if open_[k].tag in limits:
                 return
 
+    def table() -> int:
+        """The place of the innermost open table, or 0."""
+        return next((k for k in range(len(open_) - 1, 0, -1) if open_[k].tag == "table"), 0)
+
+    def place(child: Node | str) -> None:
+        """Below the innermost open element; out of a table, before it, if only parts of a table may stand there."""
+        if (k := table() if open_[-1].tag in STRICT else 0) and (child.strip(" \t\n\r\f") if isinstance(child, str) else child.tag not in PLACES):
+            open_[k - 1].children.insert(-1, child)  # an open table is its parent's last child
+        else:
+            open_[-1].children.append(child)
+
     def text(s: str) -> None:
         if s:
-            open_[-1].children.append(html.unescape(s))
+            place(html.unescape(s))
 
     at = 0
     while found := _TOKEN.search(page, at):
@@ -66,7 +82,7 @@ def tree(page: str) -> Node:
             end = end.lower()
             wall = {"table", "html"} if end in ("tr", "td", "th", "thead", "tbody", "tfoot", "caption") else frozenset() if end in ("table", "body", "html") else CELL_WALL
             if end == "br":
-                open_[-1].children.append(Node("br", {}))
+                place(Node("br", {}))
             elif end not in ("html", "body"):
                 for k in range(len(open_) - 1, 0, -1):
                     if open_[k].tag == end:
@@ -86,10 +102,20 @@ def tree(page: str) -> Node:
                 close({"head"}, set())
                 if any(n.tag == "body" for n in open_):
                     continue
-            if tag in ENDS:
-                close(*ENDS[tag])
             node = Node(tag, attributes)
-            open_[-1].children.append(node)
+            if tag == "form" and open_[-1].tag in STRICT and table():
+                continue  # stays empty within a table
+            if tag == "table" and open_[-1].tag in STRICT and (k := table()):
+                del open_[k:]  # a table directly in a table ends it
+            if tag in PLACES and table():
+                while open_[-1].tag not in PLACES[tag]:
+                    open_.pop()
+                if tag in ("td", "th") and open_[-1].tag != "tr":
+                    open_[-1].children.append(row := Node("tr", {}))
+                    open_.append(row)
+            elif tag in ENDS:
+                close(*ENDS[tag])
+            place(node)
             if tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 stop_at = stop.start() if stop else len(page)
