@@ -113,9 +113,10 @@ def pct_change(new: Column, old: Column) -> Column:
     return F.when(old != 0, (new - old) / F.abs(old) * 100).otherwise(F.lit(0.0))
 
 
-def daily_means(obs: DataFrame, start: str, end: str) -> DataFrame:
-    """Mean by metric and UTC day over [start, end)."""
-    inside = obs.where((F.col("observed_at") >= moment(start)) & (F.col("observed_at") < moment(end)))
+def daily_means(obs: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Mean by metric and UTC day over [start, end); a bound that is None is open."""
+    inside = obs if start is None else obs.where(F.col("observed_at") >= moment(start))
+    inside = inside if end is None else inside.where(F.col("observed_at") < moment(end))
     return inside.groupBy("fq_name", F.to_date("observed_at").alias("day")).agg(F.avg("value").alias("value"))
 
 

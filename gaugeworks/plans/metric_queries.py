@@ -355,7 +355,7 @@ _SINCE = B.shifted(T.SHIPMENTS_AS_OF, -30 * DAY)
 
 @query("daily_means", f"WITH {OE} SELECT fq_name, strftime(tm, '%Y-%m-%d') AS day, round(avg(value) + 1.3e-7, 6) AS value FROM oe GROUP BY ALL")
 def daily_means(spark, sf):
-    return B.daily_means(T.obs_events(spark, sf), "2024-01-01 00:00:00", "2024-02-01 00:00:00").select("fq_name", F.col("day").cast("string").alias("day"), rounded("value").alias("value"))
+    return B.daily_means(T.obs_events(spark, sf)).select("fq_name", F.col("day").cast("string").alias("day"), rounded("value").alias("value"))
 
 
 _SIBLINGS = f"""dm AS (SELECT fq_name, tm::DATE AS day, avg(value) AS v FROM os WHERE tm >= TIMESTAMP '{_SINCE}' AND tm < TIMESTAMP '{B.shifted(T.SHIPMENTS_AS_OF, 1)}' GROUP BY ALL),
