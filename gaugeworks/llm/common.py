@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: At most so many ids are broadcast (8 bytes each, about 100 MB once hashed); more are shuffled.
+BROADCAST_IDS = 1 << 21
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """Stored ``ids``, marked for broadcast if a count shows that there are at most BROADCAST_IDS."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Store ``df`` bucketed and sorted by ``key`` in the shared folder; joins on ``key`` then don't shuffle it again."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    base = f"gaugeworks_{zlib.crc32(folder.encode()):08x}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {base} LOCATION '{folder}/{base}'")
+    table, n = f"{base}.{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, or with underscores in front until no column of ``df`` is called so (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import components, stored
+from gaugeworks.llm.common import bucketed, components, free_name, small, stored
 from gaugeworks.llm.hashing import mix, pair, word_hashes
 
 #: Fixed: with r rows a band, two sets of similarity 0.8 miss all BANDS bands with (1 - 0.8**ROWS)**BANDS = 2e-9.
@@ -122,15 +122,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = stored(base.mapInArrow(_sketch(shingle, rows, bands), "id long, n long, print binary, bands array<long>"), "sketch")
     live = sketch.where("n > 0 AND id IS NOT NULL")
     classes = stored(live.groupBy("print").agg(F.min("id").alias("rep")), "classes")
-    member = sketch.select("id", "n", "print").join(classes, "print", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep"))
-    banded = live.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", F.explode("bands").alias("key"))
-    crowded = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    member = sketch.select("id", "n", "print").join(classes, "print", "left")
+    member = stored(member.select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep")), "member")
+    # ids that stand for no class; few enough to be broadcast, they keep the bands of all others from a shuffle
+    copies = stored(member.where("id <> rep").select("id").distinct().join(classes.select(F.col("rep").alias("id")), "id", "left_anti"), "copies")
+    banded = live.join(small(copies), "id", "left_anti").select("id", "n", F.explode("bands").alias("key"))
+    crowded = banded.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     buckets = stored(banded.join(crowded, "key").distinct(), "buckets")
-    sets = stored(base.join(buckets.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(shingle), "id long, s array<long>"), "sets")
+    wanted = stored(buckets.select("id").distinct(), "wanted")
+    sets = bucketed(base.join(small(wanted), "id", "left_semi").mapInArrow(_sets(shingle), "id long, s array<long>"), "sets", "id")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        both = left.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").where("a <> b")
+        """Pairs ``a, b`` whose sets are similar. ``a`` may be hot: both sides of its join are dealt anew, so that it can be split."""
+        pairs = stored(pairs.where("a <> b").distinct(), "pairs")
+        heads = pairs.select(F.col("a").alias("id")).distinct().join(sets, "id").select(F.col("id").alias("a"), F.col("s").alias("sa"))
+        both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(stored(heads, "heads"), "a")
         shared = F.size(F.array_intersect("sa", "sb"))
         return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
@@ -138,24 +144,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """``c``: the component of each row's ``id``."""
         return rows.join(components(links).select(F.col("a").alias("id"), F.col("b").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
 
-    centre = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m")).select("key", F.col("m.id").alias("a"), F.col("m.n").alias("an"))
+    centre = stored(buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m")).select("key", F.col("m.id").alias("a"), F.col("m.n").alias("an")), "centre")
     sized = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    links = stored(linked(buckets.join(centre, "key").where((F.col("id") != F.col("a")) & sized("n", "an")).select("a", F.col("id").alias("b")).distinct()), "links")
-
-    named = stored(labelled(sets.select("id"), links), "named")
-    size = named.groupBy("c").agg(F.count("*").alias("size"))
-    held = buckets.select("key", "id").join(named, "id").join(size, "c")
-    pivot = held.groupBy("key").agg(F.max(F.struct("size", (-F.col("c")).alias("minus"))).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", (-F.col("m.minus")).alias("p"))
+    links = stored(linked(buckets.join(centre, "key").where(sized("n", "an")).select("a", F.col("id").alias("b"))), "links")
+
+    # what is grouped by a component, bucket or pivot is stored before it is joined, so that a hot one can be split
+    named = stored(labelled(wanted, links), "named")
+    size = stored(named.groupBy("c").agg(F.count("*").alias("size")), "size")
+    named = stored(named.join(size, "c"), "named")
+    held = stored(buckets.select("key", "id").join(named, "id"), "held")
+    pivot = held.groupBy("key").agg(F.max(F.struct("size", (-F.col("c")).alias("minus"))).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    pivot = stored(pivot.select("key", (-F.col("m.minus")).alias("p")), "pivot")
     attached = stored(held.join(pivot, "key").select("p", "id", F.col("c").alias("was")).distinct(), "attached")
-    bodies = named.join(attached.select(F.col("p").alias("c")).distinct(), "c", "left_semi").join(sets, "id")
-    common = bodies.select("c", F.explode("s").alias("s")).groupBy("c", "s").agg(F.count("*").alias("k")).join(size, "c").where("2 * k > size")
-    pivots = common.groupBy(F.col("c").alias("p")).agg(F.collect_list("s").alias("ps"))
+    bodies = named.join(stored(attached.select(F.col("p").alias("c")).distinct(), "centres"), "c", "left_semi")
+    common = bodies.join(sets, "id").select("c", "size", F.explode("s").alias("s")).groupBy("c", "size", "s").agg(F.count("*").alias("k")).where("2 * k > size")
+    pivots = stored(common.groupBy(F.col("c").alias("p")).agg(F.collect_list("s").alias("ps")), "pivots")
     # a component that drifts may have no shingle in common: its pivot is empty, and all its shingles are extra
     around = attached.join(sets, "id").join(pivots, "p", "left").withColumn("ps", F.coalesce("ps", F.array().cast("array<long>")))
     around = stored(around.select("p", "id", "was", F.size("s").alias("n"), F.size(F.array_intersect("s", "ps")).alias("o"), F.array_except("s", "ps").alias("extra")), "around")
-    nearest = around.where("was = p").groupBy("p").agg(F.max(F.struct("o", (-F.col("id")).alias("minus"))).alias("m")).select("p", (-F.col("m.minus")).alias("a"))
-    near = stored(linked(around.where("was <> p").join(nearest, "p").select("a", F.col("id").alias("b")).distinct()), "near")
-    joined = near.join(nearest, "a").select("p", F.col("b").alias("id"), F.lit(True).alias("joined"))
+    nearest = around.where("was = p").groupBy("p").agg(F.max(F.struct("o", (-F.col("id")).alias("minus"))).alias("m"))
+    nearest = stored(nearest.select("p", (-F.col("m.minus")).alias("a")), "nearest")
+    near = stored(linked(around.where("was <> p").select("p", "id").join(nearest, "p").select("a", F.col("id").alias("b"))), "near")
+    joined = stored(near.join(nearest, "a").select("p", F.col("b").alias("id"), F.lit(True).alias("joined")), "joined")
     around = around.join(joined, ["p", "id"], "left").withColumn("c", F.when(F.col("joined"), F.col("p")).otherwise(F.col("was")))
     x = around.select("p", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("o").alias("ox"), F.col("c").alias("cx"), "extra")
     f = x.where("cx <> p").select("p", F.col("x").alias("f"), F.col("nx").alias("nf"), F.col("ox").alias("of"), F.col("cx").alias("cf"))
@@ -167,7 +177,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = F.greatest(F.ceil(F.col("nx") * percent / 100) - F.col("ox"), F.lit(1))
     beyond = x.select("p", "x", "nx", "ox", "cx", F.size("extra").alias("k"), F.explode("extra").alias("s"))
     rank = F.row_number().over(Window.partitionBy("p", "x").orderBy("often", "s"))
-    beyond = beyond.join(beyond.groupBy("p", "s").agg(F.count("*").alias("often")), ["p", "s"]).withColumn("rank", rank)
+    beyond = stored(beyond, "extras")
+    often = stored(beyond.groupBy("p", "s").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    beyond = beyond.join(often, ["p", "s"], "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("rank", rank)
     beyond = stored(beyond.where((F.col("rank") <= F.col("k") - short + 1) & (F.col("often") > 1)).select("p", "s", "x", "nx", "ox", "cx"), "beyond")
     mine = beyond.where("cx <> p").select("p", "s", F.col("x").alias("f"), F.col("nx").alias("nf"), F.col("ox").alias("of"), F.col("cx").alias("cf"))
     by_extra = mine.join(beyond, ["p", "s"]).where(other & enough(most))
@@ -185,5 +197,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate component: the one with the smallest id; rows without id stay."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    name = free_name(docs, "gone")
+    gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(small(stored(gone, "gone")), F.col(id_col).cast("long") == F.col(name), "left_anti")
