@@ -63,22 +63,66 @@ def recompute(obs: DataFrame, old: DataFrame, as_of: str, since: str | None = No
     return upsert(old, compute(live, as_of, days))
 
 
+_PART = ("n", "mean", "m2", "lo", "hi")
+
+
+def merged(a: Column, b: Column) -> Column:
+    """Count, mean, sum of squared deviations and extremes of two disjoint parts taken together; only sums, so nothing cancels."""
+    n, gap = a["n"] + b["n"], b["mean"] - a["mean"]
+    both = F.struct(n.alias("n"), (a["mean"] + gap * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + gap * gap * a["n"] * b["n"] / n).alias("m2"), F.least(a["lo"], b["lo"]).alias("lo"), F.greatest(a["hi"], b["hi"]).alias("hi"))
+    return F.when(F.coalesce(b["n"], F.lit(0)) == 0, a).when(a["n"] == 0, b).otherwise(both)
+
+
+def _nothing() -> Column:
+    none = F.lit(None).cast("double")
+    return F.struct(F.lit(0).cast("long").alias("n"), none.alias("mean"), none.alias("m2"), none.alias("lo"), none.alias("hi"))
+
+
+def _running(w) -> list[Column]:
+    """A part from sums around the day's centre over a frame that only grows."""
+    n, s1, s2 = (F.sum(c).over(w) for c in ("n", "s1", "s2"))
+    return [n.alias("n"), (F.col("centre") + s1 / n).alias("mean"), F.greatest(s2 - s1 * s1 / n, F.lit(0.0)).alias("m2"), F.min("lo").over(w).alias("lo"), F.max("hi").over(w).alias("hi")]
+
+
 def replay(obs: DataFrame, days: tuple[int, ...] = DAYS) -> DataFrame:
     """Every observation with the trailing baseline it had, itself and its second's peers included.
 
-    Rows are dealt by metric and time block; a row also goes to the next block, as its history. A task then
-    holds two blocks of a metric at most, however long the metric's past is.
+    A window of d days is put together from three disjoint parts: its own day up to the second, the whole days
+    before, and the end of the day d days ago. Observations are first summed up by metric and second; the parts
+    of a day come from running sums over it, forwards and backwards, and whole days from at most d rows. The work
+    is linear in the observations, and a task holds seconds of one metric's day (86,400 at most) however dense it is.
+    Null values count for nothing; a window without values has null mean and deviation.
     """
-    length = max(days) * DAY
-    at = epoch(F.col("observed_at"))
-    block = F.floor(at / length)
-    dealt = obs.withColumn("at_s", at).withColumn("own", block).withColumn("block", F.explode(F.array(block, block + 1)))
-    out = dealt
-    frames = {d: Window.partitionBy("fq_name", "block").orderBy("at_s").rangeBetween(-d * DAY, 0) for d in days}
-    for d, w in frames.items():
-        out = out.withColumns({f"mean_{d}": F.avg("value").over(w), f"stddev_{d}": F.stddev_pop("value").over(w), f"n_{d}": F.count("value").over(w)})
-    windows = F.array(*[F.struct(F.lit(d).alias("window_days"), F.col(f"mean_{d}").alias("mean"), F.col(f"stddev_{d}").alias("stddev"), F.col(f"n_{d}").alias("sample_count")) for d in days])
-    return out.where("own = block").select("fq_name", "observed_at", "seq", "value", F.explode(windows).alias("w")).select("fq_name", "observed_at", "seq", "value", "w.*")
+    rows = obs.withColumn("at_s", epoch(F.col("observed_at")))
+    n = F.count("value")
+    second = rows.groupBy("fq_name", "at_s").agg(n.alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * n).alias("m2"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    second = second.withColumn("day", F.floor(F.col("at_s") / DAY)).withColumn("sod", F.col("at_s") - F.col("day") * DAY)
+    # a second asks for the end of the days that its windows begin on
+    asked = F.explode(F.array(*[F.struct(F.lit(d).alias("back"), F.lit(d > 0).alias("asks")) for d in (0, *days)]))
+    dealt = second.select("*", asked.alias("q")).withColumn("back", F.col("q.back")).withColumn("day", F.col("day") - F.col("back"))
+    dealt = dealt.select("fq_name", "day", "sod", "back", *[F.when(~F.col("q.asks"), F.col(c)).alias(c) for c in _PART])
+    whole = Window.partitionBy("fq_name", "day")
+    centred = dealt.withColumn("centre", F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole)).withColumn("off", F.col("mean") - F.col("centre"))
+    centred = centred.withColumn("s1", F.col("n") * F.col("off")).withColumn("s2", F.col("m2") + F.col("n") * F.col("off") * F.col("off"))
+    grow = (Window.unboundedPreceding, Window.currentRow)
+    upto, onward = whole.orderBy("sod").rangeBetween(*grow), whole.orderBy(F.desc("sod")).rangeBetween(*grow)
+    edges = centred.select("fq_name", "day", "sod", "back", F.struct(*_running(upto)).alias("upto"), F.struct(*_running(onward)).alias("onward"))
+    edges = edges.select("fq_name", (F.col("day") + F.col("back")).alias("day"), "sod", "back", F.when(F.col("back") == 0, F.col("upto")).otherwise(F.col("onward")).alias("p"))
+    picked = [F.max(F.when(F.col("back") == d, F.col("p")[c])).alias(f"{c}_{d}") for d in (0, *days) for c in _PART]
+    edges = edges.groupBy("fq_name", "day", "sod").agg(*picked)
+    part = lambda d: F.struct(*[F.col(f"{c}_{d}").alias(c) for c in _PART])
+    total = edges.groupBy("fq_name", "day").agg(F.max_by(part(0), "sod").alias("p"))
+    by_day = Window.partitionBy("fq_name").orderBy("day")
+    between = [F.aggregate(F.collect_list("p").over(by_day.rangeBetween(1 - d, -1)), _nothing(), merged).alias(f"between_{d}") for d in days]
+    full = edges.join(total.select("fq_name", "day", *between), ["fq_name", "day"])
+
+    def stats(d: int) -> Column:
+        spread = lambda x: F.when(x["lo"] == x["hi"], F.lit(0.0)).otherwise(F.sqrt(x["m2"] / x["n"]))
+        row = lambda x: F.struct(F.lit(d).alias("window_days"), x["mean"].alias("mean"), spread(x).alias("stddev"), x["n"].alias("sample_count"))
+        return F.aggregate(F.array(F.col(f"between_{d}"), part(0), part(d)), _nothing(), merged, row)
+
+    full = full.select("fq_name", (F.col("day") * DAY + F.col("sod")).alias("at_s"), F.array(*map(stats, days)).alias("w"))
+    return rows.join(full, ["fq_name", "at_s"]).select("fq_name", "observed_at", "seq", "value", F.explode("w").alias("w")).select("fq_name", "observed_at", "seq", "value", "w.*")
 
 
 def best(baselines: DataFrame, need_days: int) -> DataFrame:
