@@ -1,8 +1,9 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
 Rules vote good, bad or abstain on a document; expectation-maximisation over the counts of vote patterns
-estimates how often each rule is right, within narrow bounds set by hand (README): one bad vote against five
-good ones always rejects. A document is kept by its posterior probability of "good".
+estimates how often each rule is right on good and on bad documents. Only the first guess is set by hand. A
+document is kept by its posterior probability of "good", so a bad vote of a rule that is often wrong doesn't
+reject it, and abstentions that good documents seldom cause may.
 """
 
 from __future__ import annotations
@@ -15,22 +16,26 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import WORD_GAP, free_name, stored
 
 SYMBOLS = "[^#*$%&|<>]+"
-ROUNDS = 12
-#: A rule's accuracies, and between which values they stay: how often it votes good on good documents, bad on
-#: good ones (a false alarm), bad on bad ones (caught) and good on bad ones (missed). Each rule looks for another
-#: fault, so a bad document mostly trips one rule and pleases the others: a good vote says little, an alarm much.
-#: The bounds keep the estimates to that, else the commonest fault would be taken for all of "bad".
+ROUNDS = 20
+#: A rule's accuracies, estimated from the votes alone: how often it votes good on good documents, bad on good ones
+#: (a false alarm), bad on bad ones (caught) and good on bad ones (missed).
 ACCURACIES = ("yes", "alarm", "caught", "missed")
-BOUNDS = {"yes": (0.02, 0.94), "alarm": (0.0005, 0.002), "caught": (0.15, 0.22), "missed": (0.7, 0.75)}
-START = {"yes": 0.8, "alarm": 0.001, "caught": 0.18, "missed": 0.72}
-START_PRIOR, PRIOR = 0.8, (0.5, 0.9)
-#: (name, condition for good, condition for bad), as SQL over the measures; else the rule abstains.
+#: The first guess, the same for each rule: a rule is wrong on one good document in twenty and finds two bad ones in
+#: five. It also says which of the two classes is "good".
+START = {"yes": 0.8, "alarm": 0.05, "caught": 0.4, "missed": 0.5}
+START_PRIOR = 0.8
+#: Added to the count of each of a rule's three votes in either class, so that no rate is exactly 0.
+SMOOTH = 1.0
+#: (name, condition for good, condition for bad), as SQL over the measures; else the rule abstains. Some look at the
+#: same fault in different ways, so that they can confirm each other.
 RULES = (
-    ("length", "n_words >= 100", "n_words < 50"),
+    ("length", "n_words >= 200", "n_words < 100"),
     ("symbols", "100 * n_symbols <= 5 * n_words", "100 * n_symbols > 20 * n_words"),
-    ("repeats", "100 * n_repeat_words <= 15 * n_words", "100 * n_repeat_words > 30 * n_words"),
-    ("lines", "10 * n_dup_lines <= n_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines"),
-    ("word_size", "word_chars BETWEEN 2 * n_words AND 12 * n_words", "word_chars > 20 * n_words OR word_chars < 2 * n_words"),
+    ("symbol_share", "100 * n_symbols <= word_chars", "100 * n_symbols > 5 * word_chars"),
+    ("repeats", "100 * n_repeat_words <= 10 * n_words", "100 * n_repeat_words > 30 * n_words"),
+    ("lines", "10 * n_dup_lines <= n_lines", "10 * n_dup_lines > 4 * n_lines"),
+    ("line_size", "n_words BETWEEN 5 * n_lines AND 100 * n_lines", "n_words > 150 * n_lines OR n_words < 3 * n_lines"),
+    ("word_size", "word_chars BETWEEN 3 * n_words AND 10 * n_words", "word_chars > 20 * n_words OR word_chars < 2 * n_words"),
     ("capitals", "100 * n_upper <= 20 * word_chars", "100 * n_upper > 50 * word_chars"),
 )
 
@@ -129,7 +134,7 @@ def verdict(struct: str, model: list[dict[str, float]], prior: float, rules=RULE
 def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[list[dict[str, float]], float]:
     """Each rule's accuracies and the share of good documents, by expectation-maximisation.
 
-    ``patterns(v0.., n)`` counts each vote pattern, 3 to the power of the rules at most whatever the input's
+    ``patterns(v0.., n)`` counts each vote pattern, at most 3 to the power of the number of rules (6561), whatever the input's
     size. All rounds are one expression over that bounded list; one row with the estimates goes to the driver.
     """
     row = F.struct(F.array(*[F.col(f"v{j}") for j in range(n_rules)]).alias("v"), F.col("n").cast("double").alias("n"))
@@ -152,12 +157,12 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[list[d
                 def of_rule(_: Column, j: Column) -> Column:
                     def rate(k: str) -> Column:
                         vote, side = (1 if k in ("yes", "missed") else -1), ("g" if k in ("yes", "alarm") else "b")
-                        seen = total(qs, lambda q: F.when(q["v"][j] == vote, q[side]).otherwise(F.lit(0.0))) / F.greatest(whole[side], F.lit(1e-9))
-                        return F.least(F.greatest(seen, F.lit(BOUNDS[k][0])), F.lit(BOUNDS[k][1]))
+                        seen = total(qs, lambda q: F.when(q["v"][j] == vote, q[side]).otherwise(F.lit(0.0)))
+                        return (seen + SMOOTH) / (whole[side] + 3 * SMOOTH)
 
                     return rule(rate)
 
-                prior = F.least(F.greatest(whole["g"] / (whole["g"] + whole["b"]), F.lit(PRIOR[0])), F.lit(PRIOR[1]))
+                prior = (whole["g"] + SMOOTH) / (whole["g"] + whole["b"] + 2 * SMOOTH)
                 return state(F.transform(now["rs"], of_rule), prior)
 
             return bind(F.struct(total(qs, lambda q: q["g"]).alias("g"), total(qs, lambda q: q["b"]).alias("b")), better)
@@ -206,8 +211,9 @@ def _sql() -> str:
     for r in range(ROUNDS):
         parts.append(f"o{r} AS (SELECT pt.*, {good} AS og, {bad} AS ob FROM pt, e{r} e)")
         parts.append(f"q{r} AS MATERIALIZED (SELECT *, n * og / (og + ob) AS g, n * ob / (og + ob) AS b FROM o{r})")
-        rate = lambda k, j: f"least(greatest(coalesce(sum({'g' if k in ('yes', 'alarm') else 'b'}) FILTER (v{j} = {1 if k in ('yes', 'missed') else -1}), 0) / greatest(sum({'g' if k in ('yes', 'alarm') else 'b'}), 1e-9), {BOUNDS[k][0]}), {BOUNDS[k][1]}) AS {k}{j}"
-        parts.append(f"e{r + 1} AS MATERIALIZED (SELECT {', '.join(rate(k, j) for j in range(n) for k in ACCURACIES)}, least(greatest(sum(g) / (sum(g) + sum(b)), {PRIOR[0]}), {PRIOR[1]}) AS prior FROM q{r})")
+        side_of = lambda k: "g" if k in ("yes", "alarm") else "b"
+        rate = lambda k, j: f"(coalesce(sum({side_of(k)}) FILTER (v{j} = {1 if k in ('yes', 'missed') else -1}), 0) + {SMOOTH}) / (sum({side_of(k)}) + {3 * SMOOTH}) AS {k}{j}"
+        parts.append(f"e{r + 1} AS MATERIALIZED (SELECT {', '.join(rate(k, j) for j in range(n) for k in ACCURACIES)}, (sum(g) + {SMOOTH}) / (sum(g) + sum(b) + {2 * SMOOTH}) AS prior FROM q{r})")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS MATERIALIZED (SELECT rid, list_filter(string_split_regex(t, '{gap}'), lambda x: x <> '') AS w FROM d),
