@@ -77,17 +77,18 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` as ``(a, b)``: node and smallest node it reaches.
 
     Alternates large-star and small-star rounds until the edges stand still. A round only takes minima
-    by node (partial aggregates) and joins them back on the node, so a hub with very many neighbours is
-    never collected, and adaptive execution can split its join. The smallest node of a component is not
+    by node (partial aggregates), stores them and joins them back on the node, so a hub with very many
+    neighbours is never collected, and adaptive execution can split its join. The smallest node of a component is not
     listed; null and self edges are ignored; no edges give no rows.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _digest(edges)
     while before[0]:
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large, "large")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).where("a <> b").distinct()
         edges = stored(small, "edges")
         after = _digest(edges)
