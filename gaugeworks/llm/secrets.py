@@ -26,6 +26,12 @@ WINDOW = 20
 CLASSES = (("entropy_text", "[A-Za-z0-9+/_=-]{20,}", 3.9), ("entropy_hex", "[0-9a-fA-F]{20,}", 3.0))
 #: A candidate that one of these finds is let pass; so is one without both letters and digits.
 ALLOWED = ("[eE][xX][aA][mM][pP][lL][eE]", "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "(0123456789|abcdefghij|ABCDEFGHIJ|1234567890)")
+#: Every character that a candidate may have; a window's counts are kept by place in it.
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Long strings and lists are worked on in blocks of so many, as growing one long result copies it at each step.
+BLOCK = 64
+#: Code points of text in a piece from which masked text is cut out.
+PIECE = 4096
 KINDS = ("assign", "access", "hex", *(c[0] for c in CLASSES))
 _SCALE = 1_000_000
 #: c * log2(c) in whole millionths, so that sums are exact in any order.
@@ -42,20 +48,40 @@ def _none() -> Column:
     return F.array().cast(f"array<{_SPAN}>")
 
 
+def _scan(values: Column, zero, step) -> Column:
+    """Running results of ``step`` over an array of ints, each with its own value included, in work linear in the array.
+
+    An array can only grow by a copy, so the running results are made block by block, and the blocks' totals are
+    carried into them afterwards.
+    """
+    grown = lambda out, x: F.concat(out, F.array(x))
+    state = lambda last, out: F.struct(last.cast("int").alias("last"), out.alias("out"))
+    none = state(F.lit(zero), F.array().cast("array<int>"))
+
+    def run(xs: Column) -> Column:
+        return F.aggregate(xs, none, lambda acc, x: bind(step(acc["last"], x), lambda y: state(y, grown(acc["out"], y))), lambda acc: acc["out"])
+
+    def whole(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / BLOCK).cast("int") - 1), lambda b: run(F.slice(xs, b * BLOCK + 1, F.lit(BLOCK))))
+
+        def carried(bs: Column) -> Column:
+            before = F.aggregate(bs, none, lambda acc, x: state(step(acc["last"], F.element_at(x, -1)), grown(acc["out"], acc["last"])), lambda acc: acc["out"])
+            return F.flatten(F.zip_with(bs, before, lambda x, o: F.transform(x, lambda y: step(o, y).cast("int"))))
+
+        return F.when(F.size(xs) == 0, F.array().cast("array<int>")).when(F.size(xs) <= BLOCK, run(xs)).otherwise(bind(blocks, carried))
+
+    return bind(values, whole)
+
+
 def _placed(text: Column, pattern: str, found: Column) -> Column:
     """For each match its start, stop and index, from the lengths of matches and of the gaps between them."""
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     sizes = F.transform(found, F.length)
 
     def place(x: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,i:int>>").alias("out"))
-
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + x["g"][i]
-            stop = start + x["m"][i]
-            return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), i.alias("i")))).alias("out"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), zero, step, lambda acc: acc["out"])
+        steps = F.transform(x["m"], lambda m, i: x["g"][i] + F.when(i > 0, F.get(x["m"], i - 1)).otherwise(0))
+        starts = _scan(steps, 0, lambda total, n: total + n)
+        return F.zip_with(F.transform(starts, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), x["m"], lambda s, m: F.struct(s["s"].alias("start"), (s["s"] + m).alias("stop"), s["i"].alias("i")))
 
     return bind(F.struct(gaps.alias("g"), sizes.alias("m")), place)
 
@@ -73,34 +99,54 @@ def _base(text: Column, kind: str, pattern: str, group: int | None = None) -> Co
     return F.when(text.rlike(pattern), spans).otherwise(_none())
 
 
-def _count(text: Column, char: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, char, F.lit("")))
-
+def _block(text: Column, limit: int) -> Column:
+    """Where in a short string windows with high entropy start.
 
-def _hot(word: Column, limit: int) -> Column:
-    """Runs [from, to) of a string's windows with high entropy. The sum over a window's counts moves on by one character out and one in."""
+    A fold over the characters carries how often each is in the window, five bits a character, twelve to a long: one
+    comes in, one goes out, and the sum of n * log2(n) moves on by what these two counts change.
+    """
     term = lambda n: F.element_at(F.array(*map(F.lit, _TERMS)), n + 1)
-    first = F.substring(word, 1, WINDOW)
-    start = F.aggregate(F.array_distinct(F.split(first, "(?!^)")), F.lit(0).cast("int"), lambda s, c: s + term(_count(first, c)))
-    runs = "array<struct<a:int,b:int>>"
-    zero = F.struct(start.alias("sum"), F.when(start <= limit, F.array(F.struct(F.lit(0).alias("a"), F.lit(WINDOW).alias("b")))).otherwise(F.array().cast(runs)).cast(runs).alias("out"))
+    slot = lambda c: F.floor(c / 12).cast("int")
+    held = lambda counts, c: F.call_function("shiftright", F.get(counts, slot(c)), c % 12 * 5).bitwiseAND(F.lit(31)).cast("int")
+    unit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c % 12 * 5)
+    changed = lambda counts, c, by: F.transform(counts, lambda x, k: F.when(k == slot(c), x + by * unit(c)).otherwise(x))
+    state = lambda counts, total, out: F.struct(counts.alias("n"), total.alias("sum"), out.alias("out"))
+
+    def scan(codes: Column) -> Column:
+        def step(acc: Column, j: Column) -> Column:
+            def leave(c: Column) -> Column:
+                return bind(held(acc["n"], c), lambda n: state(changed(acc["n"], c, -1), acc["sum"] + term(n - 1) - term(n), acc["out"]))
 
-    def step(acc: Column, i: Column) -> Column:
-        middle = F.substring(word, i + 1, F.lit(WINDOW - 1))
-        gone, come = F.substring(word, i, F.lit(1)), F.substring(word, i + WINDOW, F.lit(1))
+            def enter(now: Column) -> Column:
+                c = codes[j]
+                return bind(held(now["n"], c), lambda n: state(changed(now["n"], c, 1), now["sum"] + term(n + 1) - term(n), now["out"]))
 
-        def moved(n: Column) -> Column:
-            total = acc["sum"] + term(n["o"]) - term(n["o"] + 1) + term(n["i"] + 1) - term(n["i"])
-            last = F.element_at(acc["out"], -1)
-            joined = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["a"].alias("a"), (i + WINDOW).alias("b"))))
-            fresh = F.concat(acc["out"], F.array(F.struct(i.alias("a"), (i + WINDOW).alias("b"))))
-            hot = F.when(F.size(acc["out"]) == 0, fresh).when(last["b"] >= i, joined).otherwise(fresh)
-            return F.struct(total.alias("sum"), F.when(total <= limit, hot).otherwise(acc["out"]).cast(runs).alias("out"))
+            def note(now: Column) -> Column:
+                hot = (j >= WINDOW - 1) & (now["sum"] <= limit)
+                return state(now["n"], now["sum"], F.when(hot, F.concat(now["out"], F.array(j - (WINDOW - 1)))).otherwise(now["out"]))
 
-        return bind(F.struct(_count(middle, gone).alias("o"), _count(middle, come).alias("i")), moved)
+            return bind(bind(F.when(j >= WINDOW, bind(F.get(codes, j - WINDOW), leave)).otherwise(acc), enter), note)
 
-    steps = F.when(F.length(word) > WINDOW, F.sequence(F.lit(1), F.length(word) - WINDOW)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+        zero = state(F.array_repeat(F.lit(0).cast("long"), -(-len(_ALPHABET) // 12)), F.lit(0), F.array().cast("array<int>"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda acc: acc["out"])
+
+    return bind(F.transform(F.split(text, ""), lambda c: F.instr(F.lit(_ALPHABET), c) - 1), scan)
+
+
+def _hot(word: Column, limit: int) -> Column:
+    """Runs [from, to) of a string's windows with high entropy; windows that overlap or touch are one run."""
+
+    def blocks(pieces: Column) -> Column:
+        ahead = lambda b: F.substring(F.coalesce(F.get(pieces, b + 1), F.lit("")), 1, WINDOW - 1)
+        one = lambda x, b: F.transform(_block(F.concat(x, ahead(b)), limit), lambda i: i + b * BLOCK)
+        return F.flatten(F.transform(pieces, one))
+
+    def runs(hot: Column) -> Column:
+        first = F.filter(hot, lambda x, k: (k == 0) | (x - F.get(hot, k - 1) > WINDOW))
+        last = F.filter(hot, lambda x, k: (k == F.size(hot) - 1) | (F.get(hot, k + 1) - x > WINDOW))
+        return F.zip_with(first, last, lambda x, y: F.struct(x.alias("a"), (y + WINDOW).alias("b")))
+
+    return bind(bind(F.regexp_extract_all(word, F.lit(f".{{1,{BLOCK}}}"), F.lit(0)), blocks), runs)
 
 
 def _suspect(word: Column) -> Column:
@@ -125,7 +171,7 @@ def secret_spans(docs: DataFrame, text_col: str = "text", as_col: str = "secrets
     """``docs`` with an array of spans (start, kind, stop) in code points, by start, then kind as in ``KINDS``.
 
     Null or empty text: no spans. A span is a fact about its own row, so repeated rows and any keys do as well.
-    No shuffle; each row costs its own length.
+    No shuffle; the work is linear in the length of the text, also where one candidate is all of it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     parts = [_base(text, "assign", ASSIGN, 2), _base(text, "access", ACCESS), _base(text, "hex", HEX)]
@@ -150,14 +196,21 @@ def masked(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     """``docs`` with the union of each text's spans replaced by ``mask``; ``length_col`` is brought up to date. Rows all stay."""
     name = free_name(docs, "secrets")
     full = secret_spans(docs, text_col, name)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col(text_col)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when((s["start"] < acc["at"]), acc["out"]).otherwise(fresh).alias("out"))
+    def cut(pieces: Column, start: Column, stop: Column) -> Column:
+        first = F.floor(start / PIECE).cast("int")
+        near = F.array_join(F.slice(pieces, first + 1, F.floor(stop / PIECE).cast("int") - first + 1), "")
+        return F.when(stop > start, F.substring(near, start - first * PIECE + 1, stop - start)).otherwise(F.lit(""))
+
+    def replaced(x: Column) -> Column:
+        before = lambda k: F.when(k > 0, F.get(x["reach"], k - 1)).otherwise(F.lit(0))
+        part = lambda s, k: bind(before(k), lambda at: F.when(s["start"] < at, F.lit("")).otherwise(F.concat(cut(x["pieces"], at, s["start"]), F.lit(mask))))
+        return F.concat(F.array_join(F.transform(x["spans"], part), ""), cut(x["pieces"], F.element_at(x["reach"], -1), F.length(text)))
 
-    new = F.aggregate(F.col(name), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    reach = _scan(F.transform(name, lambda s: s["stop"]), 0, F.greatest)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    new = bind(F.struct(F.col(name).alias("spans"), reach.alias("reach"), pieces.alias("pieces")), replaced)
     full = full.withColumn(text_col, F.when(F.size(name) > 0, new).otherwise(text))
     if length_col and length_col in docs.columns:
         kind = dict(docs.dtypes)[length_col]

@@ -393,3 +393,22 @@ def test_masking(spark):
         assert got[i].text.replace("[SECRET][SECRET]", "[SECRET]") == (out + t[at:]).replace("[SECRET][SECRET]", "[SECRET]")
         assert got[i].n_chars == (len(got[i].text) if spans(t) else -1)
     assert secrets.masked(frame(spark, [])).count() == 0
+
+
+def test_secrets_in_very_long_texts(spark):
+    """One candidate of a megabyte, and a text of a megabyte with very many spans, in linear work; positions checked by brute force."""
+    import time
+
+    rng = np.random.default_rng(9)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"))
+    blob = "".join(letters[np.where(rng.random(1 << 20) < 0.5, rng.integers(0, 67, 1 << 20), rng.integers(0, 5, 1 << 20))])
+    many = "é token: abcdef \U0001f600" * 40000
+    rows = [(1, f"data {blob} end", "", 0), (2, many, "", 0)]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.secret_report(frame(spark, rows)).collect()}
+    out = {r.doc_id: r.text for r in secrets.masked(frame(spark, rows[1:])).collect()}
+    assert time.perf_counter() - began < 120
+    for i, t, *_ in rows:
+        assert got[i].spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans(t))
+    assert got[1].spans.count("entropy_text") > 1000 and got[2].n_assign == 40000
+    assert out[2] == "é [SECRET] \U0001f600" * 40000
