@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp noscript iframe noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noframes title meta link base datalist svg math object audio video canvas".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption".split())
+RAW = frozenset("script style textarea title xmp noscript iframe noframes plaintext".split())
+#: Raw content that is shown, and whether references in it are resolved.
+RAW_SHOWN = {"textarea": True, "title": True, "xmp": False, "plaintext": False}
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
+KEEPS_SPACE = frozenset("pre textarea xmp listing plaintext".split())
+HIDDEN = frozenset("head script style template noscript iframe noframes title meta link base datalist object audio video canvas rp".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption xmp listing plaintext".split())
 SPACED = frozenset("p blockquote ul ol dl pre h1 h2 h3 h4 h5 h6 table figure".split())
 #: An opening tag ends these open elements, looked for up to one of the limits.
 ENDS = {
@@ -30,9 +34,10 @@ PLACES = {"tr": _SECTIONS, "td": _SECTIONS | {"tr"}, "th": _SECTIONS | {"tr"}, "
 #: Where only parts of a table may stand: anything else moves out, to before the table.
 STRICT = _SECTIONS | {"tr"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_UNSEEN = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -43,35 +48,52 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
+class Open:
+    """The open elements, outermost first, and where those of each name are, so that none has to be looked for."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, k: int) -> None:
+        for node in self.nodes[k:]:
+            self.places[node.tag].pop()
+        del self.nodes[k:]
+
+    def last(self, tags) -> int:
+        """The place of the innermost element with one of these names, or 0."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def close(self, tags, limits) -> None:
+        """Ends the innermost of ``tags`` with all within it, and those of ``tags`` right around it, unless a limit is nearer."""
+        k = self.last(tags)
+        if k and k > self.last(limits):
+            while k > 1 and self.nodes[k - 1].tag in tags:
+                k -= 1
+            self.cut(k)
+
+
 def tree(page: str) -> Node:
-    """Nodes of a page. End tags without a start are ignored; what is open at the end is closed."""
+    """Nodes of a page. End tags without a start are ignored; what is open at the end is closed. Linear in the page, however deep."""
     root = Node("html", {})
-    open_ = [root]
-
-    def close(tags: set, limits: set | frozenset) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag in tags:
-                last = k
-                while last > 1 and open_[last - 1].tag in tags:
-                    last -= 1
-                del open_[last:]
-                return
-            if open_[k].tag in limits:
-                return
-
-    def table() -> int:
-        """The place of the innermost open table, or 0."""
-        return next((k for k in range(len(open_) - 1, 0, -1) if open_[k].tag == "table"), 0)
+    open_ = Open(root)
+    nodes = open_.nodes
 
     def place(child: Node | str) -> None:
         """Below the innermost open element; out of a table, before it, if only parts of a table may stand there."""
-        if (k := table() if open_[-1].tag in STRICT else 0) and (child.strip(" \t\n\r\f") if isinstance(child, str) else child.tag not in PLACES):
-            open_[k - 1].children.insert(-1, child)  # an open table is its parent's last child
+        k = open_.last(("table",)) if nodes[-1].tag in STRICT else 0
+        if k and (child.strip(" \t\n\r\f") if isinstance(child, str) else child.tag not in PLACES):
+            nodes[k - 1].children.insert(-1, child)  # an open table is its parent's last child
         else:
-            open_[-1].children.append(child)
+            nodes[-1].children.append(child)
 
     def text(s: str) -> None:
         if s:
+            if nodes[-1].tag == "head" and s.strip(" \t\n\r\f"):
+                open_.cut(len(nodes) - 1)
             place(html.unescape(s))
 
     at = 0
@@ -80,59 +102,79 @@ def tree(page: str) -> Node:
         at = found.end()
         if end := found[1]:
             end = end.lower()
-            wall = {"table", "html"} if end in ("tr", "td", "th", "thead", "tbody", "tfoot", "caption") else frozenset() if end in ("table", "body", "html") else CELL_WALL
+            wall = ("table",) if end in ("tr", "td", "th", "thead", "tbody", "tfoot", "caption") else () if end == "table" else CELL_WALL
             if end == "br":
                 place(Node("br", {}))
-            elif end not in ("html", "body"):
-                for k in range(len(open_) - 1, 0, -1):
-                    if open_[k].tag == end:
-                        del open_[k:]
-                        break
-                    if open_[k].tag in wall:
-                        break
+            elif end not in ("html", "body") and (k := open_.last((end,))) > (0 if end == "table" else open_.last(t for t in wall if t != end)):
+                open_.cut(k)
         elif tag := found[2]:
             tag = tag.lower()
             attributes = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(found[3])} if found[3] else {}
             if tag == "html":
                 root.attributes.update(attributes)
                 continue
-            if tag == "body" or tag in BLOCK or tag in ("table", "hr"):
-                close({"p"}, CELL_WALL | {"li", "div"} if tag == "li" else CELL_WALL)
+            if nodes[-1].tag == "head" and tag not in IN_HEAD:
+                open_.cut(len(nodes) - 1)
+            if tag == "body" or tag in BLOCK:
+                open_.close(("p",), CELL_WALL | {"li", "div"} if tag == "li" else CELL_WALL)
             if tag == "body":
-                close({"head"}, set())
-                if any(n.tag == "body" for n in open_):
+                open_.close(("head",), ())
+                if open_.last(("body",)):
                     continue
             node = Node(tag, attributes)
-            if tag == "form" and open_[-1].tag in STRICT and table():
+            in_table = open_.last(("table",))
+            if tag == "form" and nodes[-1].tag in STRICT and in_table:
                 continue  # stays empty within a table
-            if tag == "table" and open_[-1].tag in STRICT and (k := table()):
-                del open_[k:]  # a table directly in a table ends it
-            if tag in PLACES and table():
-                while open_[-1].tag not in PLACES[tag]:
-                    open_.pop()
-                if tag in ("td", "th") and open_[-1].tag != "tr":
-                    open_[-1].children.append(row := Node("tr", {}))
-                    open_.append(row)
+            if tag == "table" and nodes[-1].tag in STRICT and in_table:
+                open_.cut(in_table)  # a table directly in a table ends it
+            if tag in PLACES and in_table:
+                k = len(nodes)
+                while nodes[k - 1].tag not in PLACES[tag]:
+                    k -= 1
+                open_.cut(k)
+                if tag in ("td", "th") and nodes[-1].tag != "tr":
+                    nodes[-1].children.append(row := Node("tr", {}))
+                    open_.push(row)
             elif tag in ENDS:
-                close(*ENDS[tag])
+                open_.close(*ENDS[tag])
             place(node)
             if tag in RAW:
-                stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+                stop = None if tag == "plaintext" else re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 stop_at = stop.start() if stop else len(page)
-                if tag in ("textarea", "title"):
-                    node.children.append(html.unescape(page[at:stop_at]))
+                if tag in RAW_SHOWN:
+                    node.children.append(html.unescape(page[at:stop_at]) if RAW_SHOWN[tag] else page[at:stop_at])
                 at = stop_at
                 if stop:
                     at = page.find(">", stop_at) + 1 or len(page)
             elif tag not in VOID and not (found[3] or "").endswith("/"):
-                open_.append(node)
+                open_.push(node)
     text(page[at:])
     return root
 
 
 def _visible(node: Node) -> bool:
+    """Whether the element takes part in the layout at all."""
     a = node.attributes
-    return not (node.tag in HIDDEN or "hidden" in a or _UNSEEN.search(a.get("style", "")) or (node.tag == "input" and a.get("type", "").lower() == "hidden"))
+    shut = (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() == "hidden")
+    return not (node.tag in HIDDEN or "hidden" in a or shut or ("style" in a and _UNSEEN.search(a["style"])))
+
+
+def _seen(node: Node, inherited: bool) -> bool:
+    """``visibility`` is inherited, and a descendant may take it back."""
+    found = _VISIBILITY.findall(node.attributes["style"]) if "style" in node.attributes else ()
+    return found[-1].lower() == "visible" if found else inherited
+
+
+def _drawn(svg: Node) -> list[Node]:
+    """The text elements of a drawing, in order."""
+    out, todo = [], [svg]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("text", "foreignobject"):
+            out.append(node)
+        elif node.tag in ("svg", "g", "a", "switch"):
+            todo += [c for c in reversed(node.children) if not isinstance(c, str) and _visible(c)]
+    return out
 
 
 class Lines:
@@ -186,68 +228,123 @@ class Lines:
         self.space = False
 
 
-def _table(rows: list[list[str]]) -> str:
-    """Cells aligned by column; a cell of several lines takes several lines."""
-    width: list[int] = []
-    cells = [[c.split("\n") for c in row] for row in rows]
-    for row in cells:
-        for k, cell in enumerate(row):
-            if k == len(width):
-                width.append(0)
-            width[k] = max(width[k], *(len(x) for x in cell))
+def _span(node: Node, name: str, most: int) -> int:
+    """A cell's colspan or rowspan; 0 rows mean all that are left. The limits are those of HTML."""
+    text = node.attributes.get(name, "").strip()
+    return min(int(text), most) if re.fullmatch(r"[0-9]{1,9}", text) else 1
+
+
+def _grid(groups: list[list[list[Node]]]) -> list[list[tuple[int, int, Node]]]:
+    """For each row its cells as (first column, columns, cell): spans keep other cells out of the columns they cover."""
+    rows = []
+    for group in groups:
+        held: dict[int, int] = {}  # column: rows of this group for which a cell from above still covers it
+        for r, cells in enumerate(group):
+            at, row, new = 0, [], {}
+            for cell in cells:
+                while held.get(at, 0) > 0:
+                    at += 1
+                wide, tall = max(_span(cell, "colspan", 1000), 1), _span(cell, "rowspan", 65534)
+                tall = min(tall or len(group), len(group) - r)
+                row.append((at, wide, cell))
+                if tall > 1:
+                    new |= dict.fromkeys(range(at, at + wide), tall)
+                at += wide
+            held = {k: n - 1 for k, n in (held | new).items() if n > 1}
+            if row:
+                rows.append(row)
+    return rows
+
+
+def _table(rows: list[list[tuple[int, int, str]]]) -> str:
+    """Cells (first column, columns, text) aligned by column, two spaces apart; a cell of several lines takes several lines."""
+    width: dict[int, int] = {}
+    cells = [[(at, wide, text.split("\n")) for at, wide, text in row] for row in rows]
+    for at, wide, lines in sorted((c for row in cells for c in row), key=lambda c: c[1]):
+        need = max(map(len, lines)) - 2 * (wide - 1) - sum(width.get(k, 0) for k in range(at, at + wide - 1))
+        width[at + wide - 1] = max(width.get(at + wide - 1, 0), need)
+    starts, left = {}, 0
+    for k in range(max(width, default=0) + 1):
+        starts[k] = left
+        left += width.get(k, 0) + 2
     out = []
     for row in cells:
-        for i in range(max(map(len, row), default=0)):
-            out.append("  ".join((cell[i] if i < len(cell) else "").ljust(w) for cell, w in zip(row, width, strict=False)).rstrip())
+        for i in range(max(len(lines) for _, _, lines in row)):
+            line = ""
+            for at, _, lines in row:
+                if i < len(lines) and lines[i]:
+                    line = line.ljust(starts[at]) + lines[i]
+            out.append(line.rstrip())
     return "\n".join(out)
 
 
-def _cells(table: Node) -> tuple[list[Node], list[list[Node]]]:
-    captions, rows, todo = [], [], [(table, None)]
+def _cells(table: Node) -> tuple[list[Node], list[list[list[Node]]]]:
+    """Captions, and rows of cells by row group: header groups first and footer groups last, as they are laid out."""
+    captions, parts = [], {"thead": [], "tbody": [], "tfoot": []}
+    loose: list[list[Node]] | None = None
+    for child in table.children:
+        if isinstance(child, str) or not _visible(child):
+            continue
+        if child.tag == "tr":
+            if loose is None:
+                parts["tbody"].append(loose := [])
+            loose.append(_row(child))
+        elif child.tag in parts:
+            parts[child.tag].append([_row(r) for r in child.children if not isinstance(r, str) and r.tag == "tr" and _visible(r)])
+            loose = None
+        elif child.tag not in ("col", "colgroup"):
+            captions.append(child)
+    return captions, parts["thead"] + parts["tbody"] + parts["tfoot"]
+
+
+def _row(tr: Node) -> list[Node]:
+    return [c for c in tr.children if not isinstance(c, str) and c.tag in ("td", "th") and _visible(c)]
+
+
+def _tables(root: Node) -> list[tuple[Node, bool]]:
+    """All tables that are laid out, each after those it stands in, with the visibility they inherit."""
+    found, todo = [], [(root, True)]
     while todo:
-        node, row = todo.pop()
-        below = []
-        for child in node.children:
-            if isinstance(child, str) or not _visible(child):
-                continue
-            if child.tag == "caption":
-                captions.append(child)
-            elif child.tag == "tr":
-                rows.append(new := [])
-                _row(child, new)
-            elif child.tag in ("td", "th"):
-                if row is None:
-                    rows.append(row := [])
-                row.append(child)
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                below.append((child, None))
-            else:
-                captions.append(child)
-        for part, _ in below:
-            for tr in part.children:
-                if not isinstance(tr, str) and tr.tag == "tr" and _visible(tr):
-                    rows.append(new := [])
-                    _row(tr, new)
-    return captions, rows
-
-
-def _row(tr: Node, row: list[Node]) -> None:
-    row += [c for c in tr.children if not isinstance(c, str) and c.tag in ("td", "th") and _visible(c)]
-
-
-#: Tables within tables beyond this depth are rendered as blocks.
-TABLE_DEPTH = 8
-
-
-def render(node: Node, depth: int = 0) -> str:
-    """All visible text below a node, with an explicit stack, so nesting costs no recursion but for tables."""
+        node, seen = todo.pop()
+        seen = _seen(node, seen)
+        if node.tag == "table" and node is not root:
+            found.append((node, seen))
+        todo += [(c, seen) for c in node.children if not isinstance(c, str) and _visible(c)]
+    return found
+
+
+def render(root: Node) -> str:
+    """All visible text below a node. Tables are laid out from the innermost to the outermost, so no nesting costs recursion."""
+    done: dict[int, str] = {}
+    for table, seen in reversed(_tables(root)):
+        captions, groups = _cells(table)
+        inherited = {}
+        for part in (c for c in table.children if not isinstance(c, str)):
+            own = _seen(part, seen)
+            for row in [part] if part.tag == "tr" else (r for r in part.children if not isinstance(r, str)):
+                inherited |= dict.fromkeys(map(id, row.children), own if row is part else _seen(row, own))
+        lines = Lines()
+        for c in captions:
+            if shown := _flow(c, seen, done):
+                lines.add(shown, True)
+                lines.gap(1)
+        rows = [[(at, wide, _flow(c, inherited[id(c)], done)) for at, wide, c in row] for row in _grid(groups)]
+        if grid := _table(rows).strip("\n"):
+            lines.add(grid, True)
+        done[id(table)] = "".join(lines.out).strip("\n")
+    return _flow(root, True, done)
+
+
+def _flow(node: Node, seen: bool, done: dict[int, str]) -> str:
+    """The text of a node in lines; ``done`` has the tables within it."""
     lines = Lines()
-    todo: list[tuple] = [("in", node, False)]
+    todo: list[tuple] = [("in", node, False, seen)]
     lists: list[list] = []
     while todo:
-        what, item, pre = todo.pop()
+        what, item, pre, seen = todo.pop()
         if what == "text":
-            lines.add(item, pre)
+            if seen:
+                lines.add(item, pre)
         elif what == "out":
             if item.tag in ("ul", "ol", "menu", "dir"):
                 lists.pop()
@@ -260,17 +357,15 @@ def render(node: Node, depth: int = 0) -> str:
             continue
         elif item.tag == "br":
             lines.gap(min(lines.wish + 1, 2) if lines.wish else 1)
-        elif item.tag == "table" and item is not node and depth < TABLE_DEPTH:
+        elif item.tag == "table" and item is not node:
             lines.gap(2)
-            captions, rows = _cells(item)
-            for c in captions:
-                if shown := render(c, depth + 1):
-                    lines.add(shown, True)
-                    lines.gap(1)
-            if grid := _table([[render(c, depth + 1) for c in row] for row in rows if row]):
-                lines.add(grid, True)
+            if done[id(item)]:
+                lines.add(done[id(item)], True)
             lines.gap(2)
+        elif item.tag == "svg":
+            todo += [("in", x, pre, _seen(item, seen)) for x in reversed(_drawn(item))]
         else:
+            seen = _seen(item, seen)
             if item.tag in BLOCK:
                 lines.gap(2 if item.tag in SPACED and not lists else 1)
             if item.tag in ("ul", "ol", "menu", "dir"):
@@ -284,15 +379,15 @@ def render(node: Node, depth: int = 0) -> str:
                 lines.indent = "  " * max(len(lists) - 1, 0) + "  "
             elif item.tag in ("td", "th") and item is not node:
                 lines.add(" ")
-            todo.append(("out", item, pre))
-            below = pre or item.tag in ("pre", "textarea")
+            todo.append(("out", item, pre, seen))
+            below = pre or item.tag in KEEPS_SPACE
             shut = item.tag == "details" and "open" not in item.attributes
             for child in reversed(item.children):
                 if isinstance(child, str):
                     if not shut:
-                        todo.append(("text", child, below))
+                        todo.append(("text", child, below, seen))
                 elif not shut or child.tag == "summary":
-                    todo.append(("in", child, below))
+                    todo.append(("in", child, below, seen))
     return "".join(lines.out).strip("\n")
 
 
