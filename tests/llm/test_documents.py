@@ -258,6 +258,32 @@ def test_decontamination(spark, shard_bytes):
     assert decontamination.contamination_report(frame(spark, []), bench).count() == 0
 
 
+def test_an_item_larger_than_a_shard(spark):
+    """Windows of an item that is cut, matches across its cuts, and very many items that end in the same words."""
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in rng.integers(0, 300, 4000)]
+    items = [(1, " ".join(words)), *((2 + k, f"{k} " + "of the of the of the of the of the of the") for k in range(50))]
+    docs = [(k, " ".join(words[k * 37 : k * 37 + 20 + k] + ["x"] * 30), "", 0) for k in range(100)] + [(500, "7 " + "of the " * 6, "", 0), (501, "of the " * 400, "", 0)]
+    got = {r.doc_id: r for r in decontamination.contamination_report(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), shard_bytes=6000).collect()}
+    for i, t, *_ in docs:
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256) == hits(t, items)
+
+
+def test_tables_are_small():
+    """Tables of 2 MB of text, a shard being 16 MB: their pickled size, and what they take to build, in proportion."""
+    import pickle
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    letters = "".join(rng.choice(list("abcdefgh "), 2 << 20))
+    rows = [(str(k), letters[k << 14 : (k + 1) << 14].encode()) for k in range(128)]
+    tracemalloc.start()
+    tables = decontamination.build(rows, 13)
+    built = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pickle.dumps(tables)) * 8 < 200 << 20 and built * 8 < 1400 << 20
+
+
 # 7 repeats
 
 
