@@ -78,10 +78,16 @@ def _nothing() -> Column:
     return F.struct(F.lit(0).cast("long").alias("n"), none.alias("mean"), none.alias("m2"), none.alias("lo"), none.alias("hi"))
 
 
-def _running(w) -> list[Column]:
-    """A part from sums around the day's centre over a frame that only grows."""
-    n, s1, s2 = (F.sum(c).over(w) for c in ("n", "s1", "s2"))
-    return [n.alias("n"), (F.col("centre") + s1 / n).alias("mean"), F.greatest(s2 - s1 * s1 / n, F.lit(0.0)).alias("m2"), F.min("lo").over(w).alias("lo"), F.max("hi").over(w).alias("hi")]
+def _running(rows: DataFrame, name: str, w) -> DataFrame:
+    """``rows`` with the part that each one's growing frame makes up, as column ``name``.
+
+    Sums are taken around the frame's first mean, which lies among its own values, so that nothing outside the frame
+    costs precision.
+    """
+    rows = rows.withColumn("centre", F.first("mean", ignorenulls=True).over(w)).withColumn("off", F.col("mean") - F.col("centre"))
+    n, s1, s2 = (F.sum(x).over(w) for x in (F.col("n"), F.col("n") * F.col("off"), F.col("m2") + F.col("n") * F.col("off") * F.col("off")))
+    part = F.struct(n.alias("n"), (F.col("centre") + s1 / n).alias("mean"), F.greatest(s2 - s1 * s1 / n, F.lit(0.0)).alias("m2"), F.min("lo").over(w).alias("lo"), F.max("hi").over(w).alias("hi"))
+    return rows.withColumn(name, part).drop("centre", "off")
 
 
 def replay(obs: DataFrame, days: tuple[int, ...] = DAYS) -> DataFrame:
@@ -102,11 +108,9 @@ def replay(obs: DataFrame, days: tuple[int, ...] = DAYS) -> DataFrame:
     dealt = second.select("*", asked.alias("q")).withColumn("back", F.col("q.back")).withColumn("day", F.col("day") - F.col("back"))
     dealt = dealt.select("fq_name", "day", "sod", "back", *[F.when(~F.col("q.asks"), F.col(c)).alias(c) for c in _PART])
     whole = Window.partitionBy("fq_name", "day")
-    centred = dealt.withColumn("centre", F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole)).withColumn("off", F.col("mean") - F.col("centre"))
-    centred = centred.withColumn("s1", F.col("n") * F.col("off")).withColumn("s2", F.col("m2") + F.col("n") * F.col("off") * F.col("off"))
     grow = (Window.unboundedPreceding, Window.currentRow)
-    upto, onward = whole.orderBy("sod").rangeBetween(*grow), whole.orderBy(F.desc("sod")).rangeBetween(*grow)
-    edges = centred.select("fq_name", "day", "sod", "back", F.struct(*_running(upto)).alias("upto"), F.struct(*_running(onward)).alias("onward"))
+    edges = _running(dealt, "upto", whole.orderBy("sod").rangeBetween(*grow))
+    edges = _running(edges, "onward", whole.orderBy(F.desc("sod")).rangeBetween(*grow))
     edges = edges.select("fq_name", (F.col("day") + F.col("back")).alias("day"), "sod", "back", F.when(F.col("back") == 0, F.col("upto")).otherwise(F.col("onward")).alias("p"))
     picked = [F.max(F.when(F.col("back") == d, F.col("p")[c])).alias(f"{c}_{d}") for d in (0, *days) for c in _PART]
     edges = edges.groupBy("fq_name", "day", "sod").agg(*picked)

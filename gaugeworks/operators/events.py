@@ -49,18 +49,21 @@ def about(metric: Column, events_metric: Column, kind: Column) -> Column:
 
 
 CAUSE_HOURS = 48
+SALTS = 8
 
 
 def causal_candidates(events: DataFrame) -> DataFrame:
     """Marks up to 48 hours before an anomaly of a metric; each mark once for each metric, with the newest such anomaly.
 
-    An interval join by 48-hour slots: a mark goes to its slot and the next, an anomaly to its own.
+    An interval join by 48-hour slots: a mark goes to its slot and the next, an anomaly to its own. Anomalies of a slot
+    are dealt into SALTS parts by target, and a mark goes to each, so that a busy slot isn't one task.
     """
     slot = CAUSE_HOURS * 3600
     at = F.unix_timestamp("at")
-    anomalies = events.where("kind = 'anomaly'").select(F.col("metric_fq").alias("target"), F.col("at").alias("anomaly_at"), "window_days", at.alias("a_s"), F.floor(at / slot).alias("slot")).dropDuplicates(["target", "anomaly_at"])
+    anomalies = events.where("kind = 'anomaly'").select(F.col("metric_fq").alias("target"), F.col("at").alias("anomaly_at"), "window_days", at.alias("a_s"), F.floor(at / slot).alias("slot"), F.pmod(F.xxhash64("metric_fq"), F.lit(SALTS)).alias("salt")).dropDuplicates(["target", "anomaly_at"])
     causes = events.where("kind <> 'anomaly'").select("event_id", "kind", "metric_fq", "description", F.col("at").alias("event_at"), at.alias("e_s"), F.explode(F.array(F.floor(at / slot), F.floor(at / slot) + 1)).alias("slot"))
-    pairs = causes.join(anomalies, "slot").where((F.col("a_s") >= F.col("e_s")) & (F.col("a_s") - F.col("e_s") <= slot))
+    causes = causes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    pairs = causes.join(anomalies, ["slot", "salt"]).where((F.col("a_s") >= F.col("e_s")) & (F.col("a_s") - F.col("e_s") <= slot))
     last = pairs.groupBy("target", "event_id", "kind", "metric_fq", "description", "event_at").agg(F.max("anomaly_at").alias("anomaly_at"))
     hours = (F.unix_timestamp("anomaly_at") - F.unix_timestamp("event_at")) / 3600.0
     out = last.withColumn("proximity_hours", hours)

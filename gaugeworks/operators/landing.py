@@ -128,6 +128,25 @@ def land_flat(records: DataFrame, root: str, kind: str = "parquet") -> DataFrame
     return read_flat(records.sparkSession, root, kind)
 
 
+_sinks: dict = {"parquet": land}
+
+
+def register_sink(name: str, sink) -> None:
+    """A sink of one's own: a function of records and options that writes them and returns what it has written."""
+    if not callable(sink):
+        raise TypeError(f"sink {name!r} can't be called")
+    if name in _sinks:
+        raise ValueError(f"sink {name!r} is registered twice")
+    _sinks[name] = sink
+
+
+def write_to(records: DataFrame, name: str, **options) -> DataFrame:
+    """Hands records to the sink of that name, in a batch job or from ``foreachBatch``."""
+    if name not in _sinks:
+        raise KeyError(f"no sink {name!r}; known: {sorted(_sinks)}")
+    return _sinks[name](records, **options)
+
+
 def read_landed(spark: SparkSession, root: str, run_id: str | None = None, kind: str = "parquet") -> DataFrame:
     """Landed rows with ``run_id``, and the file's name and size; declared types, so nothing is inferred."""
     schema = T.StructType([*LANDED.fields[1:], LANDED.fields[0], T.StructField("run_id", T.StringType())])
@@ -180,3 +199,7 @@ def run_counters(extracted: DataFrame, persisted: DataFrame) -> DataFrame:
     b = persisted.groupBy("stream").agg(F.count("*").alias("persisted"))
     out = a.join(b, "stream", "left").withColumn("persisted", F.coalesce("persisted", F.lit(0)).cast("long"))
     return out.withColumn("pruned", F.col("extracted") - F.col("persisted"))
+
+
+register_sink("jsonl", lambda records, root, run_id, connector="": land(records, root, run_id, "json", connector))
+register_sink("flat", land_flat)

@@ -118,17 +118,19 @@ STRONG = 0.6
 def sibling_correlations(obs: DataFrame, as_of: str, since_s: int, least_r: float | None = STRONG) -> DataFrame:
     """Pearson r of daily means for metrics of the same connector, from sums; 0 when a side doesn't vary.
 
-    Days are aggregated before the join, and the join is on connector and day.
+    Days are aggregated before the join, and the join is on connector and day. Each pair is made once and mirrored at the end.
     """
     days = B.daily_means(obs, B.shifted(as_of, -since_s), B.shifted(as_of, 1)).withColumn("connector", S.connector(F.col("fq_name")))
     x, y = days.select("connector", "day", F.col("fq_name").alias("metric"), F.col("value").alias("x")), days.select("connector", "day", F.col("fq_name").alias("sibling"), F.col("value").alias("y"))
-    sums = x.join(y, ["connector", "day"]).where("metric <> sibling").groupBy("metric", "sibling").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.expr("x * x")).alias("xx"), F.sum(F.expr("y * y")).alias("yy"), F.sum(F.expr("x * y")).alias("xy"))
+    sums = x.join(y, ["connector", "day"]).where("metric < sibling").groupBy("metric", "sibling").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.expr("x * x")).alias("xx"), F.sum(F.expr("y * y")).alias("yy"), F.sum(F.expr("x * y")).alias("xy"))
     vx = F.greatest(F.col("xx") - F.col("sx") * F.col("sx") / F.col("n"), F.lit(0.0))
     vy = F.greatest(F.col("yy") - F.col("sy") * F.col("sy") / F.col("n"), F.lit(0.0))
     bottom = F.sqrt(vx) * F.sqrt(vy)
     r = F.when((F.col("n") < 2) | (bottom == 0), F.lit(0.0)).otherwise((F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / bottom)
     out = sums.where("n >= 2").select("metric", "sibling", r.alias("r"), "n").withColumn("confidence", S.correlation_confidence(F.col("r"), F.col("n")))
-    return out if least_r is None else out.where(F.abs("r") >= least_r)
+    out = out if least_r is None else out.where(F.abs("r") >= least_r)
+    mirror = F.explode(F.array(F.struct("metric", "sibling"), F.struct(F.col("sibling").alias("metric"), F.col("metric").alias("sibling"))))
+    return out.select(mirror.alias("p"), "r", "n", "confidence").select("p.metric", "p.sibling", "r", "n", "confidence")
 
 
 def investigate(explained: DataFrame, events: DataFrame, obs: DataFrame, as_of: str, since_s: int) -> DataFrame:

@@ -10,7 +10,7 @@ from gaugeworks.functions.times import normalised
 from gaugeworks.operators import anomalies as A
 from gaugeworks.operators import baselines as B
 from gaugeworks.operators import catalog as C
-from gaugeworks.operators import enrichment, landing
+from gaugeworks.operators import enrichment, landing, write_mode
 from gaugeworks.operators import events as V
 from gaugeworks.plans import metric_queries as M
 from gaugeworks.sources import normalise as N
@@ -394,10 +394,23 @@ def stream_high_water(spark, sf):
     return out.select("stream", F.unix_micros("cursor").alias("cursor_us"), "records")
 
 
-@query("stream_event_dedup", f"WITH {M.MARKS} SELECT DISTINCT kind, metric_fq, strftime(tm, {STAMP}) AS at_time FROM mk")
-def stream_event_dedup(spark, sf):
+_DEDUP_SQL = f"WITH {M.MARKS} SELECT DISTINCT kind, metric_fq, strftime(tm, {STAMP}) AS at_time FROM mk"
+
+
+def _marks_twice(spark, sf) -> DataFrame:
     marks = V.marks_as_events(T.marks(spark, sf)).drop("seq")
-    out = jobs.deduplicated(_stream(marks.union(marks), "in"), list(V.KEY), late="60 days")
+    return _stream(marks.union(marks), "in")
+
+
+@query("stream_event_dedup", _DEDUP_SQL)
+def stream_event_dedup(spark, sf):
+    out = jobs.seen_once(spark, _marks_twice(spark, sf), list(V.KEY), landing.new_folder(spark, "seen"), landing.new_folder(spark, "marks"))
+    return out.select("kind", "metric_fq", T.text_time(F.col("at")).alias("at_time"))
+
+
+@query("stream_event_dedup_watermark", _DEDUP_SQL)
+def stream_event_dedup_watermark(spark, sf):
+    out = jobs.deduplicated(_marks_twice(spark, sf), list(V.KEY), late="60 days")
     out = jobs.append_all(spark, out, landing.new_folder(spark, "out"), landing.new_folder(spark, "marks"))
     return out.select("kind", "metric_fq", T.text_time(F.col("at")).alias("at_time"))
 
@@ -409,3 +422,162 @@ def stream_anomalies(spark, sf):
     names = T.metric_dim(obs)
     out = jobs.online_anomalies(spark, _stream(obs, "in"), B.compute(obs, T.EVENTS_AS_OF), names, A.thresholds(names), landing.new_folder(spark, "out"), landing.new_folder(spark, "marks"))
     return out.select("metric_fq", T.text_time(F.col("at")).alias("at_time"), "window_days", "observed_value", "direction")
+
+
+@query("stream_repeat", _LANDED_SQL)
+def stream_repeat(spark, sf):
+    """Lands four files at an interval; the second batch fails once and is tried again."""
+    root, failed = landing.new_folder(spark, "landed"), []
+    land = jobs.landing_batch(root, "again")
+
+    def batch(df, batch_id):
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise OSError("the store is away for a moment")
+        land(df, batch_id)
+
+    jobs.run_repeatedly(_stream(T.records(spark, sf), "in"), batch, landing.new_folder(spark, "marks"), "100 milliseconds", lambda q: q.lastProgress and q.lastProgress["batchId"] >= 3)
+    return _fields(landing.read_landed(spark, root), "stream", "timestamp")
+
+
+def _log_landed(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The protocol log as text files, read as a stream: what was landed, and each batch's last state."""
+    folder, root, states = (landing.new_folder(spark, n) for n in ("log", "landed", "states"))
+    _log(spark, sf).repartitionByRange(4, "seq").sortWithinPartitions("seq").select("line").write.text(folder)
+    jobs.run_available(jobs.log_stream(spark, folder), jobs.log_batch(root, states, "log", _STREAMS), landing.new_folder(spark, "marks"))
+    return landing.read_landed(spark, root), spark.read.parquet(states)
+
+
+@query("stream_msglog", f"SELECT event_type AS stream, epoch_us(date_trunc('second', ts)) AS timestamp, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_id % 97 <> 0 AND {_BAD} IS NULL")
+def stream_msglog(spark, sf):
+    return _fields(_log_landed(spark, sf)[0], "stream", "timestamp").drop("value")
+
+
+@query("stream_msglog_state", "SELECT max(event_id) AS cursor FROM events WHERE event_id % 100 = 99")
+def stream_msglog_state(spark, sf):
+    last = _log_landed(spark, sf)[1].agg(F.max_by("state", "seq").alias("state"))
+    return last.select(F.get_json_object("state", "$.cursor").cast("long").alias("cursor"))
+
+
+# write mode, plug-ins, and what is declared
+
+
+@query("write_table", _LANDED_SQL)
+def write_table(spark, sf):
+    landed, name = _landed(spark, sf, "parquet")[0], write_mode.working_table(spark, "landed")
+    write_mode.create_table_as(spark, name, "SELECT stream, timestamp, data_json FROM {landed} WHERE stream <> 'click'", landed=landed)
+    return _fields(write_mode.insert_into(spark, name, "SELECT stream, timestamp, data_json FROM {landed} WHERE stream = 'click'", landed=landed), "stream", "timestamp")
+
+
+@query("write_copy", "SELECT event_type AS stream, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM events GROUP BY ALL")
+def write_copy(spark, sf):
+    folder = landing.new_folder(spark, "copy")
+    write_mode.copy_to(spark, folder, "csv", "SELECT stream, count(*) AS n, min(timestamp) AS first_us, max(timestamp) AS last_us FROM {landed} GROUP BY stream", landed=_landed(spark, sf, "parquet")[0])
+    return N.read_source(spark, "csv", path=folder, schema="stream string, n long, first_us long, last_us long", header=False)
+
+
+def _csv_sink(records: DataFrame, folder: str) -> DataFrame:
+    """A sink as a user might add it."""
+    records.write.mode("overwrite").option("header", True).csv(folder)
+    return N.read_source(records.sparkSession, "csv", path=folder)
+
+
+landing.register_sink("csv_for_queries", _csv_sink)
+_EVENTS_CSV_SQL = "SELECT event_id, event_type, value FROM events"
+
+
+@query("csv_scan", _EVENTS_CSV_SQL)
+def csv_scan(spark, sf):
+    folder = landing.new_folder(spark, "csv")
+    T.table(spark, sf, "events").select("event_id", "event_type", "value").write.option("header", True).csv(folder)
+    out = N.read_source(spark, "csv", path=folder)
+    return out.select(F.col("event_id").cast("long").alias("event_id"), "event_type", "value")
+
+
+@query("sink_plugin", _EVENTS_CSV_SQL)
+def sink_plugin(spark, sf):
+    rows = T.table(spark, sf, "events").select("event_id", "event_type", "value")
+    return landing.write_to(rows, "csv_for_queries", folder=landing.new_folder(spark, "csv")).select(F.col("event_id").cast("long").alias("event_id"), "event_type", "value")
+
+
+def _order_records(spark, sf: str) -> DataFrame:
+    """A source as a user might add it: orders as records."""
+    return T.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("stream"), F.col("o_orderdate").cast("timestamp").alias("timestamp"), F.to_json(F.struct("o_orderkey")).alias("data_json"))
+
+
+N.register_reader("orders_for_queries", _order_records)
+
+
+@query("reader_plugin", "SELECT o_orderpriority AS stream, epoch_us(o_orderdate::TIMESTAMP) AS timestamp, o_orderkey AS k FROM orders")
+def reader_plugin(spark, sf):
+    rows = landing.envelope(N.read_source(spark, "orders_for_queries", sf=sf))
+    return rows.select("stream", "timestamp", F.get_json_object("data_json", "$.o_orderkey").cast("long").alias("k"))
+
+
+@query("synthetic_source", "SELECT stream, i AS index, 1700000000 + 60 * i AS at_s, stream || '-' || i AS id FROM (SELECT DISTINCT event_type AS stream FROM events), (SELECT unnest(range((SELECT count(*) FROM events))) AS i)")
+def synthetic_source(spark, sf):
+    """As many records of each event type as there are events."""
+    events = T.table(spark, sf, "events")
+    streams = [r.event_type for r in events.select("event_type").distinct().orderBy("event_type").collect()]
+    pick = lambda c: F.get_json_object("data_json", f"$.{c}")
+    return N.read_source(spark, "synthetic", streams=streams, n=events.count()).select("stream", pick("index").cast("long").alias("index"), F.unix_timestamp("timestamp").alias("at_s"), pick("id").alias("id"))
+
+
+@query("semantic_catalog", """SELECT 'clicks' AS name, 'clicks' AS unit, 'higher_is_better' AS direction, 'sum' AS aggregation, round(sum(value), 3) AS total, count(*) AS n FROM events WHERE event_id % 7 <> 0
+UNION ALL SELECT 'ctr', 'ratio', 'higher_is_better', 'avg', round(count(*) * 0.5, 3), count(*) FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT 'impressions', 'impressions', 'higher_is_better', 'sum', round(count(*) * 1.0, 3)::DOUBLE, count(*) FROM events WHERE event_id % 7 <> 0
+UNION ALL SELECT 'position', 'rank', 'lower_is_better', 'avg', round(count(*) * 3.0, 3)::DOUBLE, count(*) FROM events WHERE event_id % 7 <> 0""")
+def semantic_catalog(spark, sf):
+    """What is declared of one stream, with the totals of its columns in the records of that stream."""
+    declared = N.semantic_catalog(spark, "search.rows")
+    keys = F.when(F.col("event_id") % 7 != 0, F.array(F.date_format("ts", "yyyy-MM-dd"), F.col("event_id").cast("string"))).otherwise(F.array(F.col("event_id").cast("string")))
+    item = F.struct(keys.alias("keys"), F.col("value").alias("clicks"), F.lit(1.0).alias("impressions"), F.lit(0.5).alias("ctr"), F.lit(3.0).alias("position"))
+    rows = N.search_rows(_payloads(_events(spark, sf), "rows", item), "rows", ["date", "query"], "2024-01-31")
+    values = rows.select(F.explode(F.from_json("data_json", "map<string,string>")).alias("name", "v"))
+    sums = values.groupBy("name").agg(F.round(F.sum(F.col("v").try_cast("double")), 3).alias("total"), F.count("*").alias("n"))
+    return declared.join(sums, "name").select("name", "unit", "direction", "aggregation", "total", "n")
+
+
+@query("semantics_sidecar", f"WITH {M.OE}, {M.dim('oe')} SELECT substr(fq_name, 5) AS stream, 'event' AS kind, 'value' AS name, 'float' AS type, unit, direction, aggregation FROM dim")
+def semantics_sidecar(spark, sf):
+    dim = T.metric_dim(T.obs_events(spark, sf))
+    catalog = dim.select(F.expr("substring(fq_name, 5)").alias("stream"), F.lit("event").alias("kind"), F.lit("value").alias("name"), F.lit("float").alias("type"), "unit", "direction", "aggregation")
+    kind = "map<string,struct<kind:string,columns:array<struct<name:string,type:string,unit:string,direction:string,aggregation:string>>>>"
+    entries = landing.semantics_sidecar(catalog).select(F.explode(F.from_json("semantics", kind)).alias("stream", "s"))
+    return entries.select("stream", "s.kind", F.explode("s.columns").alias("c")).select("stream", "kind", "c.*")
+
+
+@query("land_no_resume", "SELECT event_id AS seq, event_type AS stream FROM events")
+def land_no_resume(spark, sf):
+    return landing.prune_covered(T.records(spark, sf), _seed(spark, sf), resume=False).select("seq", "stream")
+
+
+@query("manifest_lookup", "SELECT event_type AS stream, count(*) AS n, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us FROM events WHERE event_type = 'click' GROUP BY ALL")
+def manifest_lookup(spark, sf):
+    rows = landing.manifest_for(_landed(spark, sf, "parquet")[1], "click")
+    return rows.groupBy("stream").agg(F.sum("rows").alias("n"), F.unix_micros(F.min("start_time")).alias("start_us"), F.unix_micros(F.max("end_time")).alias("end_us"))
+
+
+@query("manifest_touch", f"SELECT event_type AS stream, strftime(greatest(max(date_trunc('second', ts)), TIMESTAMP '2024-01-20 00:00:00'), {STAMP}) AS updated_at FROM events GROUP BY ALL")
+def manifest_touch(spark, sf):
+    """A header for each stream; a run on the 20th that lands nothing moves those on that are older."""
+    headers = T.records(spark, sf).groupBy("stream").agg(F.max(T.second(F.col("timestamp"))).alias("updated_at"))
+    return landing.manifest_touch(headers, "2024-01-20 00:00:00").select("stream", T.text_time(F.col("updated_at")).alias("updated_at"))
+
+
+@query("effective_schema", "SELECT event_type AS stream, CASE WHEN event_type IN ('click', 'view') THEN 'declared' ELSE 'k' || arg_max(json_extract_string(props, '$.k'), event_id) END AS schema, CASE WHEN event_type IN ('click', 'view') THEN 'declared' ELSE 'announced' END AS source FROM events GROUP BY event_type")
+def effective_schema(spark, sf):
+    """Each event announces a schema of its stream; two streams have a declared one."""
+    events = T.table(spark, sf, "events")
+    announced = events.select(F.col("event_type").alias("stream"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("schema"), F.col("event_id").alias("seq"))
+    static = events.where("event_type IN ('click', 'view')").select(F.col("event_type").alias("stream"), F.lit("declared").alias("schema")).distinct()
+    return C.effective_schema(static, announced)
+
+
+@query("state_store", "SELECT 'c' || c_custkey AS key, CASE WHEN n IS NULL THEN 'none' ELSE 'orders ' || n END AS state FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) ON o_custkey = c_custkey WHERE c_custkey % 5 <> 0")
+def state_store(spark, sf):
+    """A state for each customer, saved anew for those with orders; every fifth is deleted."""
+    key = lambda c: F.concat(F.lit("c"), F.col(c).cast("string")).alias("key")
+    old = T.table(spark, sf, "customer").select(key("c_custkey"), F.lit("none").alias("state"))
+    new = T.table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).select(key("o_custkey"), F.concat(F.lit("orders "), F.col("n").cast("string")).alias("state"))
+    gone = T.table(spark, sf, "customer").where("c_custkey % 5 = 0").select(key("c_custkey"))
+    return C.delete_state(C.save_state(old, new), gone)

@@ -364,9 +364,9 @@ de AS (SELECT *, sqrt(greatest(xx - sx * sx / n, 0.0)) * sqrt(greatest(yy - sy *
 si AS MATERIALIZED (SELECT metric, sibling, n, CASE WHEN den = 0 THEN 0.0 ELSE (xy - sx * sy / n) / den END AS r FROM de)"""
 
 
-@query("sibling_corr", f"WITH {OS}, {_SIBLINGS} SELECT metric, sibling, round(r, 5) AS r, n, round(CASE WHEN n < 5 THEN 0.0 ELSE abs(r) * least(1.0, n / 30.0) END, 5) AS confidence FROM si WHERE abs(r) >= 0.6 AND n > 2")
+@query("sibling_corr", f"WITH {OS}, {_SIBLINGS} SELECT metric, sibling, round(r, 5) AS r, n, round(CASE WHEN n < 5 THEN 0.0 ELSE abs(r) * least(1.0, n / 30.0) END, 5) AS confidence FROM si WHERE abs(r) >= 0.6")
 def sibling_corr(spark, sf):
-    out = R.sibling_correlations(T.obs_shipments(spark, sf), T.SHIPMENTS_AS_OF, 30 * DAY).where("n > 2")
+    out = R.sibling_correlations(T.obs_shipments(spark, sf), T.SHIPMENTS_AS_OF, 30 * DAY)
     return out.select("metric", "sibling", F.round("r", 5).alias("r"), "n", F.round("confidence", 5).alias("confidence"))
 
 

@@ -167,5 +167,5 @@ def read_source(spark: SparkSession, name: str, **options) -> DataFrame:
     return _readers[name](spark, **options)
 
 
-for _name, _reader in (("synthetic", synthetic), ("parquet", lambda spark, path: spark.read.parquet(path)), ("jsonl", lambda spark, path, schema: spark.read.schema(schema).json(path)), ("csv", lambda spark, path, schema=None: spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None))):
+for _name, _reader in (("synthetic", synthetic), ("parquet", lambda spark, path: spark.read.parquet(path)), ("jsonl", lambda spark, path, schema: spark.read.schema(schema).json(path)), ("csv", lambda spark, path, schema=None, header=True: spark.read.csv(path, header=header, schema=schema, inferSchema=schema is None))):
     register_reader(_name, _reader)

@@ -9,6 +9,8 @@ from gaugeworks.functions.times import normalised
 
 MESSAGES = ("RECORD", "STATE", "SCHEMA", "LOG", "ERROR", "SKIPPED")
 MAX_LINE = 1 << 20
+#: Salts of the first step of a long run's ranking from its end.
+SALTS = 32
 _SHAPE = "type string, stream string, timestamp variant, data variant, state variant, level string, message string, schema variant, error string"
 
 
@@ -63,11 +65,17 @@ def written(rows: DataFrame, run: str = "run_id", batch: int = 500) -> DataFrame
     ends = rows.where("problem IS NULL AND type IN ('STATE', 'ERROR')").groupBy(run).agg(F.max(F.when(F.col("type") == "STATE", F.col("seq"))).alias("__state"), F.min(F.when(F.col("type") == "ERROR", F.col("seq"))).alias("__error"))
     records = of_type(rows, "RECORD").join(ends, run, "left").where("__error IS NULL OR seq < __error")
     tail = F.col("__error").isNotNull() & (F.coalesce("__state", F.lit(-1)) < F.col("seq"))
+    # of the records after the last flush the full batches are in, so the last count % batch are not: they are found
+    # from the end, first within salts, so that no task ranks a whole run
     loose = records.where(tail)
-    order = Window.partitionBy(run, "stream").orderBy("seq")
-    whole = Window.partitionBy(run, "stream")
-    loose = loose.withColumn("__rn", F.row_number().over(order)).withColumn("__n", F.count("*").over(whole)).where(F.col("__rn") <= F.floor(F.col("__n") / batch) * batch)
-    return records.where(~tail).unionByName(loose.drop("__rn", "__n")).drop("__state", "__error")
+    keys = [run, "stream"]
+    short = loose.groupBy(*keys).agg((F.count("*") % batch).alias("__short"))
+    ends = loose.select(*keys, "seq", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).alias("__salt"))
+    for group in ([*keys, "__salt"], keys):
+        ends = ends.withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("seq")))).where(F.col("__rn") < batch)
+    lost = ends.join(short, keys).where(F.col("__rn") <= F.col("__short")).groupBy(*keys).agg(F.min("seq").alias("__cut"))
+    loose = loose.join(lost, keys, "left").where("__cut IS NULL OR seq < __cut")
+    return records.where(~tail).unionByName(loose.drop("__cut")).drop("__state", "__error")
 
 
 def last_state(rows: DataFrame, run: str = "run_id") -> DataFrame:

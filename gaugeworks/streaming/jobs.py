@@ -6,11 +6,16 @@ in a folder named by query and batch, state as a whole snapshot of that batch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.operators.anomalies import flagged
 from gaugeworks.operators.landing import land, prune_covered, read_landed
+from gaugeworks.sources import protocol
 
 
 def records_stream(spark: SparkSession, folder: str, schema, files: int = 1) -> DataFrame:
@@ -28,6 +33,60 @@ def run_available(stream: DataFrame, batch, checkpoint: str, every: str | None =
     return query
 
 
+#: Errors that another attempt can't mend.
+PERMANENT = (ValueError, TypeError, KeyError, AnalysisException)
+
+
+def run_repeatedly(stream: DataFrame, batch, checkpoint: str, every: str, until: Callable | None = None, attempts: int = 3, permanent: tuple = PERMANENT):
+    """Runs ``batch`` at that interval, the first time at once, until ``until(query)`` says so or someone stops the query.
+
+    A batch that fails for good reason of its own (``permanent``) ends the job with that error. Any other error is
+    tried again from the checkpoint, with the same batch, until it has come ``attempts`` times running.
+    """
+    errors: list[Exception] = []
+
+    def watched(df: DataFrame, batch_id: int) -> None:
+        try:
+            batch(df, batch_id)
+            errors.clear()
+        except Exception as error:
+            errors.append(error)
+            raise
+
+    while True:
+        query = run_available(stream, watched, checkpoint, every)
+        try:
+            while not query.awaitTermination(1):
+                if until and until(query):
+                    query.stop()
+            return query
+        except StreamingQueryException as failed:
+            if not errors or len(errors) >= attempts:
+                raise
+            if isinstance(errors[-1], permanent):
+                raise errors[-1] from failed
+
+
+def log_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
+    """A folder of protocol logs as a stream of lines, each with its place: file, block of the file, and (in a batch) row."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files).text(folder)
+    return lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def log_batch(root: str, state_root: str, query: str, streams: list[str]):
+    """Lands a batch's valid records under its own run id, and writes its last STATE with its place."""
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        run = f"{query}-{batch_id}"
+        placed = F.struct("path", "block", F.monotonically_increasing_id().alias("row"))
+        rows = protocol.messages(df.select(F.lit(run).alias("run_id"), placed.alias("seq"), "line"))
+        good = protocol.judged_records(rows, streams).where("reason IS NULL")
+        land(good.select("stream", "timestamp", "data_json"), root, run)
+        protocol.of_type(rows, "STATE").groupBy("run_id").agg(F.max(F.struct("seq", F.to_json("state").alias("state"))).alias("m")).select("run_id", "m.seq", "m.state").write.mode("overwrite").parquet(f"{state_root}/batch={batch_id}")
+
+    return batch
+
+
 def landing_batch(root: str, query: str, manifest: DataFrame | None = None, kind: str = "parquet"):
     """Prunes what earlier runs cover, then lands a batch under its own run id."""
 
@@ -63,10 +122,36 @@ def high_water(spark: SparkSession, stream: DataFrame, root: str, checkpoint: st
 
 
 def deduplicated(stream: DataFrame, keys: list[str], time_col: str = "at", late: str = "48 hours") -> DataFrame:
-    """The first event of each key; state is let go once the watermark has passed."""
+    """The first event of each key, with bounded state: it is let go once the watermark has passed, and later events are dropped. ``seen_once`` drops none."""
     return stream.withWatermark(time_col, late).dropDuplicatesWithinWatermark(keys)
 
 
+def seen_batch(root: str, keys: list[str], time_col: str = "at"):
+    """Writes a batch's events whose keys no earlier batch had, by day, as the store of what was seen.
+
+    Nothing is ever let go, however late an event comes; a batch reads only the days of the store that it has events of.
+    """
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        fresh = df.dropDuplicates(keys).withColumn("seen_day", F.to_date(time_col))
+        if batch_id:
+            kinds = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType()), T.StructField("seen_day", T.DateType())])
+            old = df.sparkSession.read.schema(kinds).parquet(root).where(F.col("batch") < batch_id).alias("old")
+            same = F.col("new.seen_day").eqNullSafe(F.col("old.seen_day"))
+            for k in keys:
+                same = same & F.col(f"new.{k}").eqNullSafe(F.col(f"old.{k}"))
+            fresh = fresh.alias("new").join(old, same, "left_anti")
+        fresh.write.mode("overwrite").partitionBy("seen_day").parquet(f"{root}/batch={batch_id}")
+
+    return batch
+
+
+def seen_once(spark: SparkSession, stream: DataFrame, keys: list[str], root: str, checkpoint: str, time_col: str = "at") -> DataFrame:
+    """Each key's event once, exactly."""
+    run_available(stream, seen_batch(root, keys, time_col), checkpoint)
+    return spark.read.schema(stream.schema).parquet(root)
+
+
 def append_all(spark: SparkSession, stream: DataFrame, root: str, checkpoint: str) -> DataFrame:
     """A stream's output as files, and read back."""
     query = stream.writeStream.format("parquet").option("path", root).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
