@@ -99,31 +99,33 @@ def replay(obs: DataFrame, days: tuple[int, ...] = DAYS) -> DataFrame:
     is linear in the observations, and a task holds seconds of one metric's day (86,400 at most) however dense it is.
     Null values count for nothing; a window without values has null mean and deviation.
     """
-    rows = obs.withColumn("at_s", epoch(F.col("observed_at")))
+    at = epoch(F.col("observed_at"))
+    rows = obs.withColumn("at_s", at)
     n = F.count("value")
-    second = rows.groupBy("fq_name", "at_s").agg(n.alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * n).alias("m2"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    part_of = [n.alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * n).alias("m2"), F.min("value").alias("lo"), F.max("value").alias("hi")]
+    second = rows.groupBy("fq_name", "at_s").agg(*part_of)
     second = second.withColumn("day", F.floor(F.col("at_s") / DAY)).withColumn("sod", F.col("at_s") - F.col("day") * DAY)
-    # a second asks for the end of the days that its windows begin on
-    asked = F.explode(F.array(*[F.struct(F.lit(d).alias("back"), F.lit(d > 0).alias("asks")) for d in (0, *days)]))
-    dealt = second.select("*", asked.alias("q")).withColumn("back", F.col("q.back")).withColumn("day", F.col("day") - F.col("back"))
-    dealt = dealt.select("fq_name", "day", "sod", "back", *[F.when(~F.col("q.asks"), F.col(c)).alias(c) for c in _PART])
-    whole = Window.partitionBy("fq_name", "day")
-    grow = (Window.unboundedPreceding, Window.currentRow)
-    edges = _running(dealt, "upto", whole.orderBy("sod").rangeBetween(*grow))
-    edges = _running(edges, "onward", whole.orderBy(F.desc("sod")).rangeBetween(*grow))
-    edges = edges.select("fq_name", (F.col("day") + F.col("back")).alias("day"), "sod", "back", F.when(F.col("back") == 0, F.col("upto")).otherwise(F.col("onward")).alias("p"))
+    # a second stands in its day's forward and backward sums, and asks for the end of the days that its windows begin on
+    place = lambda back, forward, asks: F.struct(F.lit(back).alias("back"), F.lit(forward).alias("forward"), F.lit(asks).alias("asks"))
+    dealt = second.select("*", F.explode(F.array(place(0, True, False), place(0, False, False), *[place(d, False, True) for d in days])).alias("q"))
+    order = F.when(F.col("q.forward"), F.col("sod")).otherwise(-F.col("sod"))
+    dealt = dealt.select("fq_name", (F.col("day") - F.col("q.back")).alias("day"), "sod", "q.*", order.alias("order"), *[F.when(~F.col("q.asks"), F.col(c)).alias(c) for c in _PART])
+    edges = _running(dealt, "p", Window.partitionBy("fq_name", "day", "forward").orderBy("order").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    edges = edges.where("forward OR asks").withColumn("day", F.col("day") + F.col("back"))
     picked = [F.max(F.when(F.col("back") == d, F.col("p")[c])).alias(f"{c}_{d}") for d in (0, *days) for c in _PART]
     edges = edges.groupBy("fq_name", "day", "sod").agg(*picked)
     part = lambda d: F.struct(*[F.col(f"{c}_{d}").alias(c) for c in _PART])
-    total = edges.groupBy("fq_name", "day").agg(F.max_by(part(0), "sod").alias("p"))
+    # whole days: each window adds to the next shorter one those days that only it has
+    total = obs.groupBy("fq_name", F.floor(at / DAY).alias("day")).agg(*part_of).select("fq_name", "day", F.struct(*_PART).alias("p"))
     by_day = Window.partitionBy("fq_name").orderBy("day")
-    between = [F.aggregate(F.collect_list("p").over(by_day.rangeBetween(1 - d, -1)), _nothing(), merged).alias(f"between_{d}") for d in days]
+    steps = list(zip((1, *sorted(days)), sorted(days), strict=False))
+    between = [F.aggregate(F.collect_list("p").over(by_day.rangeBetween(1 - d, -shorter)), _nothing(), merged).alias(f"between_{d}") for shorter, d in steps]
     full = edges.join(total.select("fq_name", "day", *between), ["fq_name", "day"])
 
     def stats(d: int) -> Column:
         spread = lambda x: F.when(x["lo"] == x["hi"], F.lit(0.0)).otherwise(F.sqrt(x["m2"] / x["n"]))
         row = lambda x: F.struct(F.lit(d).alias("window_days"), x["mean"].alias("mean"), spread(x).alias("stddev"), x["n"].alias("sample_count"))
-        return F.aggregate(F.array(F.col(f"between_{d}"), part(0), part(d)), _nothing(), merged, row)
+        return F.aggregate(F.array(*[F.col(f"between_{x}") for x in days if x <= d], part(0), part(d)), _nothing(), merged, row)
 
     full = full.select("fq_name", (F.col("day") * DAY + F.col("sod")).alias("at_s"), F.array(*map(stats, days)).alias("w"))
     return rows.join(full, ["fq_name", "at_s"]).select("fq_name", "observed_at", "seq", "value", F.explode("w").alias("w")).select("fq_name", "observed_at", "seq", "value", "w.*")
