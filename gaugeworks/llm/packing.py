@@ -23,8 +23,6 @@ from gaugeworks.llm.common import stored
 CAPACITY = 2048
 #: Lengths are fitted in classes of so many tokens, in patterns of at most so many documents; the plan with fewest sequences is taken.
 CLASS, DEPTHS = 32, (2, 3)
-#: Pieces of one length are ranked in so many parts, as one length may hold very many pieces.
-PARTS = 64
 #: A worker's cache of word ids starts anew at so many words.
 CACHE_WORDS = 1_000_000
 #: A special token of this vocabulary: the tokenizer cuts a text there before anything else.
@@ -269,9 +267,12 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
     pieces = stored(base.mapInArrow(_cut(tokenizer or public_path(), capacity), "doc long, piece int, start long, length long, ids_crc32 long"), "pieces")
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
-    counts = stored(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
-    groups = plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
+    lengths = stored(pieces.groupBy("length").agg(F.count("*").alias("n")), "lengths")
+    groups = plan({r.length: r.n for r in lengths.collect()}, capacity)
+    # n pieces of one length are ranked in about sqrt(n) parts, and these among each other, so neither list is long
+    parts = F.broadcast(lengths.select("length", F.ceil(F.sqrt("n")).alias("parts")))  # a row for each length up to the capacity
+    pieces = pieces.join(parts, "length").withColumn("part", F.pmod(F.xxhash64("doc", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
+    counts = stored(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     tables = spark.sparkContext.broadcast(_tables(groups))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
     order = Window.partitionBy("length", "part").orderBy("doc", "piece", "ids_crc32")
