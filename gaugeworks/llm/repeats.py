@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import stored
+from gaugeworks.llm.common import small, stored
 
 WINDOW, GRAM = 200, 40
 #: Texts are hashed in parts of so many bytes; parts overlap by a window.
@@ -198,7 +198,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wholly. A null id is kept. An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).withColumn("key", F.xxhash64("id", "t"))
+    base = _keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")))
     packed = base.select("key", "id", "t").mapInArrow(_pack, f"key long, id {kind}, z binary")
     long = base.where(F.octet_length("t") >= window).select("key", "t")
     runs = stored(long.mapInArrow(_emit_runs(window, gram), "key long, digit long, whole long, first long, n int, lead int"), "runs")
@@ -213,27 +213,41 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = packed.join(spelled, "key").dropDuplicates(["key"]).select("key", "z", "spans").mapInArrow(_emit_blocks(window), _BLOCKS)
     blocks = _several(stored(blocks, "blocks"), "digit", "core", "place")
     near = (F.col("j") * SMALL).cast("int")
-    small = blocks.withColumn("j", F.explode(F.sequence(F.floor(F.col("lo") / SMALL), F.floor(F.col("hi") / SMALL))))
+    fine = blocks.withColumn("j", F.explode(F.sequence(F.floor(F.col("lo") / SMALL), F.floor(F.col("hi") / SMALL))))
     side = lambda back, ahead: F.xxhash64("core", "place", near, F.expr(f"substring(before, length(before) - {back} + 1, {back})"), F.expr(f"substring(after, 1, {ahead})"))
-    small = small.withColumn("core2", side(f"(int(j) * {SMALL})", f"({BLOCK - SMALL} - int(j) * {SMALL})"))
-    small = _several(small, "digit", "core2")
+    fine = fine.withColumn("core2", side(f"(int(j) * {SMALL})", f"({BLOCK - SMALL} - int(j) * {SMALL})"))
+    fine = _several(fine, "digit", "core2")
     lo, hi = F.greatest(F.col("lo"), near), F.least(F.col("hi"), near + SMALL - 1)
-    small = small.select("key", "digit", "core2", "core", "place", "at", "before", "after", "c", lo.alias("lo"), hi.alias("hi"))
+    fine = fine.select("key", "digit", "core2", "core", "place", "at", "before", "after", "c", lo.alias("lo"), hi.alias("hi"))
     whole = F.xxhash64("lo", "hi", F.expr("substring(before, length(before) - hi + 1, hi)"), F.expr(f"substring(after, 1, {BLOCK - 1} - lo)"))
-    small = small.withColumn("whole", whole)
-    kinds = stored(small.groupBy("digit", "core2", "whole").agg(F.sum("c").alias("c"), F.min(F.struct("key", "at", "core", "place", "before", "after", "lo", "hi")).alias("m")), "kinds")
-    equal = small.where("c = 1").join(kinds.where("c > 1").select("digit", "core2", "whole"), ["digit", "core2", "whole"], "left_semi")
+    fine = fine.withColumn("whole", whole)
+    kinds = stored(fine.groupBy("digit", "core2", "whole").agg(F.sum("c").alias("c"), F.min(F.struct("key", "at", "core", "place", "before", "after", "lo", "hi")).alias("m")), "kinds")
+    equal = fine.where("c = 1").join(kinds.where("c > 1").select("digit", "core2", "whole"), ["digit", "core2", "whole"], "left_semi")
     equal = equal.select("key", span(F.col("at") - F.col("hi"), F.col("hi") - F.col("lo") + 1).alias("s"))
     unlike = kinds.groupBy("digit", "core2").agg(F.count("*").alias("k")).where("k > 1").select("digit", "core2")
     each = kinds.join(unlike, ["digit", "core2"]).select("digit", "c", "m.*").withColumn("i", F.explode(F.sequence("lo", "hi")))
     window_ = F.xxhash64("core", "place", "i", F.expr("substring(before, length(before) - i + 1, i)"), F.expr(f"substring(after, 1, {BLOCK - 1} - i)"))
     each = _several(each.select("key", "digit", "c", (F.col("at") - F.col("i")).alias("first"), window_.alias("w")), "digit", "w")
     rest = equal.union(each.where("c = 1").select("key", span(F.col("first"), F.lit(1)).alias("s")))
-    cover = sure.union(rest).groupBy("key").agg(F.collect_list("s").alias("spans"))
+    cover = sure.union(rest).groupBy("key").agg(F.collect_set("s").alias("spans"))  # rows that repeat share their spans
     out = packed.join(cover, "key", "left").select("id", "z", "spans")
     return out.mapInArrow(_remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
 
 
+def _keyed(base: DataFrame, narrow=lambda h: h) -> DataFrame:
+    """``base(id, t)`` with a ``key`` that is equal only for equal id and text.
+
+    A key is a 64-bit hash. Where rows that differ (by 128 bits) share one, as will happen to a few of very many, those
+    get another, until none do. ``narrow`` makes clashes likelier, for tests.
+    """
+    base = base.withColumn("key", narrow(F.xxhash64("id", "t"))).withColumn("other", F.xxhash64(F.lit(1), "id", "t"))
+    while True:
+        clash = stored(base.groupBy("key").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("key", F.lit(True).alias("clash")), "clash")
+        if clash.isEmpty():
+            return base.drop("other")
+        base = base.join(small(clash), "key", "left").withColumn("key", F.when(F.col("clash"), F.xxhash64("key", "other")).otherwise(F.col("key"))).drop("clash")
+
+
 def _several(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows whose key stands for several places; one pass of the sort."""
     held = rows.groupBy(*keys).agg(F.sum("c").alias("__c"), F.count("*").alias("__n")).where("__c > 1 AND __n > 1").select(*keys)
