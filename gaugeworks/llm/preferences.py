@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.common import free_name
 from gaugeworks.llm.quality import bind
 
 #: A turn is OPEN role CLOSE text END; a marker within a text is broken up by a space.
@@ -14,7 +15,11 @@ _TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
 
 def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``(id, turns)``: each conversation's turns in order. Null roles and texts are empty; ties go by role, then text."""
+    """``(id, turns)``: each conversation's turns in order. Null roles and texts are empty; ties go by role, then text.
+
+    Turns without an id make up one conversation, whose id is null. A null turn number comes first. A conversation is
+    one row, so it has to fit into a task, as it would into any training sequence.
+    """
     row = F.struct(F.col(turn_col).cast("bigint").alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     return turns.groupBy(F.col(id_col).alias("id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
 
@@ -95,7 +100,8 @@ def formatted(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejecte
 
     whole = bind(F.struct(F.col(chosen).alias("a"), F.col(rejected).alias("b"), n.alias("n")), parts)
     others = [c for c in pairs.columns if c not in (chosen, rejected)]
-    return pairs.select(*others, whole.alias("__parts")).select(*others, "__parts.*")
+    name = free_name(pairs, "parts")
+    return pairs.select(*others, whole.alias(name)).select(*others, f"{name}.*")
 
 
 def preference_pairs(turns: DataFrame, **columns) -> DataFrame:
