@@ -8,6 +8,7 @@ rename that fails where it already exists, so readers see the old or the new sta
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass
 from math import ceil, log
@@ -21,6 +22,8 @@ from gaugeworks.llm.common import shared_folder
 FAN = 4
 TARGET_BYTES = 128 << 20
 SMALLEST = 1 << 20
+#: Arrivals that the query makes of its table; versions and age of data that a vacuum spares.
+ARRIVALS, KEEP_VERSIONS, YOUNG_S = 4, 10, 24 * 3600.0
 
 
 @dataclass(frozen=True)
@@ -117,27 +120,42 @@ class ShardStore:
             raise ValueError(f"no shards in {self.root}")
         return self.spark.read.schema(self.spark.read.parquet(paths[0]).schema).parquet(*paths)
 
-    def vacuum(self) -> int:
-        """Deletes data files that the newest manifest doesn't name, once no reader needs older versions. Returns how many."""
-        live = {s.path for s in self.load()[1]}
+    def vacuum(self, versions: int = KEEP_VERSIONS, young_s: float = YOUNG_S) -> int:
+        """Deletes manifests but the newest ``versions``, then data that none of these names. Returns how many data files.
+
+        Data younger than ``young_s`` stays, as a writer may be about to commit it.
+        """
+        known = self.versions()
+        for old in known[: max(len(known) - max(versions, 1), 0)]:
+            self._fs.delete(self._path(f"{self.root}/manifest/v{old:09d}.json"), False)
+        live = {s.path for v in self.versions() for s in self.load(v)[1]}
         gone = 0
         for folder in self._fs.listStatus(self._path(f"{self.root}/data")):
-            files = [s.getPath() for s in self._fs.listStatus(folder.getPath())]
-            if not any(f.toString() in live for f in files):
+            files = list(self._fs.listStatus(folder.getPath()))
+            newest = max([folder.getModificationTime(), *(f.getModificationTime() for f in files)])
+            if time.time() - newest / 1000 >= young_s and not any(f.getPath().toString() in live for f in files):
                 gone += len(files)
                 self._fs.delete(folder.getPath(), True)
         return gone
 
 
-def sharded(docs: DataFrame, target_bytes: int = TARGET_BYTES, rows_per_shard: int = 2000) -> tuple[DataFrame, ShardStore]:
-    """Appends ``docs`` as small shards, compacts, and reads the committed version back; rows and columns are unchanged.
+def arrivals(docs: DataFrame, n: int) -> list[DataFrame]:
+    """``docs`` in ``n`` parts by a hash of the whole row, so that a part is the same however often it is made."""
+    kinds = [f.name for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map", "variant"))]
+    place = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in kinds]), F.lit(n))
+    return [docs.where(place == k) for k in range(n)]
+
+
+def sharded(docs: DataFrame, target_bytes: int = TARGET_BYTES, rows_per_shard: int = 2000, n_arrivals: int = ARRIVALS) -> tuple[DataFrame, ShardStore]:
+    """Appends ``docs`` in several arrivals of small shards, compacts, and reads the committed version back; rows and columns are unchanged.
 
-    Any rows do: nulls, repeats and empty texts are stored as they are. An empty table is one empty shard.
+    Any rows do: nulls, repeats and empty texts are stored as they are. An empty table is stored as empty shards.
+    Earlier versions stay readable until ``vacuum``.
     """
     store = ShardStore(docs.sparkSession, f"{shared_folder(docs.sparkSession)}/shards-{uuid.uuid4().hex}", target_bytes)
-    store.append(docs, rows_per_shard)
+    for arrival in arrivals(docs, n_arrivals):
+        store.append(arrival, rows_per_shard)
     store.compact()
-    store.vacuum()
     return store.read(), store
 
 

@@ -313,6 +313,16 @@ def test_repeats(spark, window, gram):
     assert repeats.without_repeats(frame(spark, [])).count() == 0
 
 
+def test_keys_that_clash_are_replaced(spark):
+    rows = [(i, f"t{i}") for i in range(50)] + [(3, "t3"), (3, "other"), (None, None), (None, "")]
+    base = spark.createDataFrame(rows, "id long, t string")
+    keyed = repeats._keyed(base, lambda h: F.pmod(h, F.lit(7))).collect()
+    by = defaultdict(set)
+    for r in keyed:
+        by[r.key].add((r.id, r.t))
+    assert len(keyed) == len(rows) and len(by) == len(set(rows)) and all(len(x) == 1 for x in by.values())
+
+
 def test_long_texts_are_hashed_in_parts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PART", 700)
     data = np.frombuffer(documents()[63][1].encode(), np.uint8)

@@ -53,6 +53,31 @@ def test_a_lost_race_changes_nothing(spark):
     assert store.load()[0] == seen + 1 and store.read().count() == 2 * frame(spark).count() and store.read(seen).count() == frame(spark).count()
 
 
+def test_shard_query_columns(spark, tmp_path):
+    import hashlib
+
+    rows = documents()
+    frame(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    got = shards.op6_sharding(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), str(r.n_bytes), r.text_sha256) for r in got) == sorted((str(i), str(None if t is None else len(t.encode())), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in rows)
+    assert len({r.version for r in got}) == 1 and got[0].version >= shards.ARRIVALS
+    sizes = {r.shard: r.shard_bytes for r in got}
+    assert min(sizes) >= 0 and all(b > 0 for b in sizes.values())
+
+
+def test_vacuum_spares_promised_versions_and_young_data(spark):
+    docs = frame(spark)
+    out, store = shards.sharded(docs, rows_per_shard=20)
+    assert all(store.read(v).count() <= docs.count() for v in store.versions()) and store.read(1).count() < docs.count()
+    store._write(docs)  # not committed yet
+    assert store.vacuum() == 0
+    last = store.versions()[-1]
+    assert store.vacuum(versions=2, young_s=0) > 0
+    assert store.versions() == [last - 1, last] and store.read().count() == docs.count() and store.read(last - 1).count() == docs.count()
+    with pytest.raises(Exception):  # noqa: B017
+        store.read(1)
+
+
 def test_tiers(spark):
     store = shards.ShardStore(spark, common.shared_folder(spark) + "/tiers", target_bytes=1000, smallest=10)
     small, large = [shards.Shard(str(i), 5) for i in range(4)], [shards.Shard("b", 400)]
@@ -80,6 +105,14 @@ def test_preferences(spark):
     assert preferences.preference_pairs(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_preferences_with_null_ids_and_clashing_names(spark):
+    rows = [(None, 1, "user", "q"), (None, 2, "assistant", "a"), (1, None, "user", "q"), (1, 2, "assistant", "b"), (2, 1, None, None), (2, 2, "assistant", None)]
+    pairs = preferences.preference_pairs(spark.createDataFrame(rows, TURNS))
+    got = {r.id: r for r in preferences.formatted(pairs.selectExpr("*", "1 AS parts", "2 AS _parts")).collect()}
+    assert set(got) == {None, 1, 2} and got[None].parts == 1 and got[None]._parts == 2
+    assert "a" in got[None].chosen_text and got[None].n_prompt_turns == 1
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 99), (7, 7), (200, 200)]
     got = {r.a: r.b for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
