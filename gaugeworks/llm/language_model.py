@@ -1,9 +1,8 @@
-"""Stupid-backoff scores of documents against n-gram counts of the whole corpus.
+"""Stupid-backoff scores of documents against n-gram counts of the whole corpus, as relations.
 
-Counts, exploded n-grams and scores meet by hash, in packed form: texts are dealt into chunks; a chunk sends
-each of its distinct n-grams once, as a 64-bit hash, to the partition ("bucket") of that hash, where counts
-of all chunks are added up; the counts go back to the chunk in the order of its hashes, and there every
-document sums its scores. An n-gram that is very frequent is one entry of each chunk, so no bucket is hot.
+Documents are dealt into chunks of a few megabytes. Each chunk's n-grams of all orders are exploded into rows, one
+for each n-gram of the chunk (so reduced before they are shuffled), and added up into a count table, partitioned by
+hash. The rows are joined with that table, and what is found goes back to its chunk, where each document sums up.
 """
 
 from __future__ import annotations
@@ -21,9 +20,9 @@ from gaugeworks.llm.common import stored
 from gaugeworks.llm.hashing import pair, word_hashes
 
 #: Longest n-gram, and the factor of each step back to a shorter one.
-ORDER, BACKOFF = 2, 0.4
-#: Bytes of text in a chunk and of hashes in a bucket, about; both bound what a task holds.
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+ORDER, BACKOFF = 3, 0.4
+#: Bytes of text in a chunk, about; they bound what a task holds.
+CHUNK_BYTES = 4 << 20
 
 
 def _grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -34,21 +33,11 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def _wire(h: np.ndarray) -> bytes:
-    """Sorted hashes in fewer bytes: their three leading bytes change slowly and compress."""
-    planes = h.astype(">u8").view(np.uint8).reshape(-1, 8).T
-    lead = zlib.compress(planes[:3].tobytes(), 1)
-    return len(h).to_bytes(4, "little") + len(lead).to_bytes(4, "little") + lead + planes[3:].tobytes()
-
-
-def _unwire(raw: bytes) -> np.ndarray:
-    n, lead = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little")
-    planes = np.frombuffer(zlib.decompress(raw[8 : 8 + lead]) + raw[8 + lead :], np.uint8).reshape(8, n)
-    return np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64)
+_CHUNK = "chunk long, docs binary, sizes binary, z binary, n_words long"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of about CHUNK_BYTES as one row: a name, document ids, text lengths, and the compressed texts."""
+    """Documents of about CHUNK_BYTES as one row: a name, document ids, text lengths, the compressed texts, and their words."""
     ids: list[int] = []
     texts: list[bytes] = []
     held = 0
@@ -56,26 +45,29 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> Iterator[pa.RecordBatch]:
         if ids:
             doc, size, body = np.array(ids, np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), b"".join(texts)
-            name = f"{os.urandom(8).hex()}-{len(ids)}"
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([doc], pa.binary()), pa.array([size], pa.binary()), pa.array([zlib.compress(body, 1)], pa.binary())], ["chunk", "docs", "sizes", "z"])
+            name, words = int.from_bytes(os.urandom(8), "little", signed=True), sum(len(t.split()) for t in texts)
+            columns = [pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in (doc, size, zlib.compress(body, 1))), pa.array([words], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "docs", "sizes", "z", "n_words"])
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        valid = batch.column(0).is_valid().to_pylist()
+        for known, doc, text in zip(valid, batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = text or b""
             if held + len(text) > CHUNK_BYTES:
                 yield from flush()
                 ids, texts, held = [], [], 0
-            ids.append(doc)
+            ids += [doc, 1] if known else [0, 0]
             texts.append(text)
             held += len(text) + 1
     yield from flush()
 
 
-def _open(docs: bytes, sizes: bytes, z: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _open(docs: bytes, sizes: bytes, z: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """Document ids, words of each, and all words' hashes of a chunk."""
     body, ends = zlib.decompress(z), np.cumsum(np.frombuffer(sizes, np.int64))
     words = list(word_hashes([body[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]))
-    return np.frombuffer(docs, np.int64), np.array([len(w) for w in words], np.int64), np.concatenate(words)
+    ids = [x if known else None for x, known in np.frombuffer(docs, np.int64).reshape(-1, 2).tolist()]
+    return ids, np.array([len(w) for w in words], np.int64), np.concatenate(words)
 
 
 def _inside(count: np.ndarray, n: int) -> np.ndarray:
@@ -85,89 +77,70 @@ def _inside(count: np.ndarray, n: int) -> np.ndarray:
     return left >= n
 
 
-def _send(order: int, buckets: int):
-    """For each chunk, order and bucket the distinct hashes and how often the chunk has them."""
-    edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+def _explode(order: int):
+    """A row for each n-gram of a chunk: its hash, how often the chunk has it, and whether several of its documents do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 _, count, words = _open(*packed)
+                doc = np.repeat(np.arange(len(count)), count)
                 for n in range(1, order + 1):
-                    distinct, times = np.unique(_grams(words, n)[_inside(count, n)], return_counts=True)
-                    cuts = [*np.searchsorted(distinct, edges).tolist(), len(distinct)]
-                    rows = [(chunk, n, b, _wire(distinct[x:y]), zlib.compress(times[x:y].astype(np.uint32).tobytes(), 1)) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
-                    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], ["chunk", "n", "bucket", "a", "b"])
+                    at = np.flatnonzero(_inside(count, n))
+                    h, first = _grams(words, n)[at], doc[at]
+                    by = np.argsort(h, kind="stable")  # documents stay in order
+                    h, first = h[by], first[by]
+                    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+                    times = np.diff(np.concatenate([edge, [len(h)]]))
+                    several = first[edge] != first[edge + times - 1]
+                    for a in range(0, len(edge), 1 << 16):
+                        cut = edge[a : a + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), chunk)), pa.array(h[cut].view(np.int64)), pa.array(times[a : a + len(cut)]), pa.array(1 + several[a : a + len(cut)].astype(np.int64))], ["chunk", "h", "k", "d"])
 
     return run
 
 
-_COUNTED = "chunk string, n int, bucket int, c binary, total long"
-
-
-def _count(table: pa.Table) -> pa.Table:
-    """One bucket of one order: adds the chunks' counts and answers each chunk in its own order."""
-    hashes = [_unwire(x) for x in table["a"].to_pylist()]
-    own = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in table["b"].to_pylist()]).astype(np.int64)
-    distinct, places = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, places, own)
-    cuts = np.cumsum([0, *map(len, hashes)])
-    out = [zlib.compress(total[places[x:y]].tobytes(), 1) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-    sums = np.zeros(len(out), np.int64)
-    sums[0] = total.sum()
-    return pa.table({"chunk": table["chunk"], "n": table["n"], "bucket": table["bucket"], "c": pa.array(out, pa.binary()), "total": pa.array(sums)})
-
-
 def _score(order: int, total: int, backoff: float):
+    """Scores of a chunk's documents, from the chunk and the counts of those of its n-grams that several documents have."""
     logs = np.log(backoff)
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        fixed = next(r for r in rows if r["bucket"] < 0)
-        ids, sizes, words = _open(fixed["docs"], fixed["sizes"], fixed["z"])
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        length = len(doc)
-        seen, own = {}, {}
-        for n in range(1, order + 1):
-            answers = sorted((r["bucket"], r["c"]) for r in rows if r["n"] == n and r["bucket"] >= 0)
-            counts = np.frombuffer(b"".join(zlib.decompress(c) for _, c in answers), np.int64)
-            at = np.flatnonzero(_inside(sizes, n))
-            _, places = np.unique(_grams(words, n)[at], return_inverse=True)
-            # counts within the document, to leave them out
-            _, back, times = np.unique(doc[at] * (len(counts) + 1) + places, return_inverse=True, return_counts=True)
-            seen[n], own[n] = np.zeros(length, np.int64), np.zeros(length, np.int64)
-            seen[n][at], own[n][at] = counts[places], times[back]
-        rest = total - sizes[doc]
-        score = np.full(length, 0.0)
-        level = np.zeros(length, np.int64)
-        one = seen[1] - own[1]
-        # a word that no other document has takes the mass of one unseen word
-        base = np.log(np.maximum(one, 1) / (np.maximum(rest, 0) + 1.0))
-        score[:] = base
-        level[one > 0] = 1
-        for n in range(2, order + 1):
-            # n-grams are noted at their first word; the scored word is n - 1 further on
-            with_ = np.zeros(length, np.int64)
-            context = np.zeros(length, np.int64)
-            with_[n - 1 :] = (seen[n] - own[n])[: length - n + 1]
-            context[n - 1 :] = (seen[n - 1] - own[n - 1])[: length - n + 1]
-            hit = with_ > 0
-            possible = np.arange(length) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= n - 1
-            score = np.where(hit, np.log(np.maximum(with_, 1)) - np.log(np.maximum(context, 1)), score + np.where(possible, logs, 0.0))
-            level[hit] = n
-        sums = np.bincount(doc, score, len(ids))
-        hits = np.bincount(doc, level == order, len(ids)).astype(np.int64)
-        return pa.table({"id": pa.array([None if x == NO_ID else int(x) for x in ids], pa.int64()), "n_words": pa.array(sizes), "n_known": pa.array(hits), "log_score": pa.array(sums)})
+    def run(fixed: pa.Table, found: pa.Table) -> pa.Table:
+        parts = []
+        hashes = found["h"].to_numpy().view(np.uint64)
+        by = np.argsort(hashes)
+        hashes, counts = np.append(hashes[by], np.uint64(0)), np.append(found["c"].to_numpy()[by], 0)
+        for row in fixed.to_pylist():
+            ids, sizes, words = _open(row["docs"], row["sizes"], row["z"])
+            doc, length = np.repeat(np.arange(len(ids)), sizes), int(sizes.sum())
+            others = {}  # for each order, how often all other documents have the n-gram that starts at a word
+            for n in range(1, order + 1):
+                at = np.flatnonzero(_inside(sizes, n))
+                distinct, places = np.unique(_grams(words, n)[at], return_inverse=True)
+                near = np.minimum(np.searchsorted(hashes[:-1], distinct), len(hashes) - 1)
+                seen = np.where((hashes[near] == distinct) & (near < len(hashes) - 1), counts[near], 0)
+                _, back, times = np.unique(doc[at] * (len(distinct) + 1) + places, return_inverse=True, return_counts=True)
+                others[n] = np.zeros(length, np.int64)
+                others[n][at] = np.maximum(seen[places] - times[back], 0)  # not found: the document's own only
+            rest = total - sizes[doc]
+            # a word that no other document has takes the mass of one unseen word
+            score = np.log(np.maximum(others[1], 1) / (np.maximum(rest, 0) + 1.0))
+            level = (others[1] > 0).astype(np.int64)
+            place = np.arange(length) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            for n in range(2, order + 1):
+                # n-grams are noted at their first word; the scored word is n - 1 further on
+                with_, context = np.zeros(length, np.int64), np.zeros(length, np.int64)
+                with_[n - 1 :] = others[n][: max(length - n + 1, 0)]
+                context[n - 1 :] = others[n - 1][: max(length - n + 1, 0)]
+                hit = with_ > 0
+                score = np.where(hit, np.log(np.maximum(with_, 1)) - np.log(np.maximum(context, 1)), score + np.where(place >= n - 1, logs, 0.0))
+                level[hit] = n
+            hits = np.bincount(doc, level == order, len(ids)).astype(np.int64)
+            parts.append(pa.table({"id": pa.array(ids, pa.int64()), "n_words": pa.array(sizes), "n_known": pa.array(hits), "log_score": pa.array(np.bincount(doc, score, len(ids)).astype(np.float64))}))
+        return pa.concat_tables(parts) if parts else pa.table({"id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
 
     return run
 
 
-#: Stands for a null id within chunks.
-NO_ID = -(1 << 63)
-
-
 def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """Score each document against all the others' n-grams.
 
@@ -178,18 +151,20 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     isn't its own evidence; a word that no other document has counts as seen once. At the start of a document
     contexts are as long as there are words. Null text has no words. A null id is kept, and rows that repeat are
     documents of their own. An empty table gives no rows.
+
+    Rows shuffled grow in proportion to the text: one for each n-gram of a chunk on the way to the count table, one on
+    the way to the join with it, and one back for those n-grams that several documents have; others can't count for
+    any document. A very frequent n-gram is one row of each chunk, partly summed before the shuffle, and both sides of
+    the join are stored or dealt anew, so that adaptive execution can split it.
     """
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    buckets = max(4, -(-int(size * 1.3) // BUCKET_BYTES))
-    chunks = stored(base.mapInArrow(_chunks, "chunk string, docs binary, sizes binary, z binary"), "chunks")
-    sent = chunks.mapInArrow(_send(order, buckets), "chunk string, n int, bucket int, a binary, b binary")
-    counted = stored(sent.groupBy("n", "bucket").applyInArrow(_count, _COUNTED), "counts")
-    total = counted.where("n = 1").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    none = F.lit(None).cast("binary")
-    fixed = chunks.select("chunk", F.lit(0).alias("n"), F.lit(-1).alias("bucket"), "docs", "sizes", "z", none.alias("c"))
-    answers = counted.select("chunk", "n", "bucket", none.alias("docs"), none.alias("sizes"), none.alias("z"), "c")
-    scored = fixed.union(answers).groupBy("chunk").applyInArrow(_score(order, int(total), backoff), "id long, n_words long, n_known long, log_score double")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+    chunks = stored(base.mapInArrow(_chunks, _CHUNK), "chunks")
+    total = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    packed = chunks.select("chunk", "docs", "sizes", "z")
+    grams = packed.mapInArrow(_explode(order), "chunk long, h long, k long, d long")
+    counts = stored(grams.groupBy("h").agg(F.sum("k").alias("c"), F.sum("d").alias("d")).where("d > 1").select("h", "c"), "counts")
+    found = grams.select("chunk", "h").join(counts, "h").select("chunk", "h", "c")
+    scored = packed.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_score(order, int(total), backoff), "id long, n_words long, n_known long, log_score double")
     return scored.select(F.col("id").alias(id_col), "n_words", "n_known", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_score"))
 
 
@@ -198,15 +173,22 @@ def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:
     return out.withColumn("log_score", F.round("log_score", 3)).withColumn("mean_score", F.round("mean_score", 5))
 
 
+def _counts_sql(name: str, keys: str, need: str) -> str:
+    given = f" WHERE {need} IS NOT NULL"
+    return f"{name} AS MATERIALIZED (SELECT {keys}, count(*) AS c FROM t{given} GROUP BY ALL), {name}d AS MATERIALIZED (SELECT rid, {keys}, count(*) AS c FROM t{given} GROUP BY ALL)"
+
+
 SQL = rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-t AS MATERIALIZED (SELECT rid, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS p FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-u AS MATERIALIZED (SELECT a, count(*) AS c FROM t GROUP BY a), ud AS MATERIALIZED (SELECT rid, a, count(*) AS c FROM t GROUP BY ALL),
-b AS MATERIALIZED (SELECT p, a, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY ALL), bd AS MATERIALIZED (SELECT rid, p, a, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY ALL),
+t AS MATERIALIZED (SELECT rid, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS p, CASE WHEN i > 2 THEN w[i - 2] END AS q FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+{_counts_sql('u', 'a', 'a')}, {_counts_sql('b', 'p, a', 'p')}, {_counts_sql('r', 'q, p, a', 'q')},
 n AS (SELECT count(*) AS n FROM t),
-s AS (SELECT t.rid, i, u.c - ud.c AS c1, coalesce(b.c - bd.c, 0) AS c2, coalesce(up.c - upd.c, 0) AS cp, t.p IS NOT NULL AS has, n.n - len(d.w) AS rest
+s AS (SELECT t.rid, u.c - ud.c AS c1, coalesce(b.c - bd.c, 0) AS c2, coalesce(up.c - upd.c, 0) AS cp, coalesce(r.c - rd.c, 0) AS c3, coalesce(bq.c - bqd.c, 0) AS cq, t.p IS NOT NULL AS two, t.q IS NOT NULL AS three, n.n - len(d.w) AS rest
   FROM t JOIN d USING (rid) JOIN u ON u.a = t.a JOIN ud ON ud.rid = t.rid AND ud.a = t.a LEFT JOIN b ON b.p = t.p AND b.a = t.a LEFT JOIN bd ON bd.rid = t.rid AND bd.p = t.p AND bd.a = t.a
-  LEFT JOIN u up ON up.a = t.p LEFT JOIN ud upd ON upd.rid = t.rid AND upd.a = t.p, n),
-x AS (SELECT rid, count(*) AS n, count(*) FILTER (c2 > 0) AS k, sum(CASE WHEN c2 > 0 THEN ln(c2) - ln(greatest(cp, 1)) ELSE ln(greatest(c1, 1) / (rest + 1.0)) + CASE WHEN has THEN ln({BACKOFF}) ELSE 0 END END) AS s FROM s GROUP BY rid)
+  LEFT JOIN u up ON up.a = t.p LEFT JOIN ud upd ON upd.rid = t.rid AND upd.a = t.p LEFT JOIN r ON r.q = t.q AND r.p = t.p AND r.a = t.a LEFT JOIN rd ON rd.rid = t.rid AND rd.q = t.q AND rd.p = t.p AND rd.a = t.a
+  LEFT JOIN b bq ON bq.p = t.q AND bq.a = t.p LEFT JOIN bd bqd ON bqd.rid = t.rid AND bqd.p = t.q AND bqd.a = t.p, n),
+y AS (SELECT rid, c3, CASE WHEN c3 > 0 THEN ln(c3) - ln(greatest(cq, 1)) ELSE CASE WHEN three THEN ln({BACKOFF}) ELSE 0 END
+  + CASE WHEN c2 > 0 THEN ln(c2) - ln(greatest(cp, 1)) ELSE CASE WHEN two THEN ln({BACKOFF}) ELSE 0 END + ln(greatest(c1, 1) / (rest + 1.0)) END END AS v FROM s),
+x AS (SELECT rid, count(*) AS n, count(*) FILTER (c3 > 0) AS k, sum(v) AS s FROM y GROUP BY rid)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_known, round(coalesce(s, 0.0)::DOUBLE, 3) AS log_score, round((s / n)::DOUBLE, 5) AS mean_score FROM d LEFT JOIN x USING (rid)
 """

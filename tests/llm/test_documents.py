@@ -336,36 +336,44 @@ def test_long_texts_are_hashed_in_parts(spark, monkeypatch):
 # 8 language model
 
 
-def scores(rows):
+def scores(rows, order):
     docs = [split(t) for _, t, *_ in rows]
-    one, two, n = Counter(), Counter(), sum(map(len, docs))
+    grams = lambda w: Counter(tuple(w[k : k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    every, total = Counter(), sum(map(len, docs))
     for w in docs:
-        one.update(w)
-        two.update(zip(w, w[1:], strict=False))
+        every += grams(w)
     for w in docs:
-        o, t, rest, s = Counter(w), Counter(zip(w, w[1:], strict=False)), n - len(w), 0.0
-        for k, x in enumerate(w):
-            pair = (w[k - 1], x)
-            if k and two[pair] > t[pair]:
-                s += np.log(two[pair] - t[pair]) - np.log(one[w[k - 1]] - o[w[k - 1]])
-            else:
-                s += np.log(max(one[x] - o[x], 1) / (rest + 1)) + (np.log(0.4) if k else 0)
-        yield len(w), s
-
-
-@pytest.mark.parametrize("chunk", [4 << 20, 3000])
-def test_backoff_scores(spark, monkeypatch, chunk):
+        own, rest, s, known = grams(w), total - len(w), 0.0, 0
+        others = lambda g: every[g] - own[g]  # noqa: B023, E731
+        for k in range(len(w)):
+            for n in range(min(order, k + 1), 0, -1):
+                gram = tuple(w[k - n + 1 : k + 1])
+                if n == 1:
+                    s += np.log(max(others(gram), 1) / (rest + 1))
+                    known += order == 1 and others(gram) > 0
+                elif others(gram) > 0:
+                    s += np.log(others(gram)) - np.log(others(gram[:-1]))
+                    known += n == order
+                    break
+                else:
+                    s += np.log(0.4)
+        yield len(w), known, s
+
+
+@pytest.mark.parametrize(("chunk", "order"), [(4 << 20, 2), (3000, 2), (4 << 20, None), (3000, None), (3000, 5), (3000, 1)])
+def test_backoff_scores(spark, monkeypatch, chunk, order):
     monkeypatch.setattr(language_model, "CHUNK_BYTES", chunk)
     rows = [(i, *r[1:]) for i, r in enumerate(documents(4))]
-    got = {r.doc_id: r for r in language_model.backoff_scores(frame(spark, rows)).collect()}
-    for i, (n, s) in enumerate(scores(rows)):
-        assert got[i].n_words == n and got[i].log_score == pytest.approx(s, rel=1e-9, abs=1e-9)
+    got = {r.doc_id: r for r in language_model.backoff_scores(frame(spark, rows), **({"order": order} if order else {})).collect()}
+    for i, (n, known, s) in enumerate(scores(rows, order or 3)):
+        assert (got[i].n_words, got[i].n_known) == (n, known) and got[i].log_score == pytest.approx(s, rel=1e-9, abs=1e-9)
     assert language_model.backoff_scores(frame(spark, [])).count() == 0
 
 
-def test_hashes_survive_the_wire():
-    h = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64))
-    assert (language_model._unwire(language_model._wire(h)) == h).all()
+def test_scores_of_odd_ids(spark):
+    rows = [(None, "a b c", "", 0), (-(1 << 63), "a b c", "", 0), (-(1 << 63), None, "", 0), (None, "", "", 0)]
+    got = language_model.backoff_scores(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_known) for r in got) == sorted([("None", 3, 1), (str(-(1 << 63)), 3, 1), (str(-(1 << 63)), 0, 0), ("None", 0, 0)])
 
 
 # 10 secrets
