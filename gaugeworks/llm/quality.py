@@ -32,7 +32,7 @@ RULES = (
     ("length", "n_words >= 200", "n_words < 100"),
     ("symbols", "100 * n_symbols <= 5 * n_words", "100 * n_symbols > 20 * n_words"),
     ("symbol_share", "100 * n_symbols <= word_chars", "100 * n_symbols > 5 * word_chars"),
-    ("repeats", "100 * n_repeat_words <= 10 * n_words", "100 * n_repeat_words > 30 * n_words"),
+    ("repeats", "100 * n_repeat_words <= 20 * n_words", "100 * n_repeat_words > 30 * n_words"),
     ("lines", "10 * n_dup_lines <= n_lines", "10 * n_dup_lines > 4 * n_lines"),
     ("line_size", "n_words BETWEEN 5 * n_lines AND 100 * n_lines", "n_words > 150 * n_lines OR n_words < 3 * n_lines"),
     ("word_size", "word_chars BETWEEN 3 * n_words AND 10 * n_words", "word_chars > 20 * n_words OR word_chars < 2 * n_words"),

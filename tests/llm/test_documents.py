@@ -68,6 +68,28 @@ def test_quality_em_finds_planted_accuracies(spark, rates):
     assert prior == pytest.approx(0.7, abs=0.1)
 
 
+def test_quality_abstentions_and_lone_bad_votes_count_for_what_they_are_worth(spark):
+    """Planted: good documents seldom make a rule abstain, bad ones often; the first rule is wrong on a third of the good ones."""
+    rng = np.random.default_rng(8)
+    good = rng.random(8000) < 0.8
+    rates = [(0.6, 0.33, 0.3, 0.6), *[(0.95, 0.03, 0.3, 0.1)] * 4]
+    votes = []
+    for yes, alarm, caught, missed in rates:
+        u = rng.random(8000)
+        votes.append(np.where(good, np.where(u < yes, 1, np.where(u < yes + alarm, -1, 0)), np.where(u < missed, 1, np.where(u < missed + caught, -1, 0))))
+    counts = Counter(zip(*(v.tolist() for v in votes), strict=True))
+    found, prior = quality.fit(spark.createDataFrame([(*k, n) for k, n in counts.items()], "v0 int, v1 int, v2 int, v3 int, v4 int, n long"), 5, 40)
+
+    def p_good(votes):
+        g, b = prior, 1 - prior
+        for r, v in zip(found, votes, strict=True):
+            g *= r["yes"] if v > 0 else r["alarm"] if v < 0 else 1 - r["yes"] - r["alarm"]
+            b *= r["missed"] if v > 0 else r["caught"] if v < 0 else 1 - r["missed"] - r["caught"]
+        return g / (g + b)
+
+    assert p_good((1, 0, 0, 0, 1)) < 0.5 < p_good((-1, 1, 1, 1, 1))
+
+
 def test_quality_posterior_is_no_conjunction(spark):
     """A rule that is often wrong on good documents doesn't reject them; one that is seldom wrong, confirmed by another, does."""
     rng = np.random.default_rng(5)
