@@ -90,16 +90,21 @@ def _running(rows: DataFrame, name: str, w) -> DataFrame:
     return rows.withColumn(name, part).drop("centre", "off")
 
 
-def replay(obs: DataFrame, days: tuple[int, ...] = DAYS) -> DataFrame:
+def replay(obs: DataFrame, days: tuple[int, ...] = DAYS, start: str | None = None, end: str | None = None) -> DataFrame:
     """Every observation with the trailing baseline it had, itself and its second's peers included.
 
     A window of d days is put together from three disjoint parts: its own day up to the second, the whole days
     before, and the end of the day d days ago. Observations are first summed up by metric and second; the parts
     of a day come from running sums over it, forwards and backwards, and whole days from at most d rows. The work
     is linear in the observations, and a task holds seconds of one metric's day (86,400 at most) however dense it is.
-    Null values count for nothing; a window without values has null mean and deviation.
+    Null values count for nothing; a window without values has null mean and deviation. Of a part of the past
+    (``start`` to ``end``, bounds included) only that and the longest window before it is read.
     """
     at = epoch(F.col("observed_at"))
+    if start is not None:
+        obs = obs.where(at >= epoch(moment(start)) - max(days) * DAY)
+    if end is not None:
+        obs = obs.where(at <= epoch(moment(end)))
     rows = obs.withColumn("at_s", at)
     n = F.count("value")
     part_of = [n.alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * n).alias("m2"), F.min("value").alias("lo"), F.max("value").alias("hi")]
@@ -128,6 +133,7 @@ def replay(obs: DataFrame, days: tuple[int, ...] = DAYS) -> DataFrame:
         return F.aggregate(F.array(*[F.col(f"between_{x}") for x in days if x <= d], part(0), part(d)), _nothing(), merged, row)
 
     full = full.select("fq_name", (F.col("day") * DAY + F.col("sod")).alias("at_s"), F.array(*map(stats, days)).alias("w"))
+    rows = rows if start is None else rows.where(F.col("at_s") >= epoch(moment(start)))
     return rows.join(full, ["fq_name", "at_s"]).select("fq_name", "observed_at", "seq", "value", F.explode("w").alias("w")).select("fq_name", "observed_at", "seq", "value", "w.*")
 
 

@@ -83,10 +83,10 @@ def r6(*names: str) -> dict[str, Column]:
     return {n: rounded(n) for n in names}
 
 
-def _replayed(spark, sf, source) -> DataFrame:
+def _replayed(spark, sf, source, start: str | None = None, end: str | None = None) -> DataFrame:
     obs = source(spark, sf)
     names = T.metric_dim(obs)
-    return A.replayed(obs, names, A.thresholds(names))
+    return A.replayed(obs, names, A.thresholds(names), start=start, end=end)
 
 
 def _timeline(spark, sf) -> DataFrame:
@@ -223,7 +223,8 @@ def _explained_events(spark, sf) -> DataFrame:
 
 def _explained_shipments(spark, sf) -> DataFrame:
     obs = T.obs_shipments(spark, sf)
-    return R.explain(obs, T.metric_dim(obs), B.compute(obs, T.SHIPMENTS_AS_OF), _replayed(spark, sf, T.obs_shipments), T.SHIPMENTS_AS_OF, 30 * DAY)
+    events = _replayed(spark, sf, T.obs_shipments, B.shifted(T.SHIPMENTS_AS_OF, -30 * DAY), T.SHIPMENTS_AS_OF)
+    return R.explain(obs, T.metric_dim(obs), B.compute(obs, T.SHIPMENTS_AS_OF), events, T.SHIPMENTS_AS_OF, 30 * DAY)
 
 
 _EX_SELECT = f"SELECT fq_name, direction, unit, round(current_value + 1.3e-7, 6) AS current_value, strftime(current_at, {STAMP}) AS current_at, round(window_mean + 1.3e-7, 6) AS window_mean, window_n, round(prior_mean + 1.3e-7, 6) AS prior_mean, prior_n, window_days, round(mean + 1.3e-7, 6) AS mean, round(stddev + 1.3e-7, 6) AS stddev, sample_count, n_anomalies, n_correlated, round(dev + 1.3e-7, 6) AS dev, round(confidence + 1.3e-7, 6) AS confidence, round(score + 1.3e-7, 6) AS score FROM sc"

@@ -118,3 +118,7 @@ def test_replay_is_brute_force(spark):
                 assert name != "m2" or r.stddev == 0
             else:
                 assert r.mean is None and r.stddev is None
+    start, end = "2024-02-01 00:00:00", "2024-06-01 12:00:00"
+    part = {(r.fq_name, r.seq, r.window_days): (r.sample_count, r.mean, r.stddev) for r in baselines.replay(obs, start=start, end=end).collect()}
+    inside = {k for k, r in got.items() if start <= str(r.observed_at) <= end}
+    assert inside and set(part) == inside and all(part[k][0] == got[k].sample_count and part[k][1:] == pytest.approx((got[k].mean, got[k].stddev), rel=1e-9, abs=1e-9) for k in inside if got[k].mean is not None)
