@@ -207,7 +207,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = stored(runs.groupBy("digit").agg(F.count("*").alias("c")).where("c > 1").select("digit"), "several")
     held = stored(runs.join(several, "digit"), "held")
     classes = stored(held.groupBy("digit", "whole").agg(F.count("*").alias("c"), F.min(F.struct("key", "first", "n", "lead")).alias("m")), "classes")
-    mixed = classes.groupBy("digit").agg(F.count("*").alias("k")).where("k > 1").select("digit")
+    mixed = stored(classes.groupBy("digit").agg(F.count("*").alias("k")).where("k > 1").select("digit"), "mixed")
     sure = held.join(classes.where("c > 1").select("digit", "whole"), ["digit", "whole"], "left_semi").select("key", span(F.col("first"), F.col("n")).alias("s"))
     spelled = classes.join(mixed, "digit").select("m.key", F.struct("m.first", "m.n", "m.lead", "digit", "c").alias("s")).groupBy("key").agg(F.collect_list("s").alias("spans"))
     blocks = packed.join(spelled, "key").dropDuplicates(["key"]).select("key", "z", "spans").mapInArrow(_emit_blocks(window), _BLOCKS)
