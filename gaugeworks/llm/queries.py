@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import decontamination, html_text, language_model, near_dedup_query, packing, preferences, quality, repeats, secrets, shards
+from gaugeworks.llm import clusters, decontamination, html_text, language_model, merkle, near_dedup_query, packing, preferences, quality, repeats, secrets, shards, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_lm_scoring": language_model.op8_lm_scoring,
     "op9_chat_formatting": preferences.op9_chat_formatting,
     "op10_secret_scans": secrets.op10_secret_scans,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_centroid_clustering": clusters.op12_centroid_clustering,
+    "op13_url_filters": urls.op13_url_filters,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.SQL,
@@ -24,4 +27,7 @@ ORACLE_SQL = {
     "op8_lm_scoring": language_model.SQL,
     "op9_chat_formatting": preferences.SQL,
     "op10_secret_scans": secrets.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op12_centroid_clustering": clusters.SQL,
+    "op13_url_filters": urls.SQL,
 }
