@@ -23,6 +23,15 @@ def _from_micros(micros: Column) -> Column:
     return _rfc(F.timestamp_seconds(F.floor(micros / 1_000_000)), F.lpad(F.pmod(micros, F.lit(1_000_000)).cast("string"), 6, "0"))
 
 
+def _stamp(p: Column) -> Column:
+    """Date, T or space, clock, fraction and zone as text in UTC; a zone needs the T of RFC 3339."""
+    zone = F.when(p[4].isin("", "Z"), "+00:00").otherwise(p[4])
+    clock = F.when(p[2] == "", "00:00:00").otherwise(p[2])
+    at = F.try_to_timestamp(F.concat(p[0], F.lit("T"), clock, zone), F.lit("yyyy-MM-dd'T'HH:mm:ssxxx"))
+    fits = ~((p[1] == " ") & (p[4] != ""))
+    return F.when(fits, F.transform(F.array(F.struct(at.alias("at"))), lambda x: F.when(x["at"].isNotNull(), _rfc(x["at"], p[3])))[0])
+
+
 def normalised(raw: Column) -> Column:
     """RFC 3339 text of a timestamp given as text; null where it can't be read.
 
@@ -30,19 +39,15 @@ def normalised(raw: Column) -> Column:
     fraction are carried as text, as Spark's timestamps have six. Whole numbers are epochs in seconds, or in
     milliseconds beyond 1e10; of decimal numbers the fraction counts in microseconds, but not for milliseconds.
     """
-    part = lambda k: F.regexp_extract(raw, STAMP, k)
-    zone = F.when(part(5).isin("", "Z"), "+00:00").otherwise(part(5))
-    clock = F.when(part(3) == "", "00:00:00").otherwise(part(3))
-    # a zone needs the T of RFC 3339
-    fits = raw.rlike(STAMP) & ~((part(2) == " ") & (part(5) != ""))
-    at = F.try_to_timestamp(F.concat(part(1), F.lit("T"), clock, zone), F.lit("yyyy-MM-dd'T'HH:mm:ssxxx"))
-    text = F.when(fits & at.isNotNull(), _rfc(at, part(4)))
+    # one match, its groups apart by tabs; an array's element isn't worked out again wherever it is named
+    groups = F.split(F.regexp_replace(raw, STAMP, "$1\t$2\t$3\t$4\t$5"), "\t", -1)
+    read = F.when(raw.rlike(STAMP), F.transform(F.array(groups), _stamp)[0])
     whole = raw.try_cast("bigint")
     epoch = F.when(whole > MILLIS_FROM, _from_micros(whole * 1000)).otherwise(_from_micros(whole * 1_000_000))
     number = raw.try_cast("double")
     seconds = number.cast("bigint")
     micros = F.when(seconds > MILLIS_FROM, seconds * 1000).otherwise(seconds * 1_000_000 + F.round(F.greatest(number - seconds, F.lit(0.0)) * 1_000_000).cast("bigint"))
-    return F.coalesce(text, F.when(raw.rlike(NUMBER), epoch), F.when(raw.rlike(DECIMAL) & ~raw.rlike(NUMBER), _from_micros(micros)))
+    return F.coalesce(read, F.when(raw.rlike(NUMBER), epoch), F.when(raw.rlike(DECIMAL) & ~raw.rlike(NUMBER), _from_micros(micros)))
 
 
 def ts_normalize(df: DataFrame, ts_field: str = "timestamp", out_field: str | None = None) -> DataFrame:

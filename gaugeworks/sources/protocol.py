@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.times import normalised
@@ -12,16 +12,21 @@ MAX_LINE = 1 << 20
 #: Salts of the first step of a long run's ranking from its end.
 SALTS = 32
 _SHAPE = "type string, stream string, timestamp variant, data variant, state variant, level string, message string, schema variant, error string"
+_FIELDS = [f.split()[0] for f in _SHAPE.split(", ")]
 
 
 def messages(log: DataFrame) -> DataFrame:
     """``log(seq, line)`` (and any run keys) as messages. Blank lines are skipped; ``problem`` says what is wrong with a line."""
     others = [c for c in log.columns if c not in ("line",)]
-    rows = log.where(F.trim("line") != "").withColumn("v", F.try_parse_json("line"))
-    parsed = F.from_json("line", _SHAPE)
-    rows = rows.withColumn("m", F.when(F.col("v").isNotNull() & F.col("line").rlike(r"^\s*\{"), parsed))
-    problem = F.when(F.octet_length("line") > MAX_LINE, "line too long").when(F.col("m").isNull(), "not a JSON object").when(F.col("m.type").isNull(), "no type").when(~F.col("m.type").isin(*MESSAGES), "unknown type")
-    return rows.select(*others, problem.alias("problem"), "m.*")
+    line = F.col("line")
+    parsed = F.when(F.try_parse_json("line").isNotNull() & line.rlike(r"^\s*\{"), F.from_json("line", _SHAPE))
+
+    def judged(m: Column) -> Column:
+        problem = F.when(F.octet_length(line) > MAX_LINE, "line too long").when(m.isNull(), "not a JSON object").when(m["type"].isNull(), "no type").when(~m["type"].isin(*MESSAGES), "unknown type")
+        return F.struct(problem.alias("problem"), *[m[c].alias(c) for c in _FIELDS])
+
+    # a generator's output is never put back into later expressions, so each line is read once
+    return log.where(F.trim("line") != "").select(*others, F.inline(F.transform(F.array(parsed), judged)))
 
 
 def of_type(rows: DataFrame, kind: str) -> DataFrame:
@@ -33,18 +38,26 @@ def judged_records(rows: DataFrame, streams: list[str]) -> DataFrame:
 
     A time is RFC 3339 text or a number of epoch seconds.
     """
-    records = of_type(rows, "RECORD")
-    kind = F.schema_of_variant("timestamp")
-    number = F.try_variant_get("timestamp", "$", "double")
-    text = F.try_variant_get("timestamp", "$", "string")
-    at = F.when(kind == "STRING", F.try_to_timestamp(normalised(F.when(text.contains("T"), text)))).otherwise(F.timestamp_micros(F.round(number * 1_000_000).cast("bigint")))
-    missing = F.col("timestamp").isNull() | F.is_variant_null("timestamp")
-    reason = (
-        F.when(F.col("stream").isNull() | ~F.col("stream").isin(streams), "stream not configured").when(missing, "timestamp missing").when(at.isNull(), "timestamp unreadable")
-        .when(F.col("data").isNull() | F.is_variant_null("data"), "data missing")
-    )
-    others = [c for c in rows.columns if c not in ("problem", "type", "stream", "timestamp", "data", "state", "level", "message", "schema", "error")]
-    return records.select(*others, "stream", F.when(~missing, at).alias("timestamp"), F.to_json("data").alias("data_json"), reason.alias("reason"))
+    others = [c for c in rows.columns if c not in ("problem", *_FIELDS)]
+
+    def judged(m: Column) -> Column:
+        raw = m["timestamp"]
+        text = F.try_variant_get(raw, "$", "string")
+        number = F.try_variant_get(raw, "$", "double")
+        at = F.when(F.schema_of_variant(raw) == "STRING", F.try_to_timestamp(normalised(F.when(text.contains("T"), text)))).otherwise(F.timestamp_micros(F.round(number * 1_000_000).cast("bigint")))
+        missing = raw.isNull() | F.is_variant_null(raw)
+
+        def with_time(x: Column) -> Column:
+            reason = (
+                F.when(m["stream"].isNull() | ~m["stream"].isin(streams), "stream not configured").when(missing, "timestamp missing").when(x["at"].isNull(), "timestamp unreadable")
+                .when(m["data"].isNull() | F.is_variant_null(m["data"]), "data missing")
+            )
+            return F.struct(m["stream"].alias("stream"), x["at"].alias("timestamp"), F.to_json(m["data"]).alias("data_json"), reason.alias("reason"))
+
+        return F.transform(F.array(F.struct(F.when(~missing, at).alias("at"))), with_time)[0]
+
+    message = F.array(F.struct("stream", "timestamp", "data"))
+    return of_type(rows, "RECORD").select(*others, F.inline(F.transform(message, judged)))
 
 
 def rejects(judged: DataFrame) -> DataFrame:
