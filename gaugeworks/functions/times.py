@@ -25,11 +25,11 @@ def _from_micros(micros: Column) -> Column:
 
 def _stamp(p: Column) -> Column:
     """Date, T or space, clock, fraction and zone as text in UTC; a zone needs the T of RFC 3339."""
-    zone = F.when(p[4].isin("", "Z"), "+00:00").otherwise(p[4])
-    clock = F.when(p[2] == "", "00:00:00").otherwise(p[2])
-    at = F.try_to_timestamp(F.concat(p[0], F.lit("T"), clock, zone), F.lit("yyyy-MM-dd'T'HH:mm:ssxxx"))
-    fits = ~((p[1] == " ") & (p[4] != ""))
-    return F.when(fits, F.transform(F.array(F.struct(at.alias("at"))), lambda x: F.when(x["at"].isNotNull(), _rfc(x["at"], p[3])))[0])
+    zone = F.when(F.get(p, F.lit(4)).isin("", "Z"), "+00:00").otherwise(F.get(p, F.lit(4)))
+    clock = F.when(F.get(p, F.lit(2)) == "", "00:00:00").otherwise(F.get(p, F.lit(2)))
+    at = F.try_to_timestamp(F.concat(F.get(p, F.lit(0)), F.lit("T"), clock, zone), F.lit("yyyy-MM-dd'T'HH:mm:ssxxx"))
+    fits = ~((F.get(p, F.lit(1)) == " ") & (F.get(p, F.lit(4)) != ""))
+    return F.when(fits, F.transform(F.array(F.struct(at.alias("at"))), lambda x: F.when(x["at"].isNotNull(), _rfc(x["at"], F.get(p, F.lit(3)))))[0])
 
 
 def normalised(raw: Column) -> Column:

@@ -105,36 +105,72 @@ def replay(obs: DataFrame, days: tuple[int, ...] = DAYS, start: str | None = Non
         obs = obs.where(at >= epoch(moment(start)) - max(days) * DAY)
     if end is not None:
         obs = obs.where(at <= epoch(moment(end)))
+    full = windows(second_parts(obs).withColumn("asks", F.lit(True)), day_parts(obs), days)
     rows = obs.withColumn("at_s", at)
-    n = F.count("value")
-    part_of = [n.alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * n).alias("m2"), F.min("value").alias("lo"), F.max("value").alias("hi")]
-    second = rows.groupBy("fq_name", "at_s").agg(*part_of)
-    second = second.withColumn("day", F.floor(F.col("at_s") / DAY)).withColumn("sod", F.col("at_s") - F.col("day") * DAY)
+    rows = rows if start is None else rows.where(F.col("at_s") >= epoch(moment(start)))
+    return with_windows(rows, full)
+
+
+def _part_of(value: str = "value") -> list[Column]:
+    n = F.count(value)
+    return [n.alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * n).alias("m2"), F.min(value).alias("lo"), F.max(value).alias("hi")]
+
+
+def second_parts(obs: DataFrame) -> DataFrame:
+    """``fq_name, day, sod`` (second of the day) and the part that the metric's observations of that second make up."""
+    at = epoch(F.col("observed_at"))
+    second = obs.groupBy("fq_name", at.alias("at_s")).agg(*_part_of())
+    day = F.floor(F.col("at_s") / DAY)
+    return second.select("fq_name", day.alias("day"), (F.col("at_s") - day * DAY).alias("sod"), *_PART)
+
+
+def day_parts(obs: DataFrame) -> DataFrame:
+    return obs.groupBy("fq_name", F.floor(epoch(F.col("observed_at")) / DAY).alias("day")).agg(*_part_of())
+
+
+def folded_parts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Parts of the same keys taken together. Few parts share a key: one for each batch that had it."""
+    part = F.struct(*_PART)
+    both = rows.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(part)), _nothing(), merged).alias("p"))
+    return both.select(*keys, *[f"p.{c}" for c in _PART])
+
+
+def windows(second: DataFrame, total: DataFrame, days: tuple[int, ...] = DAYS) -> DataFrame:
+    """``fq_name, at_s`` and the trailing windows ``w`` of each second that ``asks`` for them.
+
+    ``second`` has the parts of seconds on the days that are asked for and on those that their windows begin on;
+    ``total`` the parts of whole days from the longest window's first on.
+    """
     # a second stands in its day's forward and backward sums, and asks for the end of the days that its windows begin on
-    place = lambda back, forward, asks: F.struct(F.lit(back).alias("back"), F.lit(forward).alias("forward"), F.lit(asks).alias("asks"))
-    dealt = second.select("*", F.explode(F.array(place(0, True, False), place(0, False, False), *[place(d, False, True) for d in days])).alias("q"))
+    place = lambda back, forward, asks: F.struct(F.lit(back).alias("back"), F.lit(forward).alias("forward"), F.lit(asks).alias("asks"), F.col("asks").alias("new"))
+    stands = F.array(place(0, True, False), place(0, False, False))
+    asking = F.array(*[place(d, False, True) for d in days])
+    dealt = second.select("*", F.explode(F.when(F.col("asks"), F.concat(stands, asking)).otherwise(stands)).alias("q"))
     order = F.when(F.col("q.forward"), F.col("sod")).otherwise(-F.col("sod"))
     dealt = dealt.select("fq_name", (F.col("day") - F.col("q.back")).alias("day"), "sod", "q.*", order.alias("order"), *[F.when(~F.col("q.asks"), F.col(c)).alias(c) for c in _PART])
     edges = _running(dealt, "p", Window.partitionBy("fq_name", "day", "forward").orderBy("order").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    edges = edges.where("forward OR asks").withColumn("day", F.col("day") + F.col("back"))
+    edges = edges.where("new AND (forward OR asks)").withColumn("day", F.col("day") + F.col("back"))
     picked = [F.max(F.when(F.col("back") == d, F.col("p")[c])).alias(f"{c}_{d}") for d in (0, *days) for c in _PART]
     edges = edges.groupBy("fq_name", "day", "sod").agg(*picked)
     part = lambda d: F.struct(*[F.col(f"{c}_{d}").alias(c) for c in _PART])
     # whole days: each window adds to the next shorter one those days that only it has
-    total = obs.groupBy("fq_name", F.floor(at / DAY).alias("day")).agg(*part_of).select("fq_name", "day", F.struct(*_PART).alias("p"))
     by_day = Window.partitionBy("fq_name").orderBy("day")
     steps = list(zip((1, *sorted(days)), sorted(days), strict=False))
     between = [F.aggregate(F.collect_list("p").over(by_day.rangeBetween(1 - d, -shorter)), _nothing(), merged).alias(f"between_{d}") for shorter, d in steps]
-    full = edges.join(total.select("fq_name", "day", *between), ["fq_name", "day"])
+    full = edges.join(total.select("fq_name", "day", F.struct(*_PART).alias("p")).select("fq_name", "day", *between), ["fq_name", "day"])
 
     def stats(d: int) -> Column:
         spread = lambda x: F.when(x["lo"] == x["hi"], F.lit(0.0)).otherwise(F.sqrt(x["m2"] / x["n"]))
-        row = lambda x: F.struct(F.lit(d).alias("window_days"), x["mean"].alias("mean"), spread(x).alias("stddev"), x["n"].alias("sample_count"))
+        row = lambda x: F.struct(F.lit(d).alias("window_days"), x["mean"].alias("mean"), spread(x).alias("stddev"), x["n"].alias("sample_count"), x["lo"].alias("min"), x["hi"].alias("max"))
         return F.aggregate(F.array(*[F.col(f"between_{x}") for x in days if x <= d], part(0), part(d)), _nothing(), merged, row)
 
-    full = full.select("fq_name", (F.col("day") * DAY + F.col("sod")).alias("at_s"), F.array(*map(stats, days)).alias("w"))
-    rows = rows if start is None else rows.where(F.col("at_s") >= epoch(moment(start)))
-    return rows.join(full, ["fq_name", "at_s"]).select("fq_name", "observed_at", "seq", "value", F.explode("w").alias("w")).select("fq_name", "observed_at", "seq", "value", "w.*")
+    return full.select("fq_name", (F.col("day") * DAY + F.col("sod")).alias("at_s"), F.array(*map(stats, days)).alias("w"))
+
+
+def with_windows(rows: DataFrame, full: DataFrame) -> DataFrame:
+    """Observations with ``at_s``, each with a row for every window of its second."""
+    out = rows.join(full, ["fq_name", "at_s"]).select("fq_name", "observed_at", "seq", "value", F.explode("w").alias("w"))
+    return out.select("fq_name", "observed_at", "seq", "value", *[f"w.{c}" for c in ("window_days", "mean", "stddev", "sample_count")])
 
 
 def best(baselines: DataFrame, need_days: int) -> DataFrame:

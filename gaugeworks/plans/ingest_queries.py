@@ -390,7 +390,7 @@ def stream_land_pruned(spark, sf):
 
 @query("stream_high_water", "SELECT event_type AS stream, epoch_us(max(ts)) AS cursor_us, count(*) AS records FROM events GROUP BY ALL")
 def stream_high_water(spark, sf):
-    out = jobs.high_water(spark, _stream(T.records(spark, sf), "in"), landing.new_folder(spark, "water"), landing.new_folder(spark, "marks"))
+    out = jobs.high_water(spark, _stream(T.records(spark, sf), "in"), landing.new_folder(spark, "marks"))
     return out.select("stream", F.unix_micros("cursor").alias("cursor_us"), "records")
 
 
@@ -408,6 +408,14 @@ def stream_event_dedup(spark, sf):
     return out.select("kind", "metric_fq", T.text_time(F.col("at")).alias("at_time"))
 
 
+@query("stream_event_dedup_keys", "SELECT user_id, true AS seen FROM events GROUP BY ALL")
+def stream_event_dedup_keys(spark, sf):
+    """One event for each user, whose events come on many days and in every batch: the key doesn't hold the time."""
+    rows = T.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
+    out = jobs.seen_once(spark, _stream(rows, "in"), ["user_id"], landing.new_folder(spark, "seen"), landing.new_folder(spark, "marks"))
+    return out.select("user_id", F.col("at").isNotNull().alias("seen"))
+
+
 @query("stream_event_dedup_watermark", _DEDUP_SQL)
 def stream_event_dedup_watermark(spark, sf):
     out = jobs.deduplicated(_marks_twice(spark, sf), list(V.KEY), late="60 days")
@@ -424,6 +432,32 @@ def stream_anomalies(spark, sf):
     return out.select("metric_fq", T.text_time(F.col("at")).alias("at_time"), "window_days", "observed_value", "direction")
 
 
+def _live(spark, sf) -> tuple[jobs.LiveBaselines, int]:
+    """Events' observations in four batches, in order of time."""
+    obs, folder = T.obs_events(spark, sf), landing.new_folder(spark, "in")
+    names = T.metric_dim(obs)
+    lo, hi = obs.agg(F.unix_timestamp(F.min("observed_at")), F.unix_timestamp(F.max("observed_at"))).first()
+    at = F.unix_timestamp("observed_at")
+    for k in range(4):
+        piece = obs.where((at >= lo + (hi + 1 - lo) * k // 4) & (at < lo + (hi + 1 - lo) * (k + 1) // 4))
+        piece.repartition(4).write.mode("append").parquet(folder)
+    live = jobs.LiveBaselines(spark, landing.new_folder(spark, "live"), names, A.thresholds(names))
+    query = jobs.run_available(jobs.records_stream(spark, folder, obs.schema, files=4), live.batch, landing.new_folder(spark, "marks"))
+    return live, jobs.batches_of(query)
+
+
+@query("stream_anomalies_live", M.SQL["anomaly_replay"])
+def stream_anomalies_live(spark, sf):
+    """Each observation against baselines refreshed with it: what a replay of the whole past finds."""
+    return M._anomaly_rows(_live(spark, sf)[0].anomalies())
+
+
+@query("stream_baselines_live", f"WITH {M.OE}, rp AS ({M.replay_sql('oe')}) SELECT DISTINCT fq_name, window_days, round(mean + 1.3e-7, 6) AS mean, n AS sample_count, strftime(tm, {STAMP}) AS computed_at FROM rp JOIN (SELECT fq_name, max(tm) AS tm FROM oe GROUP BY ALL) USING (fq_name, tm)")
+def stream_baselines_live(spark, sf):
+    live, batches = _live(spark, sf)
+    return live.baselines(batches).select("fq_name", "window_days", M.rounded("mean").alias("mean"), "sample_count", T.text_time(F.col("last_computed_at")).alias("computed_at"))
+
+
 @query("stream_repeat", _LANDED_SQL)
 def stream_repeat(spark, sf):
     """Lands four files at an interval; the second batch fails once and is tried again."""
@@ -441,11 +475,18 @@ def stream_repeat(spark, sf):
 
 
 def _log_landed(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """The protocol log as text files, read as a stream: what was landed, and each batch's last state."""
-    folder, root, states = (landing.new_folder(spark, n) for n in ("log", "landed", "states"))
+    """The protocol log as text files, read as a stream: what was landed, and the last state."""
+    folder = landing.new_folder(spark, "log")
     _log(spark, sf).repartitionByRange(4, "seq").sortWithinPartitions("seq").select("line").write.text(folder)
-    jobs.run_available(jobs.log_stream(spark, folder), jobs.log_batch(root, states, "log", _STREAMS), landing.new_folder(spark, "marks"))
-    return landing.read_landed(spark, root), spark.read.parquet(states)
+    return _runs_landed(spark, folder, files=4)
+
+
+def _runs_landed(spark, folder: str, files: int) -> tuple[DataFrame, DataFrame]:
+    root, states, held = (landing.new_folder(spark, n) for n in ("landed", "states", "held"))
+    runs = jobs.LogRuns(spark, root, states, held, "log", _STREAMS)
+    query = jobs.run_available(jobs.log_stream(spark, folder, files), runs.batch, landing.new_folder(spark, "marks"))
+    runs.close(jobs.batches_of(query))
+    return landing.read_landed(spark, root), runs.states()
 
 
 @query("stream_msglog", f"SELECT event_type AS stream, epoch_us(date_trunc('second', ts)) AS timestamp, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_id % 97 <> 0 AND {_BAD} IS NULL")
@@ -455,8 +496,43 @@ def stream_msglog(spark, sf):
 
 @query("stream_msglog_state", "SELECT max(event_id) AS cursor FROM events WHERE event_id % 100 = 99")
 def stream_msglog_state(spark, sf):
-    last = _log_landed(spark, sf)[1].agg(F.max_by("state", "seq").alias("state"))
-    return last.select(F.get_json_object("state", "$.cursor").cast("long").alias("cursor"))
+    return _log_landed(spark, sf)[1].select(F.get_json_object("state", "$.cursor").cast("long").alias("cursor"))
+
+
+_RUN = "event_id % 3"
+_RUNS_SQL = f"""WITH g AS (SELECT event_id, {_RUN} AS run, event_type AS stream, epoch_us(date_trunc('second', ts)) AS timestamp, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_id % 97 <> 0 AND {_BAD} IS NULL),
+e AS (SELECT {_RUN} AS run, min(event_id) AS err FROM events WHERE {_RUN} > 0 AND event_id % 1777 = 1700 GROUP BY ALL),
+a AS (SELECT g.*, err FROM g LEFT JOIN e USING (run) WHERE err IS NULL OR event_id <= err),
+s AS (SELECT {_RUN} AS run, max(event_id) AS st FROM events LEFT JOIN e ON e.run = {_RUN} WHERE event_id % 700 = 699 AND (err IS NULL OR event_id < err) GROUP BY ALL),
+r AS (SELECT a.*, st, row_number() OVER (PARTITION BY run, stream, coalesce(event_id > st, true) ORDER BY event_id) AS k_th, count(*) OVER (PARTITION BY run, stream, coalesce(event_id > st, true)) AS c FROM a LEFT JOIN s USING (run)),
+f AS (SELECT * FROM r WHERE err IS NULL OR coalesce(event_id <= st, false) OR k_th <= c // 500 * 500)"""
+
+
+def _run_files(spark, sf) -> str:
+    """Three runs' logs, each in four files that come one after the other; STATEs are rare, and two runs break off with an ERROR, more than once."""
+    rows = _events(spark, sf)
+    records = _log(spark, sf).where("seq % 2 = 0").select((F.col("seq") * 2).alias("seq"), "line")
+    note = lambda where, at, body: rows.where(where).select((F.col("event_id") * 4 + at).alias("seq"), F.to_json(body).alias("line"))
+    errors = note(f"{_RUN} > 0 AND event_id % 1777 = 1700", 1, F.struct(F.lit("ERROR").alias("type"), F.lit("gone").alias("error")))
+    states = note("event_id % 700 = 699", 2, F.struct(F.lit("STATE").alias("type"), F.struct(F.col("event_id").alias("cursor")).alias("state")))
+    log = records.union(errors).union(states).withColumn("run_id", F.concat(F.lit("r"), (F.floor(F.col("seq") / 4) % 3).cast("string")))
+    folder, last = landing.new_folder(spark, "log"), rows.agg(F.max("event_id")).first()[0] * 4 + 3
+    for part in range(4):
+        lines = log.where((F.col("seq") > last * part // 4 - (part == 0)) & (F.col("seq") <= last * (part + 1) // 4))
+        lines.repartition("run_id").sortWithinPartitions("run_id", "seq").select("run_id", "line").write.partitionBy("run_id").text(f"{folder}/part={part}")
+    return folder
+
+
+@query("stream_runs", f"{_RUNS_SQL} SELECT stream, timestamp, k FROM f")
+def stream_runs(spark, sf):
+    """Runs that end cleanly land all their records; of those that end with an ERROR what a STATE or a full batch let go."""
+    return _fields(_runs_landed(spark, f"{_run_files(spark, sf)}/*/*", 2)[0], "stream", "timestamp").drop("value")
+
+
+@query("stream_runs_state", f"{_RUNS_SQL} SELECT 'r' || run AS run_id, st AS cursor FROM s")
+def stream_runs_state(spark, sf):
+    """The last state that each run saved before its end."""
+    return _runs_landed(spark, f"{_run_files(spark, sf)}/*/*", 2)[1].select("run_id", F.get_json_object("state", "$.cursor").cast("long").alias("cursor"))
 
 
 # write mode, plug-ins, and what is declared

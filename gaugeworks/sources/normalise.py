@@ -98,7 +98,7 @@ def commits(log: DataFrame, last_hash: str | None = None) -> DataFrame:
     """``log(seq, line)``: hash, address, ISO date and subject between the first three tabs, newest first, up to a known hash (all without it)."""
     part = F.split("line", "\t", 4)
     rows = log.withColumn("p", part).where(F.size("p") == 4)
-    rows = rows.select("seq", F.col("p")[0].alias("hash"), F.col("p")[1].alias("author"), F.try_to_timestamp(normalised(F.col("p")[2])).alias("at"), F.col("p")[3].alias("subject")).where("at IS NOT NULL")
+    rows = rows.select("seq", F.get("p", 0).alias("hash"), F.get("p", 1).alias("author"), F.try_to_timestamp(normalised(F.get("p", 2))).alias("at"), F.get("p", 3).alias("subject")).where("at IS NOT NULL")
     if last_hash is None:
         return rows
     stop = rows.where(F.col("hash") == last_hash).agg(F.min("seq").alias("stop"))

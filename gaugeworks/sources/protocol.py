@@ -73,22 +73,34 @@ def committed(rows: DataFrame, run: str = "run_id") -> DataFrame:
     return rows.join(marks, run, "left").withColumn("committed", F.coalesce(F.col("seq") < F.col("__mark"), F.lit(False))).drop("__mark")
 
 
-def written(rows: DataFrame, run: str = "run_id", batch: int = 500) -> DataFrame:
-    """RECORDs that reach the sink: a STATE or a clean end flushes all before it, full batches of a stream go at once, and an ERROR discards the rest."""
-    ends = rows.where("problem IS NULL AND type IN ('STATE', 'ERROR')").groupBy(run).agg(F.max(F.when(F.col("type") == "STATE", F.col("seq"))).alias("__state"), F.min(F.when(F.col("type") == "ERROR", F.col("seq"))).alias("__error"))
-    records = of_type(rows, "RECORD").join(ends, run, "left").where("__error IS NULL OR seq < __error")
-    tail = F.col("__error").isNotNull() & (F.coalesce("__state", F.lit(-1)) < F.col("seq"))
+def fates(rows: DataFrame, run: str = "run_id", batch: int = 500) -> DataFrame:
+    """RECORDs with their ``fate``: ``written``, ``held`` in memory at the end of the log, or ``lost`` to an ERROR.
+
+    A STATE writes all before it, and full batches of a stream go at once. The first ERROR of a run discards what is
+    still held, and nothing after it counts, neither RECORD nor STATE. ``seq`` orders a run's lines, by any type.
+    """
+    control = rows.where("problem IS NULL AND type IN ('STATE', 'ERROR')")
+    errors = control.where("type = 'ERROR'").groupBy(run).agg(F.min("seq").alias("__error"))
+    alive = lambda part: part.join(errors, run, "left").where("__error IS NULL OR seq < __error")
+    states = alive(control.where("type = 'STATE'")).groupBy(run).agg(F.max("seq").alias("__state"))
+    records = alive(of_type(rows, "RECORD")).join(states, run, "left").withColumn("__loose", F.coalesce(F.col("seq") > F.col("__state"), F.lit(True)))
     # of the records after the last flush the full batches are in, so the last count % batch are not: they are found
     # from the end, first within salts, so that no task ranks a whole run
-    loose = records.where(tail)
+    loose = records.where("__loose")
     keys = [run, "stream"]
     short = loose.groupBy(*keys).agg((F.count("*") % batch).alias("__short"))
     ends = loose.select(*keys, "seq", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).alias("__salt"))
     for group in ([*keys, "__salt"], keys):
         ends = ends.withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("seq")))).where(F.col("__rn") < batch)
-    lost = ends.join(short, keys).where(F.col("__rn") <= F.col("__short")).groupBy(*keys).agg(F.min("seq").alias("__cut"))
-    loose = loose.join(lost, keys, "left").where("__cut IS NULL OR seq < __cut")
-    return records.where(~tail).unionByName(loose.drop("__cut")).drop("__state", "__error")
+    cuts = ends.join(short, keys).where(F.col("__rn") <= F.col("__short")).groupBy(*keys).agg(F.min("seq").alias("__cut"))
+    open_ = F.col("__loose") & F.coalesce(F.col("seq") >= F.col("__cut"), F.lit(False))
+    fate = F.when(~open_, "written").when(F.col("__error").isNotNull(), "lost").otherwise("held")
+    return records.join(cuts, keys, "left").withColumn("fate", fate).drop("__error", "__state", "__loose", "__cut")
+
+
+def written(rows: DataFrame, run: str = "run_id", batch: int = 500) -> DataFrame:
+    """RECORDs of whole runs that reach the sink; a clean end writes what is held."""
+    return fates(rows, run, batch).where("fate <> 'lost'").drop("fate")
 
 
 def last_state(rows: DataFrame, run: str = "run_id") -> DataFrame:
