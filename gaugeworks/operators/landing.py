@@ -79,15 +79,39 @@ def typed_columns(landed: DataFrame, columns: dict[str, str], strict: bool = Tru
     return with_.select("stream", "timestamp", *out, "data_json")
 
 
-def merged_ranges(manifest: DataFrame, scope: tuple[str, ...] = ("stream",)) -> DataFrame:
-    """Overlapping [start, end] ranges of each stream made one; gaps stay gaps. Ranges without a bound cover nothing."""
-    order = Window.partitionBy(*scope).orderBy("start_time", "end_time")
-    rows = manifest.where("start_time IS NOT NULL AND end_time IS NOT NULL").select(*scope, "start_time", "end_time")
-    before = F.max("end_time").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = rows.withColumn("fresh", (before.isNull() | (F.col("start_time") > before)).cast("int")).withColumn("island", F.sum("fresh").over(order))
+#: Ranges are merged by blocks of so many seconds of their starts.
+BLOCK_S = 3600
+
+
+def merged_ranges(manifest: DataFrame, scope: tuple[str, ...] = ("stream",), block_s: int = BLOCK_S) -> DataFrame:
+    """Overlapping or touching [start, end] ranges of each stream made one; gaps stay gaps. Ranges without a bound cover nothing, nor do those that end before they start.
+
+    Starts are cut into blocks of time. What reaches into a block from earlier ones is one number, as is how many merged
+    ranges begin in it; both are carried over a stream's blocks, so a task orders the ranges of one block and never
+    all of a stream.
+    """
+    rows = manifest.where("start_time IS NOT NULL AND end_time IS NOT NULL AND start_time <= end_time").groupBy(*scope, "start_time").agg(F.max("end_time").alias("end_time"))
+    rows = rows.withColumn("block", F.floor(F.unix_timestamp("start_time") / block_s))
+    earlier = Window.partitionBy(*scope).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(*scope, "block").agg(F.max("end_time").alias("last")).withColumn("carried", F.max("last").over(earlier)).drop("last")
+    inside = Window.partitionBy(*scope, "block").orderBy("start_time")
+    before = F.greatest("carried", F.max("end_time").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    with_carry = _same_scope(rows, reach, (*scope, "block"))
+    marked = with_carry.withColumn("before", before).withColumn("fresh", (F.col("before").isNull() | (F.col("start_time") > F.col("before"))).cast("int")).withColumn("local", F.sum("fresh").over(inside))
+    begun = marked.groupBy(*scope, "block").agg(F.sum("fresh").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    island = _same_scope(marked, begun, (*scope, "block")).withColumn("island", F.col("offset") + F.col("local"))
     return island.groupBy(*scope, "island").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")).drop("island")
 
 
+def _same_scope(rows: DataFrame, facts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Joins one row of facts to each row with the same keys, nulls included."""
+    named = facts.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in facts.columns if c not in keys])
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(named, condition).drop(*[f"__{k}" for k in keys])
+
+
 #: Merged ranges up to this many rows are broadcast; beyond it the join is by stream and day.
 BROADCAST_RANGES = 100_000
 

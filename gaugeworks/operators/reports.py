@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import scores as S
 from gaugeworks.operators import baselines as B
 from gaugeworks.operators.anomalies import latest
-from gaugeworks.operators.events import about, causal_candidates, in_window
+from gaugeworks.operators.events import causal_candidates, in_window
 
 
 def event_counts(dim: DataFrame, events: DataFrame, start: str, as_of: str) -> DataFrame:
@@ -35,12 +37,16 @@ def explain(obs: DataFrame, dim: DataFrame, baselines: DataFrame, events: DataFr
     return out.withColumn("score", S.score(F.col("direction"), F.col("dev")))
 
 
-def event_lists(dim: DataFrame, events: DataFrame, start: str, as_of: str) -> DataFrame:
-    """For each metric its events of the window as an array, newest first. For a chosen few metrics."""
+def event_lists(metrics: list[str], events: DataFrame, start: str, as_of: str) -> DataFrame:
+    """For each of the chosen metrics its events of the window as rows, newest first: its own anomalies, and all other events.
+
+    A report is asked for by name, so the names are a short list; no metric is joined with events that aren't its own.
+    """
     rows = in_window(events, start, as_of)
-    item = F.struct(F.col("at"), "event_id", "kind", "metric_fq", "observed_value", "stddev_from_mean", "window_days", "direction", "description")
-    pairs = dim.select("fq_name").join(rows, about(F.col("fq_name"), F.col("metric_fq"), F.col("kind")))
-    return pairs.groupBy("fq_name").agg(F.reverse(F.array_sort(F.collect_list(item))).alias("events"))
+    own = F.when((F.col("kind") == "anomaly") & F.col("metric_fq").isin(metrics), F.array("metric_fq"))
+    shared = F.when(F.col("kind") != "anomaly", F.lit(list(metrics)))
+    rows = rows.withColumn("fq_name", F.explode(F.coalesce(own, shared)))
+    return rows.orderBy("fq_name", F.col("at").desc(), "kind", "metric_fq", "window_days")
 
 
 def summary(explained: DataFrame) -> DataFrame:
@@ -115,20 +121,59 @@ def shared_events(events: DataFrame, a: tuple[str, str], b: tuple[str, str]) ->
 STRONG = 0.6
 
 
-def sibling_correlations(obs: DataFrame, as_of: str, since_s: int, least_r: float | None = STRONG) -> DataFrame:
-    """Pearson r of daily means for metrics of the same connector, from sums; 0 when a side doesn't vary.
-
-    Days are aggregated before the join, and the join is on connector and day. Each pair is made once and mirrored at the end.
+#: Metrics of a connector that are compared with one another in one task, about.
+CORRELATED_AT_ONCE = 256
+
+
+def _correlated(least_r: float | None):
+    """Sums over shared days of all pairs of two blocks of metrics, as matrix products; weak pairs stay inside."""
+
+    def run(key, table):
+        _, low, high = (k.as_py() for k in key)
+        names = np.array(table["metric"].to_pylist(), object)
+        block = table["block"].to_numpy()
+        days = table["days"].combine_chunks()
+        at = days.flatten().field("day").to_numpy(zero_copy_only=False).astype(np.int64)
+        place, column = np.unique(at, return_inverse=True)
+        owner = np.repeat(np.arange(len(names)), np.diff(days.offsets.to_numpy()))
+        has, value = np.zeros((len(names), len(place))), np.zeros((len(names), len(place)))
+        has[owner, column] = 1
+        value[owner, column] = days.flatten().field("value").to_numpy(zero_copy_only=False)
+        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        n = has[a] @ has[b].T
+        sx, sy = value[a] @ has[b].T, has[a] @ value[b].T
+        xx, yy, xy = (value[a] ** 2) @ has[b].T, has[a] @ (value[b] ** 2).T, value[a] @ value[b].T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bottom = np.sqrt(np.maximum(xx - sx * sx / n, 0)) * np.sqrt(np.maximum(yy - sy * sy / n, 0))
+            r = np.where(bottom > 0, (xy - sx * sy / n) / bottom, 0.0)
+        wanted = n >= 2
+        if least_r is not None:
+            wanted &= np.abs(r) >= least_r
+        if low == high:
+            wanted &= names[a][:, None] < names[b][None, :]
+        i, j = np.nonzero(wanted)
+        return pa.table({"metric": pa.array(names[a][i], pa.string()), "sibling": pa.array(names[b][j], pa.string()), "r": r[i, j], "n": n[i, j].astype(np.int64)})
+
+    return run
+
+
+def sibling_correlations(obs: DataFrame, as_of: str, since_s: int, least_r: float | None = STRONG, at_once: int = CORRELATED_AT_ONCE) -> DataFrame:
+    """Pearson r of daily means for metrics of the same connector, from sums over shared days; 0 when a side doesn't vary.
+
+    Each metric is one row with its days. Metrics of a connector are dealt into blocks of about ``at_once``, and each pair
+    of blocks is a task of its own, so no key holds a whole connector; a pair below ``least_r`` never leaves its task. Each
+    pair is made once and mirrored at the end.
     """
-    days = B.daily_means(obs, B.shifted(as_of, -since_s), B.shifted(as_of, 1)).withColumn("connector", S.connector(F.col("fq_name")))
-    x, y = days.select("connector", "day", F.col("fq_name").alias("metric"), F.col("value").alias("x")), days.select("connector", "day", F.col("fq_name").alias("sibling"), F.col("value").alias("y"))
-    sums = x.join(y, ["connector", "day"]).where("metric < sibling").groupBy("metric", "sibling").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.expr("x * x")).alias("xx"), F.sum(F.expr("y * y")).alias("yy"), F.sum(F.expr("x * y")).alias("xy"))
-    vx = F.greatest(F.col("xx") - F.col("sx") * F.col("sx") / F.col("n"), F.lit(0.0))
-    vy = F.greatest(F.col("yy") - F.col("sy") * F.col("sy") / F.col("n"), F.lit(0.0))
-    bottom = F.sqrt(vx) * F.sqrt(vy)
-    r = F.when((F.col("n") < 2) | (bottom == 0), F.lit(0.0)).otherwise((F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / bottom)
-    out = sums.where("n >= 2").select("metric", "sibling", r.alias("r"), "n").withColumn("confidence", S.correlation_confidence(F.col("r"), F.col("n")))
-    out = out if least_r is None else out.where(F.abs("r") >= least_r)
+    days = B.daily_means(obs, B.shifted(as_of, -since_s), B.shifted(as_of, 1)).where("value IS NOT NULL")
+    day = F.struct(F.unix_date("day").alias("day"), F.col("value").cast("double").alias("value"))
+    series = days.groupBy(F.col("fq_name").alias("metric")).agg(F.collect_list(day).alias("days")).withColumn("connector", S.connector(F.col("metric")))
+    sizes = series.groupBy(F.col("connector").alias("of")).agg(F.ceil(F.count("*") / at_once).alias("blocks"))
+    dealt = series.join(sizes, F.col("connector").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("metric"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = dealt.select("connector", "metric", "block", "days", other.alias("other"))
+    dealt = dealt.select("connector", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "metric", "block", "days")
+    pairs = dealt.groupBy("connector", "low", "high").applyInArrow(_correlated(least_r), "metric string, sibling string, r double, n long")
+    out = pairs.withColumn("confidence", S.correlation_confidence(F.col("r"), F.col("n")))
     mirror = F.explode(F.array(F.struct("metric", "sibling"), F.struct(F.col("sibling").alias("metric"), F.col("metric").alias("sibling"))))
     return out.select(mirror.alias("p"), "r", "n", "confidence").select("p.metric", "p.sibling", "r", "n", "confidence")
 

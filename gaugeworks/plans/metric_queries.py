@@ -245,6 +245,17 @@ def explain_shipments(spark, sf):
     return _explain_rows(_explained_shipments(spark, sf))
 
 
+_CHOSEN = ("app.events.error", "app.events.purchase")
+_LIST_COLUMNS = f"kind, metric_fq, strftime(tm, {STAMP}) AS at_time, window_days, direction, description"
+
+
+@query("explain_events", f"WITH {_EVENTS_SQL}, w AS (SELECT * FROM ev WHERE tm >= TIMESTAMP '{B.shifted(T.EVENTS_AS_OF, -_WEEK)}' AND tm <= TIMESTAMP '{T.EVENTS_AS_OF}') " + " UNION ALL ".join(f"SELECT '{m}' AS fq_name, {_LIST_COLUMNS} FROM w WHERE kind <> 'anomaly' OR metric_fq = '{m}'" for m in _CHOSEN))
+def explain_events(spark, sf):
+    """What two reports list below their figures: the metric's anomalies and all other events of the week."""
+    out = R.event_lists(list(_CHOSEN), _timeline(spark, sf), B.shifted(T.EVENTS_AS_OF, -_WEEK), T.EVENTS_AS_OF)
+    return out.select("fq_name", "kind", "metric_fq", T.text_time(F.col("at")).alias("at_time"), "window_days", "direction", "description")
+
+
 _TREND = """CASE WHEN round(dev, 9) > 1 THEN CASE direction WHEN 'higher_is_better' THEN 'above baseline (positive)' WHEN 'lower_is_better' THEN 'above baseline (watch)' ELSE 'above baseline' END
   WHEN round(dev, 9) < -1 THEN CASE direction WHEN 'lower_is_better' THEN 'below baseline (positive)' WHEN 'higher_is_better' THEN 'below baseline (watch)' ELSE 'below baseline' END
   WHEN dev IS NULL AND window_n > 0 AND window_mean > mean THEN 'above baseline' WHEN dev IS NULL AND window_n > 0 AND window_mean < mean THEN 'below baseline' ELSE 'near baseline' END"""

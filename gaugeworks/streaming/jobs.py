@@ -111,6 +111,8 @@ class LogRuns:
         before = self.held.read(batch_id, chosen).join(touched, "run_id", "left_semi").drop("batch", "part")
         rows = before.unionByName(new)
         judged = protocol.fates(rows, batch=self.flush)
+        judged.write.mode("overwrite").parquet(f"{self.state_root}/judged/batch={batch_id}")
+        judged = self.spark.read.schema(judged.schema).parquet(f"{self.state_root}/judged/batch={batch_id}")
         land(judged.where("fate = 'written'").select("stream", "timestamp", "data_json"), self.root, f"{self.query}-{batch_id}")
         errors = protocol.of_type(rows, "ERROR").groupBy("run_id").agg(F.min("seq").alias("at"))
         kept = touched.join(errors, "run_id", "left").select("run_id", nothing.alias("problem"), F.when(F.col("at").isNotNull(), "ERROR").otherwise("OPEN").alias("type"), nothing.alias("stream"), F.col("at").alias("seq"), F.lit(None).cast("timestamp").alias("timestamp"), nothing.alias("data_json"), nothing.alias("state"))
