@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -177,23 +180,53 @@ def _drawn(svg: Node) -> list[Node]:
     return out
 
 
+#: List levels that indent; deeper ones stand as far in as the last of them.
+INDENTED = 16
+#: A table's cells are aligned, and a table in a list is indented, while that makes at most so many characters of each one
+#: of its text, where a cell counts as CELL_CHARS more. A table beyond that has its cells one after another.
+BLOAT, CELL_CHARS = 16, 32
+
+
+class Block:
+    """Finished lines, how many characters they have, the longest, and how much text went into them. It is used once, and then changed."""
+
+    __slots__ = ("chars", "raw", "rows", "wide")
+
+    def __init__(self, rows: deque[str] | None = None, chars: int = 0, wide: int = 0, raw: int = 0):
+        self.rows, self.chars, self.wide, self.raw = rows if rows is not None else deque(), chars, wide, raw
+
+
+def _after(rows: deque[str], more: deque[str]) -> deque[str]:
+    """``rows`` and then ``more``. The shorter one moves, so that lines nested deep don't move at each level."""
+    if len(more) > len(rows):
+        more.extendleft(reversed(rows))
+        return more
+    rows.extend(more)
+    return rows
+
+
 class Lines:
     """Text under construction: words, line breaks and wished-for blank lines."""
 
-    def __init__(self):
-        self.out: list[str] = []
+    def __init__(self, trim: bool = False):
+        self.rows: deque[str] = deque()
+        self.line: list[str] = []
+        self.begun = False
+        self.chars = self.wide = self.raw = 0
         self.wish = 0  # line breaks owed before the next text
         self.space = False
         self.prefix = ""
         self.indent = ""
+        self.trim = trim
 
     def add(self, text: str, keep: bool = False) -> None:
+        self.raw += len(text)
         if keep:
             rows = text.split("\n")
             for i, row in enumerate(rows):
                 if i:
-                    self.wish = max(self.wish, 0)
-                    self._put("\n" + self.indent)
+                    self._break()
+                    self._put(self.indent)
                 if row:
                     self._start()
                     self._put(row)
@@ -209,24 +242,61 @@ class Lines:
         self._put(words)
         self.space = trail
 
+    def insert(self, block: Block) -> None:
+        """A block from here on; its lines stand as far in as this place does, while that is within bounds."""
+        self.raw += block.raw
+        self._start()
+        self._put(block.rows.popleft())
+        if not block.rows:
+            return
+        self._break()
+        indent = self.indent if block.chars + len(self.indent) * len(block.rows) <= BLOAT * block.raw else ""
+        last = indent + block.rows.pop()
+        if indent:
+            block.rows = deque(indent + row for row in block.rows)
+        self.chars += block.chars + len(indent) * len(block.rows)
+        if block.rows:
+            self.wide = max(self.wide, block.wide + len(indent))
+        self.rows = _after(self.rows, block.rows)
+        self._put(last)
+
     def _start(self) -> bool:
-        fresh = not self.out or self.wish > 0
+        fresh = not self.begun or self.wish > 0
         if fresh:
-            if self.out:
-                self._put("\n" * self.wish)
+            for _ in range(self.wish if self.begun else 0):
+                self._break()
             self._put(self.prefix or self.indent)
             self.prefix, self.wish, self.space = "", 0, False
         return fresh
 
     def _put(self, text: str) -> None:
         if text:
-            self.out.append(text)
+            self.begun = True
+            self.line.append(text)
+
+    def _break(self) -> None:
+        self.begun = True
+        row = "".join(self.line)
+        row = row.rstrip() if self.trim else row
+        self.line = []
+        self.rows.append(row)
+        self.chars += len(row)
+        self.wide = max(self.wide, len(row))
 
     def gap(self, lines: int) -> None:
-        if self.out:
+        if self.begun:
             self.wish = max(self.wish, lines)
         self.space = False
 
+    def block(self) -> Block:
+        """What was written, without blank lines around it."""
+        self._break()
+        while self.rows and not self.rows[-1]:
+            self.rows.pop()
+        while self.rows and not self.rows[0]:
+            self.rows.popleft()
+        return Block(self.rows, self.chars, self.wide, self.raw)
+
 
 def _span(node: Node, name: str, most: int) -> int:
     """A cell's colspan or rowspan; 0 rows mean all that are left. The limits are those of HTML."""
@@ -238,44 +308,87 @@ def _grid(groups: list[list[list[Node]]]) -> list[list[tuple[int, int, Node]]]:
     """For each row its cells as (first column, columns, cell): spans keep other cells out of the columns they cover."""
     rows = []
     for group in groups:
-        held: dict[int, int] = {}  # column: rows of this group for which a cell from above still covers it
+        held: list[tuple[int, int, int]] = []  # first column, end, end row of what cells above still cover, by column
         for r, cells in enumerate(group):
-            at, row, new = 0, [], {}
+            at, k, row, new = 0, 0, [], []
             for cell in cells:
-                while held.get(at, 0) > 0:
-                    at += 1
+                while k < len(held) and held[k][0] <= at:
+                    at, k = max(at, held[k][1]), k + 1
                 wide, tall = max(_span(cell, "colspan", 1000), 1), _span(cell, "rowspan", 65534)
                 tall = min(tall or len(group), len(group) - r)
                 row.append((at, wide, cell))
                 if tall > 1:
-                    new |= dict.fromkeys(range(at, at + wide), tall)
+                    if new and new[-1][1:] == (at, r + tall):
+                        new[-1] = (new[-1][0], at + wide, r + tall)
+                    else:
+                        new.append((at, at + wide, r + tall))
                 at += wide
-            held = {k: n - 1 for k, n in (held | new).items() if n > 1}
+            held = [x for x in held if x[2] > r + 1]
+            if new:
+                held = sorted(held + new)
             if row:
                 rows.append(row)
     return rows
 
 
-def _table(rows: list[list[tuple[int, int, str]]]) -> str:
-    """Cells (first column, columns, text) aligned by column, two spaces apart; a cell of several lines takes several lines."""
-    width: dict[int, int] = {}
-    cells = [[(at, wide, text.split("\n")) for at, wide, text in row] for row in rows]
-    for at, wide, lines in sorted((c for row in cells for c in row), key=lambda c: c[1]):
-        need = max(map(len, lines)) - 2 * (wide - 1) - sum(width.get(k, 0) for k in range(at, at + wide - 1))
-        width[at + wide - 1] = max(width.get(at + wide - 1, 0), need)
-    starts, left = {}, 0
-    for k in range(max(width, default=0) + 1):
-        starts[k] = left
-        left += width.get(k, 0) + 2
-    out = []
-    for row in cells:
-        for i in range(max(len(lines) for _, _, lines in row)):
-            line = ""
-            for at, _, lines in row:
-                if i < len(lines) and lines[i]:
-                    line = line.ljust(starts[at]) + lines[i]
-            out.append(line.rstrip())
-    return "\n".join(out)
+def _row(cells: list[tuple[int, Block]]) -> tuple[deque[str], int]:
+    """A row of cells (place of its left edge, block) as lines, and the longest of them."""
+    heights = sorted(len(b.rows) for _, b in cells)
+    first = cells[0][1]
+    # where the first cell is the tallest and stands at the edge, its lines below the other cells stay as they are
+    whole = cells[0][0] == 0 and len(first.rows) == heights[-1]
+    height = max((heights[-2] if len(heights) > 1 else 0) if whole else heights[-1], 0 if whole and first.rows else 1)
+    lines: list[str] = []
+    for _ in range(height):
+        line = ""
+        for left, block in cells:
+            if block.rows and (text := block.rows.popleft()):
+                line = line.ljust(left) + text
+        lines.append(line.rstrip())
+    wide = max(map(len, lines), default=0)
+    if not whole:
+        return deque(lines), wide
+    first.rows.extendleft(reversed(lines))
+    return first.rows, max(wide, first.wide)
+
+
+def _table(rows: list[list[tuple[int, int, Block]]]) -> Block:
+    """Cells (first column, columns, block) aligned by column, two spaces apart; a cell of several lines takes several lines.
+
+    Only columns in which some cell starts take room. Work and result stay in proportion to the text (see BLOAT).
+    """
+    starts = sorted({at for row in rows for at, _, _ in row})
+    need: dict[tuple[int, int], int] = {}
+    places = [[(bisect_left(starts, at), bisect_left(starts, at + wide), block) for at, wide, block in row] for row in rows]
+    for a, b, block in (c for row in places for c in row):
+        need[a, b] = max(need.get((a, b), 0), block.wide)
+    width = [0] * len(starts)
+    for (a, b), wide in sorted(need.items(), key=lambda x: x[0][1] - x[0][0]):
+        width[b - 1] = max(width[b - 1], wide - 2 * (b - a - 1) - sum(width[a : b - 1]))
+    left = [0, *accumulate(w + 2 for w in width)]
+    cells = [block for row in places for _, _, block in row]
+    raw = sum(block.raw + CELL_CHARS for block in cells)
+    chars = sum(block.chars + left[a] * max(len(block.rows), 1) for row in places for a, _, block in row)
+    out: deque[str] = deque()
+    longest = 0
+    if chars <= BLOAT * raw:
+        for row in places:
+            lines, wide = _row([(left[a], block) for a, _, block in row])
+            out, longest = _after(out, lines), max(longest, wide)
+        return Block(out, chars, longest, raw)
+    for row in places:
+        short: list[str] = []
+        for _, _, block in (*row, (0, 0, None)):
+            if block is not None and len(block.rows) < 2:
+                short += block.rows
+                continue
+            if short:
+                out.append("  ".join(short))
+                longest, short = max(longest, len(out[-1])), []
+            if block is not None:
+                longest = max(longest, block.wide)
+                out = _after(out, block.rows)
+    return Block(out, sum(block.chars + 2 for block in cells), longest, raw)
 
 
 def _cells(table: Node) -> tuple[list[Node], list[list[list[Node]]]]:
@@ -288,16 +401,16 @@ def _cells(table: Node) -> tuple[list[Node], list[list[list[Node]]]]:
         if child.tag == "tr":
             if loose is None:
                 parts["tbody"].append(loose := [])
-            loose.append(_row(child))
+            loose.append(_cells_of(child))
         elif child.tag in parts:
-            parts[child.tag].append([_row(r) for r in child.children if not isinstance(r, str) and r.tag == "tr" and _visible(r)])
+            parts[child.tag].append([_cells_of(r) for r in child.children if not isinstance(r, str) and r.tag == "tr" and _visible(r)])
             loose = None
         elif child.tag not in ("col", "colgroup"):
             captions.append(child)
     return captions, parts["thead"] + parts["tbody"] + parts["tfoot"]
 
 
-def _row(tr: Node) -> list[Node]:
+def _cells_of(tr: Node) -> list[Node]:
     return [c for c in tr.children if not isinstance(c, str) and c.tag in ("td", "th") and _visible(c)]
 
 
@@ -315,7 +428,7 @@ def _tables(root: Node) -> list[tuple[Node, bool]]:
 
 def render(root: Node) -> str:
     """All visible text below a node. Tables are laid out from the innermost to the outermost, so no nesting costs recursion."""
-    done: dict[int, str] = {}
+    done: dict[int, Block] = {}
     for table, seen in reversed(_tables(root)):
         captions, groups = _cells(table)
         inherited = {}
@@ -325,19 +438,36 @@ def render(root: Node) -> str:
                 inherited |= dict.fromkeys(map(id, row.children), own if row is part else _seen(row, own))
         lines = Lines()
         for c in captions:
-            if shown := _flow(c, seen, done):
-                lines.add(shown, True)
+            if (shown := _flow(c, seen, done)).rows:
+                lines.insert(shown)
                 lines.gap(1)
-        rows = [[(at, wide, _flow(c, inherited[id(c)], done)) for at, wide, c in row] for row in _grid(groups)]
-        if grid := _table(rows).strip("\n"):
-            lines.add(grid, True)
-        done[id(table)] = "".join(lines.out).strip("\n")
-    return _flow(root, True, done)
+        grid = _table([[(at, wide, _flow(c, inherited[id(c)], done, True)) for at, wide, c in row] for row in _grid(groups)])
+        while grid.rows and not grid.rows[0]:
+            grid.rows.popleft()
+        while grid.rows and not grid.rows[-1]:
+            grid.rows.pop()
+        if grid.rows:
+            lines.insert(grid)
+        done[id(table)] = lines.block()
+    return "\n".join(_flow(root, True, done).rows)
+
+
+def _ordinal(text: str | None) -> int | None:
+    return int(text) if re.fullmatch(r"\s*[+-]?\d{1,9}\s*", text or "") else None
+
+
+def _numbers(item: Node) -> list:
+    """A list's name, first number and step."""
+    back = item.tag == "ol" and "reversed" in item.attributes
+    first = _ordinal(item.attributes.get("start"))
+    if first is None:
+        first = sum(not isinstance(c, str) and c.tag == "li" for c in item.children) if back else 1
+    return [item.tag, first, -1 if back else 1]
 
 
-def _flow(node: Node, seen: bool, done: dict[int, str]) -> str:
-    """The text of a node in lines; ``done`` has the tables within it."""
-    lines = Lines()
+def _flow(node: Node, seen: bool, done: dict[int, Block], trim: bool = False) -> Block:
+    """The text of a node in lines; ``done`` has the tables within it. ``trim`` drops spaces at the ends of lines."""
+    lines = Lines(trim)
     todo: list[tuple] = [("in", node, False, seen)]
     lists: list[list] = []
     while todo:
@@ -348,7 +478,7 @@ def _flow(node: Node, seen: bool, done: dict[int, str]) -> str:
         elif what == "out":
             if item.tag in ("ul", "ol", "menu", "dir"):
                 lists.pop()
-                lines.indent = "  " * max(len(lists) - 1, 0) + ("  " if lists else "")
+                lines.indent = "  " * min(len(lists), INDENTED)
             if item.tag == "li":
                 lines.prefix = ""
             if item.tag in BLOCK:
@@ -359,8 +489,8 @@ def _flow(node: Node, seen: bool, done: dict[int, str]) -> str:
             lines.gap(min(lines.wish + 1, 2) if lines.wish else 1)
         elif item.tag == "table" and item is not node:
             lines.gap(2)
-            if done[id(item)]:
-                lines.add(done[id(item)], True)
+            if done[id(item)].rows:
+                lines.insert(done[id(item)])
             lines.gap(2)
         elif item.tag == "svg":
             todo += [("in", x, pre, _seen(item, seen)) for x in reversed(_drawn(item))]
@@ -369,14 +499,15 @@ def _flow(node: Node, seen: bool, done: dict[int, str]) -> str:
             if item.tag in BLOCK:
                 lines.gap(2 if item.tag in SPACED and not lists else 1)
             if item.tag in ("ul", "ol", "menu", "dir"):
-                start = item.attributes.get("start", "1")
-                lists.append([item.tag, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+                lists.append(_numbers(item))
             elif item.tag == "li":
-                kind = lists[-1] if lists else ["ul", 1]
+                kind = lists[-1] if lists else ["ul", 1, 1]
+                own = _ordinal(item.attributes.get("value"))
+                kind[1] = kind[1] if own is None else own
                 bullet = f"{kind[1]}. " if kind[0] == "ol" else "- "
-                kind[1] += 1
-                lines.prefix = "  " * max(len(lists) - 1, 0) + bullet
-                lines.indent = "  " * max(len(lists) - 1, 0) + "  "
+                kind[1] += kind[2]
+                depth = min(max(len(lists) - 1, 0), INDENTED - 1)
+                lines.prefix, lines.indent = "  " * depth + bullet, "  " * (depth + 1)
             elif item.tag in ("td", "th") and item is not node:
                 lines.add(" ")
             todo.append(("out", item, pre, seen))
@@ -388,7 +519,7 @@ def _flow(node: Node, seen: bool, done: dict[int, str]) -> str:
                         todo.append(("text", child, below, seen))
                 elif not shut or child.tag == "summary":
                     todo.append(("in", child, below, seen))
-    return "".join(lines.out).strip("\n")
+    return lines.block()
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,6 +533,9 @@ def visible_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     Null or empty pages give empty text. Rows are independent: repeated rows and null ids pass through. Markup
     that never ends, unknown tags and stray end tags are read as browsers do in spirit: nothing visible is lost.
+    Visibility comes from elements and their attributes; style sheets aren't read, so what only a ``<style>`` rule
+    hides is shown. A wide character counts as one. Work and text stay in proportion to the page: tables and lists
+    that nest or span so far that their alignment would outgrow their text are shown without it.
     """
     base = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("h"))
     kind = pages.schema[id_col].dataType.simpleString()

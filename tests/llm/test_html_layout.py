@@ -65,11 +65,14 @@ def block(rng: random.Random, depth: int) -> tuple[str, list[str]]:
                     for b in range(j, j + wide):
                         owner[a][b] = (i, j)
                 cells[i, j] = (wide, tall, word())
-    width = [0] * m
-    for (_, j), (wide, _, t) in sorted(cells.items(), key=lambda c: (c[1][0], c[0])):
-        lack = len(t) - (sum(width[j : j + wide]) + 2 * (wide - 1))
+    started = sorted({j for _, j in cells})  # only where a cell starts there is a gap
+    room = lambda j, wide: (started.index(j), sum(j <= k < j + wide for k in started))
+    width = [0] * len(started)
+    for (_, j), (wide, _, t) in sorted(cells.items(), key=lambda c: (room(c[0][1], c[1][0])[1], c[0])):
+        k, over = room(j, wide)
+        lack = len(t) - (sum(width[k : k + over]) + 2 * (over - 1))
         if lack > 0:
-            width[j + wide - 1] += lack
+            width[k + over - 1] += lack
     lines, markup = [], "<table>"
     for i in range(n):
         line, j = "", 0
@@ -81,7 +84,9 @@ def block(rng: random.Random, depth: int) -> tuple[str, list[str]]:
                 markup += f"<td colspan={wide} rowspan='{tall}'>{t}" + rng.choice(["", "</td>"])
             else:
                 wide = 1
-            line += (t if mine else "").ljust(sum(width[j : j + wide]) + 2 * (wide - 1)) + "  "
+            if j in started:
+                k, over = room(j, wide)
+                line += (t if mine else "").ljust(sum(width[k : k + over]) + 2 * (over - 1)) + "  "
             j += wide
         if any(k[0] == i for k in cells):
             lines.append(line.rstrip())
@@ -97,3 +102,39 @@ def test_layout_is_the_one_made_beside_it(seed):
         if line or (want and want[-1]):
             want.append(line)
     assert shown("".join(m for m, _ in parts)).split("\n") == "\n".join(want).strip("\n").split("\n")
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<ol><li value=7>a<li>b</ol>", "7. a\n8. b"), ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"), ("<ol reversed start=2><li>a<li>b<li value=-5>c<li>d</ol>", "2. a\n1. b\n-5. c\n-6. d"),
+    ("<table><tr><td colspan=1000>a<td>b<tr><td>c</table>", "a  b\nc"), ("<ul><li>x<table><tr><td>a<td>b<tr><td>cc<td>d</table></ul>", "- x\n\n  a   b\n  cc  d"),
+    ("<table><tr><td><table><tr><td>1<td>2<tr><td>3</table><td>x<br>y<br>z</table>", "1  2  x\n3     y\n      z"),
+])
+def test_numbers_of_items_and_gaps_of_columns(page, text):
+    assert shown(page) == text
+
+
+def nested(n, before, after):
+    return "".join(f"{before}w{k} " for k in range(n)) + after * n
+
+
+@pytest.mark.parametrize("page", [
+    "<table><tr>" + "<td colspan=1000 rowspan=0>a" * 200 + "<tr><td>b" * 1000 + "</table>",
+    "<table><tr>" + "<td rowspan=0>a" * 3000 + "<tr><td>b" * 5000 + "</table>",
+    "<table><tr>" + "".join(f"<td rowspan={k % 900 + 2}>a" for k in range(1500)) + "<tr><td>b" * 3000 + "</table>",
+    nested(20_000, "<table><tr><td>", "</table>"), nested(20_000, "<table><tr><td>x<td>", "</table>"), "".join(f"<table><tr><td>w{k}<table><tr><td>x</table>" for k in range(5000)),
+    nested(10_000, "<table><tr><td><table><tr><td>", "</table><td>x<tr><td>y</table>"), nested(20_000, "<ul><li>", "</ul>"), nested(20_000, "<ol><li>", ""), nested(5_000, "<ul><li><table><tr><td>", "</table></ul>"),
+    nested(5_000, "<table><caption>", "</table>"), "<pre>" + " " * 200_000 + "x</pre>", "<table><tr><td>" + "x" * 100_000 + "<td>y" + "<tr><td>a<td>b" * 3000 + "</table>",
+])
+def test_work_and_text_stay_in_proportion_to_the_page(page):
+    began = time.perf_counter()
+    text = shown(page)
+    assert time.perf_counter() - began < 6
+    assert len(text) <= 40 * len(page) and len(text) < 8_000_000
+    # all words are there
+    assert sorted(text.replace("-", " ").split())[-1:] == sorted(html_text.html.unescape(html_text.re.sub("<[^>]*>", " ", page)).split())[-1:]
+
+
+def test_no_word_is_lost_where_tables_are_not_aligned():
+    page = nested(3000, "<table><tr><td>x<td>", "</table>")
+    words = shown(page).split()
+    assert sorted(words) == sorted(["x"] * 3000 + [f"w{k}" for k in range(3000)])
