@@ -103,6 +103,10 @@ def measures(docs: DataFrame, text_col: str = "text", as_col: str = "m") -> Data
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letter_words", "n_ends", "n_distinct")
 
 
+#: The base rule.
+FAILED = "(m.n_words < 50 OR 100 * m.n_repeat_words > 50 * m.n_words)"
+
+
 def _of(text: str, struct: str) -> str:
     return re.sub(rf"\b({'|'.join(MEASURES)})\b", rf"{struct}.\1", text)
 
@@ -131,11 +135,10 @@ def verdict(struct: str, model: list[dict[str, float]], prior: float, rules=RULE
     """The measures with ``base_failed``, posterior ``p_good``, the votes and ``kept``; the measures are named once."""
     fields = ", ".join(f"'v{j}', {v}" for j, v in enumerate(_votes_sql(rules, "m")))
     good, bad = (f"{p!r}D * {x}" for p, x in zip((prior, 1 - prior), _odds_sql(model, "v"), strict=True))
-    failed = "m.n_words < 50 OR 100 * m.n_repeat_words > 50 * m.n_words"
     known = ", ".join(f"'{c}', m.{c}" for c in MEASURES)
     named = ", ".join(f"'vote_{r[0]}', v.v{j}" for j, r in enumerate(rules))
     odds = f"transform(array(named_struct('g', {good}, 'b', {bad})), o -> o.g / (o.g + o.b))[0]"
-    scored = f"transform(array(named_struct({fields})), v -> named_struct({known}, 'base_failed', {failed}, 'p_good', {odds}, {named}))[0]"
+    scored = f"transform(array(named_struct({fields})), v -> named_struct({known}, 'base_failed', {FAILED}, 'p_good', {odds}, {named}))[0]"
     every = ", ".join(f"'{c}', r.{c}" for c in (*MEASURES, "base_failed", "p_good", *(f"vote_{r[0]}" for r in rules)))
     return F.expr(f"transform(array({struct}), m -> transform(array({scored}), r -> named_struct({every}, 'kept', NOT r.base_failed AND r.p_good >= 0.5D))[0])[0]")
 
@@ -196,9 +199,14 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS, starts=STARTS)
     return rates, prior
 
 
+def patterns(measured: DataFrame, name: str, rules=RULES) -> DataFrame:
+    """``v0.., n``: how many documents have each pattern of votes. Those that fail the base rule are decided already and not counted."""
+    failed = F.expr(f"transform(array({name}), m -> {FAILED})[0]")
+    return measured.where(~failed).select(votes(name, rules).alias("v")).groupBy(*[f"v.v{j}" for j in range(len(rules))]).agg(F.count("*").alias("n"))
+
+
 def _judge(measured: DataFrame, name: str, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
-    counted = measured.select(votes(name, rules).alias("v")).groupBy(*[f"v.v{j}" for j in range(len(rules))]).agg(F.count("*").alias("n"))
-    model, prior = fit(stored(counted, "votes"), len(rules), rounds)
+    model, prior = fit(stored(patterns(measured, name, rules), "votes"), len(rules), rounds)
     return measured.withColumn(name, verdict(name, model, prior, rules))
 
 
@@ -256,7 +264,7 @@ f AS MATERIALIZED (SELECT d.rid, doc_id, len(w)::BIGINT AS n_words, length(array
   len(list_filter(w, lambda x: regexp_matches(x, '{LETTER}')))::BIGINT AS n_letter_words, len(list_filter(w, lambda x: right(x, 1) IN ('.', '!', '?')))::BIGINT AS n_ends, len(list_distinct(w))::BIGINT AS n_distinct
   FROM d JOIN w USING (rid) JOIN l USING (rid) LEFT JOIN r USING (rid)),
 g AS MATERIALIZED (SELECT *, {', '.join(v)} FROM f),
-pt AS MATERIALIZED (SELECT {', '.join(f'v{j}' for j in range(n))}, count(*) AS n FROM g GROUP BY ALL),
+pt AS MATERIALIZED (SELECT {', '.join(f'v{j}' for j in range(n))}, count(*) AS n FROM g WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) GROUP BY ALL),
 {', '.join(parts)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND og / (og + ob) >= 0.5 AS kept, round(og / (og + ob), 6) AS p_good
 FROM (SELECT g.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed, {good} AS og, {bad} AS ob FROM g, best e)

@@ -20,7 +20,7 @@ def test_every_start_gives_the_same_verdicts_and_they_agree_with_labels_that_wer
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     measured = stored(quality.measures(docs, "text", "m").select("doc_id", "m"), "measured")
     n = len(quality.RULES)
-    patterns = stored(measured.select(quality.votes("m").alias("v")).groupBy(*[f"v.v{j}" for j in range(n)]).agg(F.count("*").alias("n")), "votes")
+    patterns = stored(quality.patterns(measured, "m"), "votes")
     def verdicts(starts):
         model, prior = quality.fit(patterns, n, starts=starts)
         judged = measured.select("doc_id", quality.verdict("m", model, prior).alias("q")).select("doc_id", "q.kept", "q.base_failed", *[f"q.vote_{r[0]}" for r in quality.RULES])
