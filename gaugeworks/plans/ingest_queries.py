@@ -10,9 +10,10 @@ from gaugeworks.functions.times import normalised
 from gaugeworks.operators import anomalies as A
 from gaugeworks.operators import baselines as B
 from gaugeworks.operators import catalog as C
-from gaugeworks.operators import enrichment, landing, write_mode
+from gaugeworks.operators import enrichment, landing, sinks, write_mode
 from gaugeworks.operators import events as V
 from gaugeworks.plans import metric_queries as M
+from gaugeworks.sources import connector
 from gaugeworks.sources import normalise as N
 from gaugeworks.sources import protocol as P
 from gaugeworks.sources import tables as T
@@ -590,6 +591,39 @@ def reader_plugin(spark, sf):
     return rows.select("stream", "timestamp", F.get_json_object("data_json", "$.o_orderkey").cast("long").alias("k"))
 
 
+@query("connector_extract", f"{_LANDED_SQL} WHERE event_type IN ('click', 'view') AND ts > TIMESTAMP '2024-01-10 00:00:00'")
+def connector_extract(spark, sf):
+    """Landed events through a connector: streams and cursor go down to it, and tasks read its pieces."""
+    root = landing.new_folder(spark, "landed")
+    landing.land(T.records(spark, sf), root, "r1")
+    rows = connector.extract(spark, "parquet_folder", path=root).where(F.col("stream").isin("click", "view") & (F.col("timestamp") > F.lit("2024-01-10 00:00:00").cast("timestamp")))
+    return _fields(landing.envelope(rows), "stream", "timestamp")
+
+
+@query("connector_stream", _LANDED_SQL)
+def connector_stream(spark, sf):
+    """Two runs through the same connector as a stream, the second after a restart."""
+    root, out, marks = (landing.new_folder(spark, n) for n in ("landed", "out", "marks"))
+    for run, half in (("r1", "seq % 2 = 0"), ("r2", "seq % 2 = 1")):
+        landing.land(T.records(spark, sf).where(half), root, run)
+        rows = jobs.append_all(spark, connector.extract_stream(spark, "parquet_folder", path=root), out, marks)
+    return _fields(landing.envelope(rows), "stream", "timestamp")
+
+
+@query("sink_lifecycle", _LANDED_SQL)
+def sink_lifecycle(spark, sf):
+    """Two runs through a sink that commits; a third breaks off, and nothing of it is seen."""
+    path, rows = landing.new_folder(spark, "sink"), landing.envelope(T.records(spark, sf)).withColumn("seq", F.get_json_object("data_json", "$.k").cast("long"))
+    for run, half in (("r1", "seq % 2 = 0"), ("r2", "seq % 2 = 1")):
+        sinks.write_run(rows.where(half).drop("seq"), "run_folder", path=path, run=run)
+    try:
+        sinks.write_run(rows.drop("seq").withColumn("data_json", F.when(F.col("stream") == "view", F.raise_error(F.lit("torn"))).otherwise(F.col("data_json"))), "run_folder", path=path, run="r3")
+    except Exception as error:
+        if "torn" not in str(error):
+            raise
+    return _fields(sinks.read_committed(spark, path, "stream string, timestamp long, data_json string"), "stream", "timestamp")
+
+
 @query("synthetic_source", "SELECT stream, i AS index, 1700000000 + 60 * i AS at_s, stream || '-' || i AS id FROM (SELECT DISTINCT event_type AS stream FROM events), (SELECT unnest(range((SELECT count(*) FROM events))) AS i)")
 def synthetic_source(spark, sf):
     """As many records of each event type as there are events."""
