@@ -127,7 +127,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # ids that stand for no class; few enough to be broadcast, they keep the bands of all others from a shuffle
     copies = stored(member.where("id <> rep").select("id").distinct().join(classes.select(F.col("rep").alias("id")), "id", "left_anti"), "copies")
     banded = live.join(small(copies), "id", "left_anti").select("id", "n", F.explode("bands").alias("key"))
-    crowded = banded.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    # stored, so that the join with a band that very many documents share can be split
+    crowded = stored(banded.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "crowded")
     buckets = stored(banded.join(crowded, "key").distinct(), "buckets")
     wanted = stored(buckets.select("id").distinct(), "wanted")
     sets = bucketed(base.join(small(wanted), "id", "left_semi").mapInArrow(_sets(shingle), "id long, s array<long>"), "sets", "id")
