@@ -49,22 +49,36 @@ def about(metric: Column, events_metric: Column, kind: Column) -> Column:
 
 
 CAUSE_HOURS = 48
-SALTS = 8
+#: Targets of a slot that marks meet in one part of it, about.
+TARGETS_AT_ONCE = 64
 
 
-def causal_candidates(events: DataFrame) -> DataFrame:
+def causal_candidates(events: DataFrame, at_once: int = TARGETS_AT_ONCE) -> DataFrame:
     """Marks up to 48 hours before an anomaly of a metric; each mark once for each metric, with the newest such anomaly.
 
-    An interval join by 48-hour slots: a mark goes to its slot and the next, an anomaly to its own. Anomalies of a slot
-    are dealt into SALTS parts by target, and a mark goes to each, so that a busy slot isn't one task.
+    An interval join by 48-hour slots. A target's anomalies of a slot are one row: its hours, each with its newest anomaly
+    and its times (3,600 at most), so a mark meets a target once, however many anomalies that has, and looks into the one
+    hour in which its 48 end. A mark goes to its slot and the next. The targets of a slot are dealt into as many
+    parts as their number asks for, and a mark goes to each of those, so that a busy slot isn't one task.
     """
     slot = CAUSE_HOURS * 3600
     at = F.unix_timestamp("at")
-    anomalies = events.where("kind = 'anomaly'").select(F.col("metric_fq").alias("target"), F.col("at").alias("anomaly_at"), "window_days", at.alias("a_s"), F.floor(at / slot).alias("slot"), F.pmod(F.xxhash64("metric_fq"), F.lit(SALTS)).alias("salt")).dropDuplicates(["target", "anomaly_at"])
-    causes = events.where("kind <> 'anomaly'").select("event_id", "kind", "metric_fq", "description", F.col("at").alias("event_at"), at.alias("e_s"), F.explode(F.array(F.floor(at / slot), F.floor(at / slot) + 1)).alias("slot"))
-    causes = causes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    pairs = causes.join(anomalies, ["slot", "salt"]).where((F.col("a_s") >= F.col("e_s")) & (F.col("a_s") - F.col("e_s") <= slot))
-    last = pairs.groupBy("target", "event_id", "kind", "metric_fq", "description", "event_at").agg(F.max("anomaly_at").alias("anomaly_at"))
+    anomalies = events.where("kind = 'anomaly'").select(F.col("metric_fq").alias("target"), at.alias("a_s"))
+    hourly = anomalies.groupBy("target", F.floor(F.col("a_s") / slot).alias("slot"), F.floor(F.col("a_s") / 3600).alias("hour")).agg(F.max("a_s").alias("newest"), F.collect_set("a_s").alias("times"))
+    targets = hourly.groupBy("target", "slot").agg(F.max("newest").alias("newest"), F.collect_list(F.struct("hour", "newest", "times")).alias("hours"))
+    # a row for each slot: a century has 18,263
+    parts = F.broadcast(targets.groupBy("slot").agg(F.ceil(F.count("*") / at_once).alias("parts")))
+    targets = targets.join(parts, "slot").withColumn("part", F.pmod(F.xxhash64("target"), F.col("parts")))
+    own = F.floor(at / slot)
+    marks = events.where("kind <> 'anomaly'").select("event_id", "kind", "metric_fq", "description", F.col("at").alias("event_at"), at.alias("e_s"), F.explode(F.array(F.struct(own.alias("slot"), F.lit(False).alias("later")), F.struct((own + 1).alias("slot"), F.lit(True).alias("later")))).alias("s"))
+    marks = marks.select("*", "s.slot", "s.later").drop("s").join(parts, "slot")
+    marks = marks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    end = F.col("e_s") + slot
+    earlier = F.array_max(F.transform(F.filter("hours", lambda h: h["hour"] < F.floor(end / 3600)), lambda h: h["newest"]))
+    same = F.array_max(F.filter(F.flatten(F.transform(F.filter("hours", lambda h: h["hour"] == F.floor(end / 3600)), lambda h: h["times"])), lambda t: t <= end))
+    newest = F.when(F.col("later"), F.greatest(earlier, same)).when(F.col("newest") >= F.col("e_s"), F.col("newest"))
+    pairs = marks.join(targets.drop("parts"), ["slot", "part"]).withColumn("found", newest).where("found IS NOT NULL")
+    last = pairs.groupBy("target", "event_id", "kind", "metric_fq", "description", "event_at").agg(F.timestamp_seconds(F.max("found")).alias("anomaly_at"))
     hours = (F.unix_timestamp("anomaly_at") - F.unix_timestamp("event_at")) / 3600.0
     out = last.withColumn("proximity_hours", hours)
     return out.withColumn("confidence", S.proximity_confidence(F.col("proximity_hours"))).withColumn("label", F.coalesce(F.expr("nullif(description, '')"), "kind"))

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import landing, reports
+from gaugeworks.operators import baselines, landing, reports
+from gaugeworks.operators.events import causal_candidates
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -90,3 +91,46 @@ def test_siblings_in_blocks(spark):
     strong = reports.sibling_correlations(obs, "2024-01-21 00:00:00", 30 * 86400, 0.6, at_once=4)
     assert {(r.metric, r.sibling) for r in strong.collect()} == {k for k, (r, _) in want.items() if abs(r) >= 0.6}
     assert reports.sibling_correlations(obs.where("false"), "2024-01-21 00:00:00", 86400).count() == 0
+
+
+def test_causes_of_busy_slots_and_of_one_busy_target(spark):
+    """Anomalies and marks on a slot's first and last second, 48 hours apart to the second, many of one target, many targets."""
+    rng = random.Random(7)
+    base = 1_728_000 * 900  # a slot begins here
+    hour = 3600
+    anomalies = [("t0", base + rng.randrange(96 * hour)) for _ in range(400)] + [(f"t{k}", base + rng.randrange(96 * hour)) for k in range(1, 12) for _ in range(3)]
+    anomalies += [("edge", base), ("edge", base + 48 * hour - 1), ("edge", base + 96 * hour), ("edge2", base + 48 * hour)]
+    marks = [(f"m{k}", base + rng.randrange(-48 * hour, 96 * hour)) for k in range(40)] + [("first", base), ("last", base + 48 * hour - 1), ("late", base + 96 * hour + 1), ("before", base - 48 * hour), ("just", base - 48 * hour - 1)]
+    rows = [(f"a{i}", "anomaly", t, None, s) for i, (t, s) in enumerate(anomalies)] + [(m, "release", "", m, s) for m, s in marks]
+    events = spark.createDataFrame(rows, "event_id string, kind string, metric_fq string, description string, s long").withColumn("at", F.timestamp_seconds("s")).withColumn("window_days", F.lit(7))
+    want = {}
+    for m, e in marks:
+        for t, a in anomalies:
+            if 0 <= a - e <= 48 * hour:
+                want[m, t] = max(want.get((m, t), 0), a)
+    for at_once in (1, 4, 64):
+        got = {(r.event_id, r.target): r.s for r in causal_candidates(events, at_once).select("event_id", "target", F.unix_timestamp("anomaly_at").alias("s")).collect()}
+        assert got == want
+
+
+def test_daily_metrics_replay_as_dense_ones_do(spark):
+    """One second a day, not always the same; gaps, nulls, and a metric that once has two seconds on a day."""
+    rng = random.Random(5)
+    rows = []
+    for m in range(4):
+        day = 19_700
+        for k in range(140):
+            day += rng.choice([1, 1, 1, 2, 7, 23, 30])
+            rows.append((f"m{m}", day * 86400 + (0 if m == 0 else rng.choice([0, 5, 40_000])), k, None if rng.random() < 0.1 else rng.choice([1.0, 1e5]) + rng.random()))
+    rows.append(("m3", rows[-1][1] + 60, 999, 4.0))
+    obs = spark.createDataFrame(rows, "fq_name string, s long, seq long, value double").select("fq_name", F.timestamp_seconds("s").alias("observed_at"), "seq", "value")
+    got = {(r.fq_name, r.seq, r.window_days): r for r in baselines.replay(obs).collect()}
+    assert len(got) == 3 * len(rows)
+    for name, t, seq, _ in rows:
+        for d in baselines.DAYS:
+            vs = [v for n, s, _, v in rows if n == name and t - d * 86400 <= s <= t and v is not None]
+            r = got[name, seq, d]
+            assert r.sample_count == len(vs)
+            if vs:
+                mean = sum(vs) / len(vs)
+                assert r.mean == pytest.approx(mean, rel=1e-9) and r.stddev == pytest.approx((sum((v - mean) ** 2 for v in vs) / len(vs)) ** 0.5, rel=1e-6, abs=1e-6)
