@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from gaugeworks.operators import baselines as B
 from gaugeworks.operators import catalog as C
 from gaugeworks.operators import enrichment, landing, sinks, write_mode
 from gaugeworks.operators import events as V
+from gaugeworks.operators.ledger import Ledger
 from gaugeworks.plans import metric_queries as M
 from gaugeworks.sources import connector
 from gaugeworks.sources import normalise as N
@@ -691,3 +694,51 @@ def state_store(spark, sf):
     new = T.table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).select(key("o_custkey"), F.concat(F.lit("orders "), F.col("n").cast("string")).alias("state"))
     gone = T.table(spark, sf, "customer").where("c_custkey % 5 = 0").select(key("c_custkey"))
     return C.delete_state(C.save_state(old, new), gone)
+
+
+# tables that several writers change
+
+
+_LEDGER_MANIFEST_SQL = """
+WITH r AS (SELECT event_id % 4 AS run, event_type AS stream, count(*) AS n, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us FROM events GROUP BY ALL)
+SELECT run, stream, n, start_us, end_us FROM r WHERE run <> 0
+UNION ALL SELECT run, stream, n + 1000, start_us, end_us FROM r WHERE run = 0 AND stream <> 'click'
+"""
+
+
+@query("manifest_ledger", _LEDGER_MANIFEST_SQL)
+def manifest_ledger(spark, sf):
+    """Four runs land a quarter of the records each and commit their manifest rows at once; the first then corrects its own."""
+    root = landing.new_folder(spark, "manifest")
+    book = Ledger(spark, f"{root}/ledger", "run bigint, stream string, n bigint, start_us bigint, end_us bigint", ("run", "stream"), fan=4)
+
+    def run(k: int) -> None:
+        landed = landing.land(T.records(spark, sf).where(F.col("seq") % 4 == k), f"{root}/data", f"r{k}")
+        of_stream = landed.groupBy("stream").agg(F.sum("rows").alias("n"), F.min("start_time").alias("lo"), F.max("end_time").alias("hi"))
+        book.put(of_stream.select(F.lit(k).alias("run"), "stream", "n", F.unix_micros("lo").alias("start_us"), F.unix_micros("hi").alias("end_us")), name=f"r{k}")
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(run, range(4)))
+    book.merge()
+    first = book.read().where("run = 0")
+    book.put(first.withColumn("n", F.col("n") + 1000))
+    book.remove(first.where("stream = 'click'"))
+    return book.read()
+
+
+_LEDGER_STATE_SQL = "SELECT c_nationkey AS nation, count(*) AS customers, max(c_custkey) AS last_key FROM customer GROUP BY ALL"
+
+
+@query("state_ledger", _LEDGER_STATE_SQL)
+def state_ledger(spark, sf):
+    """Two writers add their half of the customers to each nation's state at once; either reads what the other has added."""
+    book = Ledger(spark, landing.new_folder(spark, "state"), "nation bigint, customers bigint, last_key bigint", ("nation",))
+
+    def half(k: int) -> str:
+        mine = T.table(spark, sf, "customer").where(F.col("c_custkey") % 2 == k).groupBy(F.col("c_nationkey").cast("long").alias("nation"))
+        mine = mine.agg(F.count("*").alias("customers"), F.max("c_custkey").alias("last_key"))
+        return book.update(lambda now: now.unionByName(mine).groupBy("nation").agg(F.sum("customers").alias("customers"), F.max("last_key").alias("last_key")))
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(half, range(2)))
+    return book.read()
