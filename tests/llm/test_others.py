@@ -143,4 +143,4 @@ def test_pipeline_is_its_stages_one_by_one(spark, tmp_path):
 def test_each_operator_has_a_query():
     from gaugeworks.llm.queries import ORACLE_SQL, QUERIES
 
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
