@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from gaugeworks.llm.hashing import mix, pair, word_hashes
 #: Fixed: with r rows a band, two sets of similarity 0.8 miss all BANDS bands with (1 - 0.8**ROWS)**BANDS = 2e-9.
 ROWS, BANDS = 5, 51
 _PROBES = 64
+#: Members of one component whose sizes differ by less than this factor share an anchor.
+CLASS = 1.1
 
 
 def _probe_table(bins: int) -> np.ndarray:
@@ -110,10 +113,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (128-bit digest) fold into their smallest id, so copies cost one row each from here. (2) Documents
     that share a band are in a bucket. Its smallest id is the centre of a star: only centre and member
     are compared, on full sets. (3) Members of a bucket that are still in different components may yet be
-    linked. Each is held against a pivot, the set of shingles that most of the bucket's largest component
-    have: first with that component's member nearest to the pivot; then with any other only if the two
-    share a shingle that the pivot lacks, or if each shares enough with the pivot. No other two can be that
-    similar, so no pair that shares a band is lost, and a large group doesn't grow into all its pairs.
+    linked. They are held against a pivot, the set of shingles that most of the bucket's largest component
+    have. Two members can only be similar if they share a shingle that the pivot lacks, one of their rarest
+    there, or if each shares enough with the pivot. First each is compared with one member for each such
+    shingle and with the largest component's nearest to the pivot, one for each class of sizes; components
+    that this links are one from there on. Then members of those that are still apart are compared if
+    they meet one of the two conditions. No other two can be that similar, so no pair that shares a band
+    is lost; a pair is only made between components without a link found so far.
 
     Null or wordless text: set size 0, linked with nothing. A null id is returned with a null component
     and kept. Rows that repeat an id are one node. An empty table gives no rows.
@@ -163,34 +169,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a component that drifts may have no shingle in common: its pivot is empty, and all its shingles are extra
     around = attached.join(sets, "id").join(pivots, "p", "left").withColumn("ps", F.coalesce("ps", F.array().cast("array<long>")))
     around = stored(around.select("p", "id", "was", F.size("s").alias("n"), F.size(F.array_intersect("s", "ps")).alias("o"), F.array_except("s", "ps").alias("extra")), "around")
-    nearest = around.where("was = p").groupBy("p").agg(F.max(F.struct("o", (-F.col("id")).alias("minus"))).alias("m"))
-    nearest = stored(nearest.select("p", (-F.col("m.minus")).alias("a")), "nearest")
-    near = stored(linked(around.where("was <> p").select("p", "id").join(nearest, "p").select("a", F.col("id").alias("b"))), "near")
-    joined = stored(near.join(nearest, "a").select("p", F.col("b").alias("id"), F.lit(True).alias("joined")), "joined")
-    around = around.join(joined, ["p", "id"], "left").withColumn("c", F.when(F.col("joined"), F.col("p")).otherwise(F.col("was")))
-    x = around.select("p", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("o").alias("ox"), F.col("c").alias("cx"), "extra")
-    f = x.where("cx <> p").select("p", F.col("x").alias("f"), F.col("nx").alias("nf"), F.col("ox").alias("of"), F.col("cx").alias("cf"))
-    other = (F.col("cx") != F.col("cf")) & ((F.col("cx") == F.col("p")) | (F.col("f") < F.col("x"))) & sized("nf", "nx")
-    enough = lambda overlap: (100 + percent) * overlap >= percent * (F.col("nf") + F.col("nx"))
-    most = F.least("of", "ox") + F.least(F.col("nf") - F.col("of"), F.col("nx") - F.col("ox"))
+    enough = lambda overlap, n, m: (100 + percent) * overlap >= percent * (n + m)
     # of a member's shingles beyond the pivot, a partner shares at least what the pivot leaves it short of; so
-    # one of the rarest few is shared, and only those are looked up
-    short = F.greatest(F.ceil(F.col("nx") * percent / 100) - F.col("ox"), F.lit(1))
-    beyond = x.select("p", "x", "nx", "ox", "cx", F.size("extra").alias("k"), F.explode("extra").alias("s"))
-    rank = F.row_number().over(Window.partitionBy("p", "x").orderBy("often", "s"))
-    beyond = stored(beyond, "extras")
+    # one of the rarest few is shared, and only those are looked up. What two share beyond the pivot are the first
+    # that they share in that order and some of what comes later in both ("later").
+    short = F.greatest(F.ceil(F.col("n") * percent / 100) - F.col("o"), F.lit(1))
+    beyond = stored(around.select("p", "id", "was", "n", "o", F.size("extra").alias("k"), F.xxhash64("extra").alias("row"), F.explode("extra").alias("s")), "extras")
     often = stored(beyond.groupBy("p", "s").agg(F.count("*").alias("often")).where("often > 1"), "often")
-    beyond = beyond.join(often, ["p", "s"], "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("rank", rank)
-    beyond = stored(beyond.where((F.col("rank") <= F.col("k") - short + 1) & (F.col("often") > 1)).select("p", "s", "x", "nx", "ox", "cx"), "beyond")
-    mine = beyond.where("cx <> p").select("p", "s", F.col("x").alias("f"), F.col("nx").alias("nf"), F.col("ox").alias("of"), F.col("cx").alias("cf"))
-    by_extra = mine.join(beyond, ["p", "s"]).where(other & enough(most))
+    beyond = beyond.join(often, ["p", "s"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    # rows that repeat an id have a set each, or the same one again
+    place = F.dense_rank().over(Window.partitionBy("p", "id", "n", "o", "row").orderBy("often", "s"))
+    beyond = beyond.withColumn("rank", place).withColumn("later", F.col("k") - F.col("rank"))
+    beyond = stored(beyond.where((F.col("rank") <= F.col("k") - short + 1) & (F.col("often") > 1)).select("p", "s", "id", "was", "n", "o", "later"), "beyond")
+
+    # before any two members are paired, components that have a cheap link become one: each row is held against one
+    # member only, the smallest id that shares its shingle or the pivot's own member of about its size nearest to the pivot
+    head = beyond.groupBy("p", "s").agg(F.min(F.struct("id", "was", "n", "o", "later")).alias("m"))
+    head = stored(head.select("p", "s", *[F.col(f"m.{c}").alias(f"{c}_h") for c in ("id", "was", "n", "o", "later")]), "heads_by_extra")
+    by_head = beyond.join(head, ["p", "s"]).where((F.col("was") != F.col("was_h")) & sized("n", "n_h"))
+    by_head = by_head.where(enough(F.least("o", "o_h") + 1 + F.least("later", "later_h"), F.col("n"), F.col("n_h")))
+    anchor = around.where("was = p").groupBy("p", F.floor(F.log("n") / math.log(CLASS)).alias("class"))
+    anchor = anchor.agg(F.max(F.struct("o", (-F.col("id")).alias("minus"), "n")).alias("m"))
+    anchor = stored(anchor.select("p", (-F.col("m.minus")).alias("id_h"), F.col("m.n").alias("n_h"), F.col("m.o").alias("o_h")), "anchors")
+    by_anchor = around.where("was <> p").select("p", "id", "n", "o").join(anchor, "p").where(sized("n", "n_h"))
+    by_anchor = by_anchor.where(enough(F.least("o", "o_h") + F.least(F.col("n") - F.col("o"), F.col("n_h") - F.col("o_h")), F.col("n"), F.col("n_h")))
+    tried = stored(by_head.select(F.col("id_h").alias("a"), F.col("id").alias("b")).union(by_anchor.select(F.col("id_h").alias("a"), F.col("id").alias("b"))).distinct(), "tried")
+    grown = components(links.union(stored(linked(tried), "near")))
+    now = wanted.join(grown.select(F.col("a").alias("id"), F.col("b").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    now = stored(now, "now")
+    of_pivot = now.select(F.col("id").alias("p"), F.col("c").alias("cp"))
+
+    # what is left are members of components without such a link; f isn't in the pivot's
+    other = (F.col("c") != F.col("cf")) & ((F.col("c") == F.col("cp")) | (F.col("f") < F.col("id"))) & sized("nf", "n")
+    as_f = [F.col("id").alias("f"), F.col("n").alias("nf"), F.col("o").alias("of"), F.col("c").alias("cf")]
+    beyond = stored(beyond.drop("was").join(now, "id").join(of_pivot, "p"), "beyond")
+    mine = beyond.where("c <> cp").select("p", "s", *as_f, F.col("later").alias("later_f"))
+    most = F.least("of", "o") + 1 + F.least("later_f", "later")
+    by_extra = mine.join(beyond, ["p", "s"]).where(other & enough(most, F.col("nf"), F.col("n"))).select("f", "id")
     # both share at least the overlap that their sizes ask for with the pivot
+    x = stored(around.select("p", "id", "n", "o").join(now, "id").join(of_pivot, "p"), "x")
     room = F.floor(F.lit(100 + percent) * F.col("of") / percent - F.col("nf")).cast("int")
-    fits = f.select("p", "f", "nf", "of", "cf", F.ceil(F.col("nf") * percent / 100).cast("int").alias("lo"), F.least(room, F.ceil(F.col("nf") * 100 / percent).cast("int")).alias("hi")).where("lo <= hi")
-    by_pivot = fits.select("p", "f", "nf", "of", "cf", F.explode(F.sequence("lo", "hi")).alias("nx")).join(x.drop("extra"), ["p", "nx"])
-    by_pivot = by_pivot.where(other & enough(F.least("of", "ox")))
-    pairs = by_extra.select("f", "x").union(by_pivot.select("f", "x")).select(F.least("f", "x").alias("a"), F.greatest("f", "x").alias("b")).distinct()
-    comp = components(links.union(near).union(stored(linked(pairs), "links")))
+    fits = x.where("c <> cp").select("p", *as_f).withColumn("lo", F.ceil(F.col("nf") * percent / 100).cast("int"))
+    fits = fits.withColumn("hi", F.least(room, F.ceil(F.col("nf") * 100 / percent).cast("int"))).where("lo <= hi")
+    by_pivot = fits.select("p", "f", "nf", "of", "cf", F.explode(F.sequence("lo", "hi")).alias("n")).join(x.withColumn("n", F.col("n").cast("int")), ["p", "n"])
+    by_pivot = by_pivot.where(other & enough(F.least("of", "o"), F.col("nf"), F.col("n"))).select("f", "id")
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    pairs = by_extra.union(by_pivot).select(*ordered("f", "id")).distinct().join(tried.select(*ordered("a", "b")), ["a", "b"], "left_anti")
+    comp = components(grown.union(stored(linked(pairs), "links")))
     roots = comp.select(F.col("a").alias("rep"), F.col("b").alias("root"))
     out = member.join(roots, "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
