@@ -134,3 +134,27 @@ def test_daily_metrics_replay_as_dense_ones_do(spark):
             if vs:
                 mean = sum(vs) / len(vs)
                 assert r.mean == pytest.approx(mean, rel=1e-9) and r.stddev == pytest.approx((sum((v - mean) ** 2 for v in vs) / len(vs)) ** 0.5, rel=1e-6, abs=1e-6)
+
+
+def _sent(spark, action) -> int:
+    """Rows that all stages of an action shuffle."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in map(found().apply, range(found().size()))}
+    found = lambda: store.stageList(None, False, False, gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    before = stages()
+    action()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_siblings_sent_once_for_each_of_sixteen_blocks(spark):
+    """400 metrics, 4 at once: 16 blocks, not 100. Equal series, even if all are, are dealt into pieces, and no pair is lost."""
+    days = spark.createDataFrame([(m, d, float(m % 40 * d * d % 11)) for m in range(400) for d in range(6)], "m long, d long, value double")
+    obs = days.select(F.concat(F.lit("x.m"), "m").alias("fq_name"), "value", F.timestamp_seconds(F.col("d") * 86400 + 1704067200).alias("observed_at")).localCheckpoint()
+    out = reports.sibling_correlations(obs, "2024-01-21 00:00:00", 30 * 86400, None, at_once=4)
+    got = []
+    assert _sent(spark, lambda: got.extend(out.collect())) < 25 * 400
+    assert len(got) == len({(r.metric, r.sibling) for r in got}) == 400 * 399
+    same = reports.sibling_correlations(obs.withColumn("value", F.dayofmonth("observed_at").cast("double")), "2024-01-21 00:00:00", 30 * 86400, 0.6, at_once=4)
+    assert same.groupBy("metric").count().where("count = 399").count() == 400
