@@ -39,9 +39,9 @@ def detect(latest: DataFrame, baselines: DataFrame, dim: DataFrame, limits: Data
     return insert_or_ignore(flagged(latest.join(baselines, "fq_name"), dim, limits))
 
 
-def replayed(obs: DataFrame, dim: DataFrame, limits: DataFrame, days: tuple[int, ...] = DAYS, start: str | None = None, end: str | None = None) -> DataFrame:
-    """What repeated runs would have stored over the whole past, or from ``start`` to ``end``."""
-    return insert_or_ignore(flagged(replay(obs, days, start, end), dim, limits))
+def replayed(obs: DataFrame, dim: DataFrame, limits: DataFrame, days: tuple[int, ...] = DAYS, start: str | None = None, end: str | None = None, short: bool = False) -> DataFrame:
+    """What repeated runs would have stored over the whole past, or from ``start`` to ``end``; ``short`` as of ``replay``."""
+    return insert_or_ignore(flagged(replay(obs, days, start, end, short), dim, limits))
 
 
 def latest(obs: DataFrame, as_of: str | None = None) -> DataFrame:

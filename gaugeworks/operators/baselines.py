@@ -90,7 +90,7 @@ def _running(rows: DataFrame, name: str, w) -> DataFrame:
     return rows.withColumn(name, part).drop("centre", "off")
 
 
-def replay(obs: DataFrame, days: tuple[int, ...] = DAYS, start: str | None = None, end: str | None = None) -> DataFrame:
+def replay(obs: DataFrame, days: tuple[int, ...] = DAYS, start: str | None = None, end: str | None = None, short: bool = False) -> DataFrame:
     """Every observation with the trailing baseline it had, itself and its second's peers included.
 
     A window of d days is put together from three disjoint parts: its own day up to the second, the whole days
@@ -99,18 +99,36 @@ def replay(obs: DataFrame, days: tuple[int, ...] = DAYS, start: str | None = Non
     is linear in the observations, and a task holds seconds of one metric's day (86,400 at most) however dense it is.
     Null values count for nothing; a window without values has null mean and deviation. Of a part of the past
     (``start`` to ``end``, bounds included) only that and the longest window before it is read.
+
+    ``short`` gives the same rows by plain range windows. It is for sources whose metrics have few observations a window, as with
+    one value a day: each is then sent once, and no parts are made. The work is linear in the rows of all windows.
     """
     at = epoch(F.col("observed_at"))
     if start is not None:
         obs = obs.where(at >= epoch(moment(start)) - max(days) * DAY)
     if end is not None:
         obs = obs.where(at <= epoch(moment(end)))
+    if short:
+        return _short_windows(obs.withColumn("at_s", at), days, start)
     full = windows(second_parts(obs).withColumn("asks", F.lit(True)), day_parts(obs), days)
     rows = obs.withColumn("at_s", at)
     rows = rows if start is None else rows.where(F.col("at_s") >= epoch(moment(start)))
     return with_windows(rows, full)
 
 
+def _short_windows(rows: DataFrame, days: tuple[int, ...], start: str | None) -> DataFrame:
+    """Rows as of ``with_windows``, each window read over for each row."""
+    ordered = Window.partitionBy("fq_name").orderBy("at_s")
+
+    def stats(d: int) -> Column:
+        w, value = ordered.rangeBetween(-d * DAY, Window.currentRow), F.col("value")
+        return F.struct(F.lit(d).alias("window_days"), F.avg(value).over(w).alias("mean"), F.stddev_pop(value).over(w).alias("stddev"), F.count(value).over(w).alias("sample_count"))
+
+    out = rows.select("fq_name", "observed_at", "seq", "value", "at_s", F.array(*map(stats, days)).alias("w"))
+    out = out if start is None else out.where(F.col("at_s") >= epoch(moment(start)))
+    return _by_window(out)
+
+
 def _part_of(value: str = "value") -> list[Column]:
     n = F.count(value)
     return [n.alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * n).alias("m2"), F.min(value).alias("lo"), F.max(value).alias("hi")]
@@ -169,7 +187,11 @@ def windows(second: DataFrame, total: DataFrame, days: tuple[int, ...] = DAYS) -
 
 def with_windows(rows: DataFrame, full: DataFrame) -> DataFrame:
     """Observations with ``at_s``, each with a row for every window of its second."""
-    out = rows.join(full, ["fq_name", "at_s"]).select("fq_name", "observed_at", "seq", "value", F.explode("w").alias("w"))
+    return _by_window(rows.join(full, ["fq_name", "at_s"]))
+
+
+def _by_window(rows: DataFrame) -> DataFrame:
+    out = rows.select("fq_name", "observed_at", "seq", "value", F.explode("w").alias("w"))
     return out.select("fq_name", "observed_at", "seq", "value", *[f"w.{c}" for c in ("window_days", "mean", "stddev", "sample_count")])
 
 

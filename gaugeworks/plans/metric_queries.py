@@ -86,7 +86,7 @@ def r6(*names: str) -> dict[str, Column]:
 def _replayed(spark, sf, source, start: str | None = None, end: str | None = None) -> DataFrame:
     obs = source(spark, sf)
     names = T.metric_dim(obs)
-    return A.replayed(obs, names, A.thresholds(names), start=start, end=end)
+    return A.replayed(obs, names, A.thresholds(names), start=start, end=end, short=source in T.DAILY)
 
 
 def _timeline(spark, sf) -> DataFrame:

@@ -42,6 +42,10 @@ def obs_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.concat(F.lit("shop.orders."), F.lower("o_orderpriority")).alias("fq_name"), "value", second(F.col("o_orderdate")).alias("observed_at"), F.lit(0).cast("long").alias("seq"))
 
 
+#: Sources whose metrics have a value a day.
+DAILY = (obs_shipments, obs_orders)
+
+
 def metric_dim(observations: DataFrame) -> DataFrame:
     """Declared semantics of each metric that occurs: unit, direction, aggregation."""
     name = F.col("fq_name")

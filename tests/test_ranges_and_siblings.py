@@ -158,3 +158,27 @@ def test_siblings_sent_once_for_each_of_sixteen_blocks(spark):
     assert len(got) == len({(r.metric, r.sibling) for r in got}) == 400 * 399
     same = reports.sibling_correlations(obs.withColumn("value", F.dayofmonth("observed_at").cast("double")), "2024-01-21 00:00:00", 30 * 86400, 0.6, at_once=4)
     assert same.groupBy("metric").count().where("count = 399").count() == 400
+
+
+def test_short_windows_say_what_parts_say_and_send_each_row_once(spark):
+    """Daily metrics, some with several seconds or rows of one second on a day, nulls, equal values; from a start on as well."""
+    rng = random.Random(8)
+    rows = [(f"m{m}", (19_700 + d) * 86400 + s, k, None if rng.random() < 0.1 else 2.5 if m == 1 else rng.choice([1.0, 1e5]) + rng.random()) for m in range(3) for d in range(120) if rng.random() < 0.6 for k, s in enumerate((0, 0, 40_000)[: rng.choice([1, 1, 3])])]
+    obs = spark.createDataFrame(rows, "fq_name string, s long, seq long, value double").select("fq_name", F.timestamp_seconds("s").alias("observed_at"), "seq", "value").localCheckpoint()
+    for start in (None, "2024-02-10 12:00:00"):
+        read = lambda short: {(r.fq_name, r.observed_at, r.seq, r.window_days): r for r in baselines.replay(obs, start=start, short=short).collect()}  # noqa: B023, E731
+        parts, plain = read(False), read(True)
+        assert parts.keys() == plain.keys() and plain
+        for k, r in plain.items():
+            assert (r.value, r.sample_count) == (parts[k].value, parts[k].sample_count)
+            assert r.mean == pytest.approx(parts[k].mean, rel=1e-12) and r.stddev == pytest.approx(parts[k].stddev, rel=1e-6, abs=1e-9)
+    assert _sent(spark, baselines.replay(obs, short=True).collect) == len(rows)
+
+
+def test_shipments_are_replayed_by_short_windows(spark):
+    """Two shuffles of the observations, by day and by metric; parts of seconds and days took more than ten."""
+    from gaugeworks.plans.metric_queries import QUERIES
+    from gaugeworks.sources import tables
+
+    n = tables.obs_shipments(spark, "/root/testdata/sf0.001").count()
+    assert _sent(spark, QUERIES["anomaly_replay_shipments"](spark, "/root/testdata/sf0.001").collect) < 4 * n
