@@ -66,16 +66,15 @@ def recompute(obs: DataFrame, old: DataFrame, as_of: str, since: str | None = No
 _PART = ("n", "mean", "m2", "lo", "hi")
 
 
-def merged(a: Column, b: Column) -> Column:
-    """Count, mean, sum of squared deviations and extremes of two disjoint parts taken together; only sums, so nothing cancels."""
-    n, gap = a["n"] + b["n"], b["mean"] - a["mean"]
-    both = F.struct(n.alias("n"), (a["mean"] + gap * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + gap * gap * a["n"] * b["n"] / n).alias("m2"), F.least(a["lo"], b["lo"]).alias("lo"), F.greatest(a["hi"], b["hi"]).alias("hi"))
-    return F.when(F.coalesce(b["n"], F.lit(0)) == 0, a).when(a["n"] == 0, b).otherwise(both)
+#: Of two disjoint parts ``a`` and ``b`` taken together count, mean, sum of squared deviations and extremes; only sums, so nothing cancels.
+_BOTH = """named_struct('n', a.n + b.n, 'mean', a.mean + (b.mean - a.mean) * b.n / (a.n + b.n), 'm2', a.m2 + b.m2 + (b.mean - a.mean) * (b.mean - a.mean) * a.n * b.n / (a.n + b.n), 'lo', least(a.lo, b.lo), 'hi', greatest(a.hi, b.hi))"""
+_MERGED = f"CASE WHEN coalesce(b.n, 0) = 0 THEN a WHEN a.n = 0 THEN b ELSE {_BOTH} END"
+_NOTHING = "named_struct('n', 0L, 'mean', CAST(NULL AS DOUBLE), 'm2', CAST(NULL AS DOUBLE), 'lo', CAST(NULL AS DOUBLE), 'hi', CAST(NULL AS DOUBLE))"
 
 
-def _nothing() -> Column:
-    none = F.lit(None).cast("double")
-    return F.struct(F.lit(0).cast("long").alias("n"), none.alias("mean"), none.alias("m2"), none.alias("lo"), none.alias("hi"))
+def merged(parts: str, finish: str = "") -> Column:
+    """An array of parts taken together; ``finish`` is a lambda over the result. As text, which the driver hands over in one call."""
+    return F.expr(f"aggregate({parts}, {_NOTHING}, (a, b) -> {_MERGED}{finish and ', ' + finish})")
 
 
 def _running(rows: DataFrame, name: str, w) -> DataFrame:
@@ -148,8 +147,7 @@ def day_parts(obs: DataFrame) -> DataFrame:
 
 def folded_parts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Parts of the same keys taken together. Few parts share a key: one for each batch that had it."""
-    part = F.struct(*_PART)
-    both = rows.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(part)), _nothing(), merged).alias("p"))
+    both = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*_PART))).alias("parts")).select(*keys, merged("parts").alias("p"))
     return both.select(*keys, *[f"p.{c}" for c in _PART])
 
 
@@ -170,17 +168,17 @@ def windows(second: DataFrame, total: DataFrame, days: tuple[int, ...] = DAYS) -
     edges = edges.where("new AND (forward OR asks)").withColumn("day", F.col("day") + F.col("back"))
     picked = [F.max(F.when(F.col("back") == d, F.col("p")[c])).alias(f"{c}_{d}") for d in (0, *days) for c in _PART]
     edges = edges.groupBy("fq_name", "day", "sod").agg(*picked)
-    part = lambda d: F.struct(*[F.col(f"{c}_{d}").alias(c) for c in _PART])
     # whole days: each window adds to the next shorter one those days that only it has
     by_day = Window.partitionBy("fq_name").orderBy("day")
     steps = list(zip((1, *sorted(days)), sorted(days), strict=False))
-    between = [F.aggregate(F.collect_list("p").over(by_day.rangeBetween(1 - d, -shorter)), _nothing(), merged).alias(f"between_{d}") for shorter, d in steps]
-    full = edges.join(total.select("fq_name", "day", F.struct(*_PART).alias("p")).select("fq_name", "day", *between), ["fq_name", "day"])
+    whole = total.select("fq_name", "day", F.struct(*_PART).alias("p"))
+    whole = whole.select("fq_name", "day", *[F.collect_list("p").over(by_day.rangeBetween(1 - d, -shorter)).alias(f"days_{d}") for shorter, d in steps])
+    full = edges.join(whole.select("fq_name", "day", *[merged(f"days_{d}").alias(f"between_{d}") for d in days]), ["fq_name", "day"])
 
     def stats(d: int) -> Column:
-        spread = lambda x: F.when(x["lo"] == x["hi"], F.lit(0.0)).otherwise(F.sqrt(x["m2"] / x["n"]))
-        row = lambda x: F.struct(F.lit(d).alias("window_days"), x["mean"].alias("mean"), spread(x).alias("stddev"), x["n"].alias("sample_count"), x["lo"].alias("min"), x["hi"].alias("max"))
-        return F.aggregate(F.array(*[F.col(f"between_{x}") for x in days if x <= d], part(0), part(d)), _nothing(), merged, row)
+        part = lambda x: f"named_struct({', '.join(f"'{c}', {c}_{x}" for c in _PART)})"
+        row = f"x -> named_struct('window_days', {d}, 'mean', x.mean, 'stddev', CASE WHEN x.lo = x.hi THEN 0D ELSE sqrt(x.m2 / x.n) END, 'sample_count', x.n, 'min', x.lo, 'max', x.hi)"
+        return merged(f"array({', '.join([*(f'between_{x}' for x in days if x <= d), part(0), part(d)])})", row)
 
     return full.select("fq_name", (F.col("day") * DAY + F.col("sod")).alias("at_s"), F.array(*map(stats, days)).alias("w"))
 

@@ -438,8 +438,9 @@ def stream_anomalies(spark, sf):
 
 def _live(spark, sf) -> tuple[jobs.LiveBaselines, int]:
     """Events' observations in four batches, in order of time."""
-    obs, folder = T.obs_events(spark, sf), landing.new_folder(spark, "in")
-    names = T.metric_dim(obs)
+    obs, folder, dim = T.obs_events(spark, sf), landing.new_folder(spark, "in"), landing.new_folder(spark, "dim")
+    T.metric_dim(obs).write.parquet(dim)
+    names = spark.read.parquet(dim)
     lo, hi = obs.agg(F.unix_timestamp(F.min("observed_at")), F.unix_timestamp(F.max("observed_at"))).first()
     at = F.unix_timestamp("observed_at")
     for k in range(4):

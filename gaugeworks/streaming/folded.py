@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FAN = 8
 
@@ -55,8 +56,10 @@ class Folded:
         return f"{self.root}/level={run[0]}/last={run[1]}"
 
     def _open(self, runs: list[tuple[int, int]]) -> DataFrame:
-        rows = self.spark.read.schema(self.schema).option("basePath", self.root).parquet(*map(self._path, runs)) if runs else self.spark.createDataFrame([], self.schema)
-        return rows.select(*[f.name for f in self.spark.createDataFrame([], self.schema).schema])
+        if not runs:
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(self.schema)])
+        rows = self.spark.read.schema(self.schema).option("basePath", self.root).parquet(*map(self._path, runs))
+        return rows.select(*StructType.fromDDL(self.schema).names)
 
     def _save(self, rows: DataFrame, run: tuple[int, int]) -> None:
         rows.hint("rebalance", self.part).write.mode("overwrite").partitionBy(self.part).parquet(self._path(run))
@@ -71,6 +74,10 @@ class Folded:
             level += 1
             self._save(self.fold(self._open(merged)), (level, batch))
 
+    def of(self, batch: int) -> DataFrame:
+        """What a batch has appended."""
+        return self._open([(0, batch)])
+
     def read(self, batches: int, parts: list | None = None) -> DataFrame:
         """All that the first so many batches come to, or only what is in ``parts`` (a bounded list of values)."""
         rows = self._open(self.runs(batches))

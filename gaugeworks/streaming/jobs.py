@@ -7,6 +7,7 @@ in a folder named by query and batch, and deltas named by batch. State by key li
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
@@ -205,6 +206,13 @@ def online_anomalies(spark: SparkSession, stream: DataFrame, baselines: DataFram
     return append_all(spark, flagged(stream.join(snapshot, "fq_name"), dim, limits), root, checkpoint)
 
 
+def _at_once(*actions: Callable[[], None]) -> None:
+    """Spark actions that don't need one another, side by side; an error of any is raised once all have ended."""
+    with ThreadPoolExecutor(len(actions)) as pool:
+        for done in [pool.submit(a) for a in actions]:
+            done.result()
+
+
 class LiveBaselines:
     """Observations in micro-batches, each against baselines that are up to date with it, itself included.
 
@@ -230,7 +238,9 @@ class LiveBaselines:
         scratch = f"{self.root}/new/batch={batch_id}"
         df.select("fq_name", "value", "observed_at", "seq").write.mode("overwrite").parquet(scratch)
         obs = self.spark.read.schema("fq_name string, value double, observed_at timestamp, seq long").parquet(scratch)
-        second, total = B.second_parts(obs), B.day_parts(obs)
+        # the batch's parts are made once, and read back
+        _at_once(lambda: self.seconds.append(batch_id, B.second_parts(obs)), lambda: self.days.append(batch_id, B.day_parts(obs)))
+        second, total = self.seconds.of(batch_id), self.days.of(batch_id)
         asked = [r["day"] for r in total.select("day").distinct().collect()]
         names = total.select("fq_name").distinct()
         mine = lambda rows: rows.join(names, "fq_name", "left_semi")
@@ -245,13 +255,11 @@ class LiveBaselines:
         full.write.mode("overwrite").parquet(f"{self.root}/windows/batch={batch_id}")
         full = self.spark.read.schema(full.schema).parquet(f"{self.root}/windows/batch={batch_id}")
         judged = B.with_windows(obs.withColumn("at_s", B.epoch(F.col("observed_at"))), full)
-        insert_or_ignore(flagged(judged, self.dim, self.limits)).write.mode("overwrite").parquet(f"{self.root}/anomalies/batch={batch_id}")
+        found = insert_or_ignore(flagged(judged, self.dim, self.limits))
         last = full.groupBy("fq_name").agg(F.max_by("w", "at_s").alias("w"), F.max("at_s").alias("at_s"))
         last = last.select("fq_name", F.explode("w").alias("w"), F.timestamp_seconds("at_s").alias("last_computed_at"))
         row = last.select("fq_name", *[f"w.{c}" for c in ("window_days", "mean", "stddev", "min", "max", "sample_count")], "last_computed_at", F.lit(batch_id).cast("long").alias("batch"), F.pmod(F.xxhash64("fq_name"), F.lit(16)).alias("part"))
-        self.current.append(batch_id, row)
-        self.seconds.append(batch_id, second)
-        self.days.append(batch_id, total)
+        _at_once(lambda: self.current.append(batch_id, row), lambda: found.write.mode("overwrite").parquet(f"{self.root}/anomalies/batch={batch_id}"))
 
     def anomalies(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/anomalies").drop("batch")

@@ -168,3 +168,25 @@ def test_live_baselines_are_a_replay_and_read_no_raw_past(spark):
             last[r.fq_name, r.window_days] = r
     now = {(r.fq_name, r.window_days): r for r in live.baselines(4).collect()}
     assert set(now) == set(last) and all(now[k].sample_count == last[k].sample_count and now[k].mean == pytest.approx(last[k].mean) for k in last)
+
+
+def test_a_batch_s_observations_are_read_thrice(spark, tmp_path):
+    """For the parts of seconds, those of days, and the check: all else reads parts. They were read nine times and more."""
+    n = 50_000
+    rows = spark.range(n).select(F.lit("x.m").alias("fq_name"), F.rand(1).alias("value"), F.timestamp_seconds(F.col("id") % 40 + 1704067200).alias("observed_at"), F.col("id").alias("seq"))
+    rows.write.parquet(f"{tmp_path}/in")
+    obs = spark.read.parquet(f"{tmp_path}/in")
+    dim = spark.createDataFrame([("x.m", "neutral")], "fq_name string, direction string")
+    live = jobs.LiveBaselines(spark, f"{tmp_path}/live", dim, anomalies.thresholds(dim))
+    sc = spark.sparkContext
+
+    def read() -> int:
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(s.inputRecords() for s in map(stages.apply, range(stages.size())))
+
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = read()
+    live.batch(obs, 0)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert n <= read() - before < 5 * n  # once more to store them
+    assert live.baselines(1).where("sample_count = 50000").count() == 3
