@@ -48,14 +48,17 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Store ``df`` bucketed and sorted by ``key`` in the shared folder; joins on ``key`` then don't shuffle it again."""
+def bucketed(df: DataFrame, name: str, key: str, deal: bool = True) -> DataFrame:
+    """Store ``df`` bucketed and sorted by ``key`` in the shared folder; joins on ``key`` then don't shuffle it again.
+
+    Without ``deal`` rows are written where they are, which is for few and large ones: a task may write a file a row.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark)
     base = f"gaugeworks_{zlib.crc32(folder.encode()):08x}"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {base} LOCATION '{folder}/{base}'")
     table, n = f"{base}.{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).saveAsTable(table)
+    (df.repartition(n, key) if deal else df).write.bucketBy(n, key).sortBy(key).saveAsTable(table)
     return spark.table(table)
 
 
