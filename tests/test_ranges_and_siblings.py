@@ -1,8 +1,12 @@
 """Union of time ranges by blocks, and correlations by blocks of metrics, against plain loops."""
 
 import datetime
+import math
 import random
+import statistics
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +164,33 @@ def test_siblings_sent_once_for_each_of_sixteen_blocks(spark):
     assert same.groupBy("metric").count().where("count = 399").count() == 400
 
 
+def test_equal_series_leave_their_task_once(spark, monkeypatch):
+    """300 metrics of three series, two of them alike: names that come out of the tasks are few, and no row becomes many pairs at once. None is lost."""
+    plain, total, most = reports._correlated, spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counting(least_r, at_once):
+        inner = plain(least_r, at_once)
+
+        def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in inner(key, batches):
+                lists = [c for c in batch.columns if pa.types.is_list(c.type)]
+                total.add(sum(len(c.flatten()) for c in lists) if lists else batch.num_rows)
+                most.add(sum(a * b > 4096 for a, b in zip(*(c.value_lengths().to_pylist() for c in lists), strict=True)) if lists else 0)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(reports, "_correlated", counting)
+    series = F.when(F.col("m") % 3 == 0, F.col("d") % 4).when(F.col("m") % 3 == 1, F.col("d") % 4 * -2.5).otherwise(F.col("d") * F.col("d") % 7)
+    days = spark.range(300).select(F.col("id").alias("m")).crossJoin(spark.range(8).select(F.col("id").alias("d")))
+    obs = days.select(F.concat(F.lit("x.m"), "m").alias("fq_name"), series.cast("double").alias("value"), F.timestamp_seconds(F.col("d") * 86400 + 1704067200).alias("observed_at"))
+    got = {(r.metric, r.sibling): (r.r, r.n, r.confidence) for r in reports.sibling_correlations(obs, "2024-01-21 00:00:00", 30 * 86400, None, places=5).collect()}
+    assert len(got) == 300 * 299 and total.value < 300 * 299 / 10 and most.value == 0
+    value = [[d % 4 for d in range(8)], [d % 4 * -2.5 for d in range(8)], [d * d % 7 for d in range(8)]]
+    want = {(a, b): math.floor(abs(r) * 1e5 + 0.5) / 1e5 * (1 if r > 0 else -1) for a in range(3) for b in range(3) for r in [statistics.correlation(value[a], value[b])]}
+    assert all(r == want[int(a[3:]) % 3, int(b[3:]) % 3] and n == 8 and c == pytest.approx(abs(r) * 8 / 30, abs=1e-5) for (a, b), (r, n, c) in got.items())
+
+
 def test_short_windows_say_what_parts_say_and_send_each_row_once(spark):
     """Daily metrics, some with several seconds or rows of one second on a day, nulls, equal values; from a start on as well."""
     rng = random.Random(8)
